@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this package is a batch operator.
+
+The workload has no event time, no state and no unbounded source, so there is
+nothing to express with Structured Streaming.
+"""
