@@ -99,13 +99,6 @@ def fixed_point(lat: float, lon: float) -> tuple[list[str], str, str]:
     return [sql_number(v) for v in unit_vector(lat, lon)], sql_number(lat), sql_number(lon)
 
 
-def _sine_sum(terms: list[tuple[float, int]], angle: Column) -> Column:
-    total = F.lit(0.0)
-    for weight, multiple in terms:
-        total = total + F.lit(weight) * F.sin(angle * multiple)
-    return total
-
-
 _E2 = GRS80_F * (2 - GRS80_F)
 _EP2 = _E2 / (1 - _E2)
 # Meridian arc per radian and its Fourier terms (Snyder 1987, eq. 3-21).
@@ -125,48 +118,66 @@ _FOOT_TERMS = [
 ]
 
 
+
+
 def utm_central_meridian(zone: int) -> float:
     return zone * 6.0 - 183.0
 
 
-def utm_forward(lat: Column, lon: Column, zone: int = 15) -> tuple[Column, Column]:
-    """Northern-hemisphere UTM easting and northing in metres (Snyder 1987, 8-9 to 8-15)."""
-    phi = F.radians(lat)
-    tan2 = F.tan(phi) * F.tan(phi)
-    cos = F.cos(phi)
-    c = F.lit(_EP2) * cos * cos
-    n = F.lit(GRS80_A) / F.sqrt(F.lit(1.0) - F.lit(_E2) * F.sin(phi) * F.sin(phi))
-    a = F.radians(lon - F.lit(utm_central_meridian(zone))) * cos
-    a2 = a * a
-    arc = F.lit(GRS80_A) * (F.lit(_ARC) * phi + _sine_sum(_ARC_TERMS, phi))
-    third = F.lit(1.0) - tan2 + c
-    fifth = F.lit(5.0) - tan2 * 18 + tan2 * tan2 + c * 72 - F.lit(58 * _EP2)
-    east = a * (F.lit(1.0) + a2 * (third / 6 + a2 * fifth / 120))
-    fourth = F.lit(5.0) - tan2 + c * 9 + c * c * 4
-    sixth = F.lit(61.0) - tan2 * 58 + tan2 * tan2 + c * 600 - F.lit(330 * _EP2)
-    north = a2 * (F.lit(0.5) + a2 * (fourth / 24 + a2 * sixth / 720))
-    return (
-        F.lit(UTM_FALSE_EASTING) + F.lit(UTM_SCALE) * n * east,
-        F.lit(UTM_SCALE) * (arc + n * F.tan(phi) * north),
+def _sine_series(terms: list[tuple[float, int]], angle: str) -> str:
+    return " + ".join(f"{sql_number(weight)} * sin({multiple} * {angle})" for weight, multiple in terms)
+
+
+def _stages(values: str, *stages: str) -> str:
+    """Maps an array through several steps, so that each step's terms are computed once."""
+    for stage in stages:
+        values = f"transform({values}, v -> {stage})"
+    return values
+
+
+def utm_forward_sql(points: str, zone: int = 15) -> str:
+    """Array of ``[lon, lat]`` to array of ``[easting, northing]`` in metres.
+
+    Northern hemisphere, Snyder 1987 equations 8-9 to 8-15.
+    """
+    n = sql_number
+    return _stages(
+        points,
+        f"named_struct('phi', radians(get(v, 1)), 'lam', radians(get(v, 0) - {n(utm_central_meridian(zone))}))",
+        "named_struct('phi', v.phi, 'lam', v.lam, 'sin', sin(v.phi), 'cos', cos(v.phi), 'tan', tan(v.phi))",
+        f"named_struct('a', v.lam * v.cos, 't', v.tan * v.tan, 'c', {n(_EP2)} * v.cos * v.cos, 'tan', v.tan, "
+        f"'n', {n(GRS80_A)} / sqrt(1 - {n(_E2)} * v.sin * v.sin), "
+        f"'arc', {n(GRS80_A)} * ({n(_ARC)} * v.phi + {_sine_series(_ARC_TERMS, 'v.phi')}))",
+        "named_struct('n', v.n, 'tan', v.tan, 'arc', v.arc, 'a', v.a, 'a2', v.a * v.a, "
+        "'e3', 1 - v.t + v.c, "
+        f"'e5', 5 - 18 * v.t + v.t * v.t + 72 * v.c - {n(58 * _EP2)}, "
+        "'n4', 5 - v.t + 9 * v.c + 4 * v.c * v.c, "
+        f"'n6', 61 - 58 * v.t + v.t * v.t + 600 * v.c - {n(330 * _EP2)})",
+        f"array({n(UTM_FALSE_EASTING)} + {n(UTM_SCALE)} * v.n * v.a * (1 + v.a2 * (v.e3 / 6 + v.a2 * v.e5 / 120)), "
+        f"{n(UTM_SCALE)} * (v.arc + v.n * v.tan * v.a2 * (0.5D + v.a2 * (v.n4 / 24 + v.a2 * v.n6 / 720))))",
     )
 
 
-def utm_inverse(easting: Column, northing: Column, zone: int = 15) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees from northern-hemisphere UTM (Snyder 1987, 8-17 to 8-25)."""
-    mu = northing / F.lit(UTM_SCALE * GRS80_A * _ARC)
-    foot = mu + _sine_sum(_FOOT_TERMS, mu)
-    sin, cos, tan = F.sin(foot), F.cos(foot), F.tan(foot)
-    c = F.lit(_EP2) * cos * cos
-    t = tan * tan
-    w = F.lit(1.0) - F.lit(_E2) * sin * sin
-    n = F.lit(GRS80_A) / F.sqrt(w)
-    meridian_radius = F.lit(GRS80_A * (1 - _E2)) / (w * F.sqrt(w))
-    d = (easting - F.lit(UTM_FALSE_EASTING)) / (n * F.lit(UTM_SCALE))
-    d2 = d * d
-    fourth = F.lit(5.0) + t * 3 + c * 10 - c * c * 4 - F.lit(9 * _EP2)
-    sixth = F.lit(61.0) + t * 90 + c * 298 + t * t * 45 - F.lit(252 * _EP2) - c * c * 3
-    lat = foot - (n * tan / meridian_radius) * d2 * (F.lit(0.5) - d2 * (fourth / 24 - d2 * sixth / 720))
-    third = F.lit(1.0) + t * 2 + c
-    fifth = F.lit(5.0) - c * 2 + t * 28 - c * c * 3 + F.lit(8 * _EP2) + t * t * 24
-    lon = d * (F.lit(1.0) - d2 * (third / 6 - d2 * fifth / 120)) / cos
-    return F.degrees(lat), F.degrees(lon) + F.lit(utm_central_meridian(zone))
+def utm_inverse_sql(easting: str, northing: str, zone: int = 15) -> str:
+    """Struct ``lat, lon`` in degrees; northern hemisphere, Snyder 1987 equations 8-17 to 8-25."""
+    n = sql_number
+    staged = _stages(
+        f"array(named_struct('e', {easting} - {n(UTM_FALSE_EASTING)}, "
+        f"'mu', {northing} / {n(UTM_SCALE * GRS80_A * _ARC)}))",
+        f"named_struct('e', v.e, 'foot', v.mu + {_sine_series(_FOOT_TERMS, 'v.mu')})",
+        "named_struct('e', v.e, 'foot', v.foot, 'cos', cos(v.foot), 'tan', tan(v.foot), "
+        f"'w', 1 - {n(_E2)} * sin(v.foot) * sin(v.foot))",
+        "named_struct('foot', v.foot, 'cos', v.cos, 'tan', v.tan, 'w', v.w, "
+        f"'c', {n(_EP2)} * v.cos * v.cos, 't', v.tan * v.tan, "
+        f"'d', v.e * sqrt(v.w) / {n(GRS80_A * UTM_SCALE)})",
+        "named_struct('foot', v.foot, 'cos', v.cos, 'd', v.d, 'd2', v.d * v.d, "
+        f"'slope', v.tan * v.w / {n(1 - _E2)}, "
+        f"'p4', 5 + 3 * v.t + 10 * v.c - 4 * v.c * v.c - {n(9 * _EP2)}, "
+        f"'p6', 61 + 90 * v.t + 298 * v.c + 45 * v.t * v.t - {n(252 * _EP2)} - 3 * v.c * v.c, "
+        "'l3', 1 + 2 * v.t + v.c, "
+        f"'l5', 5 - 2 * v.c + 28 * v.t - 3 * v.c * v.c + {n(8 * _EP2)} + 24 * v.t * v.t)",
+        "named_struct('lat', degrees(v.foot - v.slope * v.d2 * (0.5D - v.d2 * (v.p4 / 24 - v.d2 * v.p6 / 720))), "
+        "'lon', degrees(v.d * (1 - v.d2 * (v.l3 / 6 - v.d2 * v.l5 / 120)) / v.cos) "
+        f"+ {n(utm_central_meridian(zone))})",
+    )
+    return f"get({staged}, 0)"

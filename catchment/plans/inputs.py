@@ -44,7 +44,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 10 == 0, shape("MultiPolygon", F.concat(F.lit("[["), square, F.lit("],["), triangle, F.lit("]]"))))
         .otherwise(shape("Polygon", F.concat(F.lit("["), square, F.lit("]"))))
     )
-    key = F.lpad(k.cast("string"), 7, "0")
+    key = F.expr("lpad(cast(c_custkey AS string), greatest(7, length(cast(c_custkey AS string))), '0')")
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("29"), county, key).alias("geoid"),
         F.lit("29").alias("statefp"),
@@ -115,3 +115,56 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas(spark, sf_dir).where(F.col("population") % 3 == 0).select("geoid")
+
+
+# Age-sex cells and the modulus each is derived with.
+AGE_MODULI = {
+    "Male_5_9": 31, "Female_5_9": 29, "Male_10_14": 27, "Female_10_14": 25, "Male_15_17": 23, "Female_15_17": 21,
+    "Male_65_74": 41, "Female_65_74": 43, "Male_75_plus": 37, "Female_75_plus": 35,
+}
+
+
+def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw counts with age-sex cells, some unknown, and housing age."""
+    people = F.col("POP")
+    cells = {name: people % m for name, m in AGE_MODULI.items()}
+    cells["Male_5_9"] = F.when(people % 11 == 0, F.lit(None)).otherwise(people % 31)
+    return (
+        counts(spark, sf_dir)
+        .withColumnRenamed("geoid", "GEOID")
+        .withColumns(cells)
+        .withColumns(
+            {
+                "Children_0_17": people % 333,
+                "Children_0_4": F.when(people % 19 == 0, F.lit(None)).otherwise(people % 77),
+                "Units_Before_1940": people % 50,
+                "Housing_Age_Universe": people % 400,
+            }
+        )
+    )
+
+
+def estimate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts(spark, sf_dir).withColumnRenamed("geoid", "GEOID").withColumn("Pop_65_Plus", F.expr("POP % 210"))
+
+
+# Rows per response document, as many as one request asks for.
+RESPONSE_ROWS = 50
+
+
+def census_responses(spark: SparkSession, sf_dir: str, variables: dict[str, str]) -> DataFrame:
+    """Response texts of at most RESPONSE_ROWS areas each, with some unreadable counts."""
+    codes = {"state": "substring(geoid, 1, 2)", "county": "substring(geoid, 3, 3)",
+             "tract": "substring(geoid, 6, 6)", "block group": "substring(geoid, 12, 1)"}
+    header = ", ".join(f"'{n}'" for n in ["NAME", *variables, *codes])
+    fields = [f"cast({c} AS string)" for c in variables.values()]
+    fields[1] = f"CASE WHEN POP % 71 = 0 THEN 'n/a' ELSE {fields[1]} END"
+    line = ", ".join(["concat('Area ', geoid)", *fields, *codes.values()])
+    return (
+        counts(spark, sf_dir)
+        .selectExpr("substring(geoid, 3, 3) AS county", f"cast(substring(geoid, 6) AS bigint) DIV {RESPONSE_ROWS} AS chunk",
+                    f"array({line}) AS line")
+        .groupBy("county", "chunk")
+        .agg(F.collect_list("line").alias("lines"))
+        .selectExpr(f"to_json(concat(array(array({header})), lines)) AS response")
+    )
