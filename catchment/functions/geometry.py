@@ -25,6 +25,22 @@ def parse_parts(geojson: str) -> Column:
     )
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds costly columns behind a generator of one row.
+
+    The optimizer copies the definition of an ordinary column into every filter on
+    it, and so on down a chain of columns.  It does not do so across a generator.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
+def with_parts(df: DataFrame, geojson: str, out: str = "parts") -> DataFrame:
+    """Adds the parsed geometry, read from the text only once per row."""
+    return computed_once(df, {out: parse_parts(geojson)})
+
+
 def first_outer_ring(parts: str) -> Column:
     """Outer ring of the first part."""
     return F.expr(f"get(get({parts}, 0), 0)")
@@ -40,51 +56,52 @@ def usable_ring(ring: str) -> Column:
     return F.expr(f"{ring} IS NOT NULL AND size({ring}) > 0")
 
 
-def _ring_moments(ring: str, weight: str, origin: tuple[str, str]) -> str:
-    """Signed double area and first moments of one ring, relative to the origin.
+def _with_planar_centroid(df: DataFrame, parts: str, out: str) -> DataFrame:
+    """Adds struct ``x, y``: area-weighted centroid, holes subtracted; null without any area.
 
-    The first vertex is repeated at the end, which closes open rings and adds
-    nothing to closed ones.
+    Vertices are taken relative to the first one, which keeps the precision of
+    small shapes.  Functions inside arrays are interpreted, so every step is kept
+    to a few operations on named fields instead of one deep expression.
     """
-    x, y = f"(get(v, 0) - {origin[0]})", f"(get(v, 1) - {origin[1]})"
-    cross = f"(s.px * {y} - {x} * s.py)"
-    start = (
-        f"named_struct('px', get(get({ring}, 0), 0) - {origin[0]}, 'py', get(get({ring}, 0), 1) - {origin[1]}, "
-        "'a', 0D, 'x', 0D, 'y', 0D)"
-    )
-    step = (
-        f"named_struct('px', {x}, 'py', {y}, 'a', s.a + {cross}, "
-        f"'x', s.x + (s.px + {x}) * {cross}, 'y', s.y + (s.py + {y}) * {cross})"
-    )
-    finish = (
-        f"named_struct('a', abs(s.a) * {weight}, 'x', s.x * sign(s.a) * {weight}, 'y', s.y * sign(s.a) * {weight})"
+    ring = "concat(q.ring, slice(q.ring, 1, 1))"
+    local = f"transform({ring}, v -> named_struct('x', get(v, 0) - _ox, 'y', get(v, 1) - _oy))"
+    edges = (
+        "zip_with(q.points, slice(q.points, 2, greatest(size(q.points), 1)), (a, b) -> "
+        "named_struct('c', a.x * b.y - b.x * a.y, 'sx', a.x + b.x, 'sy', a.y + b.y))"
     )
-    path = f"concat(slice({ring}, 2, greatest(size({ring}), 1)), slice({ring}, 1, 1))"
-    return f"aggregate({path}, {start}, (s, v) -> {step}, s -> {finish})"
-
-
-def _planar_centroid(parts: str) -> str:
-    """Struct ``x, y``: area-weighted centroid, holes subtracted; null without any area."""
-    vertex = f"get(get(get({parts}, 0), 0), 0)"
-    origin = (f"get({vertex}, 0)", f"get({vertex}, 1)")
-    moments = _ring_moments("r", "if(i = 0, 1D, -1D)", origin)
-    rings = f"flatten(transform({parts}, p -> transform(p, (r, i) -> {moments})))"
-    total = (
-        f"aggregate({rings}, named_struct('a', 0D, 'x', 0D, 'y', 0D), "
-        "(t, m) -> named_struct('a', t.a + m.a, 'x', t.x + m.x, 'y', t.y + m.y), "
-        f"t -> named_struct('x', try_divide(t.x, 3 * t.a) + {origin[0]}, "
-        f"'y', try_divide(t.y, 3 * t.a) + {origin[1]}))"
-    )
-    return f"CASE WHEN {parts} IS NOT NULL THEN {total} END"
+    moments = f"transform({edges}, e -> named_struct('c', e.c, 'x', e.sx * e.c, 'y', e.sy * e.c))"
+
+    def total(rows: str, field: str) -> str:
+        return f"aggregate({rows}, 0D, (s, m) -> s + coalesce(m.{field}, 0D))"
+
+    sums = ", ".join(f"'{f}', {total('q.moments', f)}" for f in ("c", "x", "y"))
+    steps = {
+        "_first": f"get(get(get({parts}, 0), 0), 0)",
+        "_ox": "get(_first, 0)",
+        "_oy": "get(_first, 1)",
+        "_rings": f"flatten(transform({parts}, p -> transform(p, (r, i) -> "
+        "named_struct('ring', r, 'hole', i > 0))))",
+        "_points": f"transform(_rings, q -> named_struct('points', {local}, 'hole', q.hole))",
+        "_moments": f"transform(_points, q -> named_struct('moments', {moments}, 'hole', q.hole))",
+        "_sums": f"transform(_moments, q -> named_struct({sums}, 'hole', q.hole))",
+        # An outer ring counts with positive area and a hole with negative area, whatever their direction.
+        "_signed": "transform(_sums, q -> named_struct('w', if(q.hole, -1D, 1D) * sign(q.c), 'c', q.c, 'x', q.x, 'y', q.y))",
+        "_weighted": "transform(_signed, q -> named_struct('c', q.w * q.c, 'x', q.w * q.x, 'y', q.w * q.y))",
+        "_area": f"3 * {total('_weighted', 'c')}",
+        out: f"CASE WHEN {parts} IS NOT NULL THEN named_struct("
+        f"'x', try_divide({total('_weighted', 'x')}, _area) + _ox, "
+        f"'y', try_divide({total('_weighted', 'y')}, _area) + _oy) END",
+    }
+    kept = df.columns
+    for name, step in steps.items():
+        df = df.withColumn(name, F.expr(step))
+    return df.select(*kept, out)
 
 
 def with_centroid(df: DataFrame, parts: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds the centroid computed directly in degrees."""
-    return (
-        df.withColumn("_centroid", F.expr(_planar_centroid(parts)))
-        .withColumns({lat: F.col("_centroid.y"), lon: F.col("_centroid.x")})
-        .drop("_centroid")
-    )
+    placed = _with_planar_centroid(df, parts, "_centroid")
+    return computed_once(placed, {lat: F.col("_centroid.y"), lon: F.col("_centroid.x")}).drop("_centroid")
 
 
 def with_projected_centroid(
@@ -92,12 +109,10 @@ def with_projected_centroid(
 ) -> DataFrame:
     """Adds the centroid computed in the UTM plane and turned back into degrees."""
     plane = f"transform({parts}, p -> transform(p, r -> {utm_forward_sql('r', zone)}))"
-    return (
-        df.withColumn("_plane", F.expr(plane))
-        .withColumn("_centroid", F.expr(_planar_centroid("_plane")))
-        .withColumn("_degrees", F.expr(utm_inverse_sql("_centroid.x", "_centroid.y", zone)))
-        .withColumns({lat: F.col("_degrees.lat"), lon: F.col("_degrees.lon")})
-        .drop("_plane", "_centroid", "_degrees")
+    placed = _with_planar_centroid(computed_once(df, {"_plane": F.expr(plane)}), "_plane", "_centroid")
+    turned = placed.withColumn("_degrees", F.expr(utm_inverse_sql("_centroid.x", "_centroid.y", zone)))
+    return computed_once(turned, {lat: F.col("_degrees.lat"), lon: F.col("_degrees.lon")}).drop(
+        "_plane", "_centroid", "_degrees"
     )
 
 

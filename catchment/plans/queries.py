@@ -232,7 +232,7 @@ def _(spark, d):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return areas(spark, d).withColumn("parts", geometry.parse_parts("geom_geojson"))
+    return geometry.with_parts(areas(spark, d), "geom_geojson")
 
 
 def _ring_figures(df: DataFrame, ring: str, *keep: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment import schemas
-from catchment.functions.geometry import parse_parts, to_geojson, with_centroid
+from catchment.functions.geometry import to_geojson, with_centroid, with_parts
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | N
 
 def boundary_table(df: DataFrame, geojson: str = "geom_geojson") -> DataFrame:
     """Boundary rows with identifiers, degree-space centroid and GeoJSON text."""
-    parsed = with_centroid(df.withColumn("_parts", parse_parts(geojson)), "_parts")
+    parsed = with_centroid(with_parts(df, geojson, "_parts"), "_parts")
     return parsed.withColumn("geom_geojson", to_geojson("_parts")).select(
         "geoid", "statefp", "countyfp", "tractce", "blkgrpce", "lat", "lon", "geom_geojson"
     )
