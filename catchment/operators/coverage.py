@@ -3,10 +3,15 @@
 Areas at the same coordinates act as one point with their summed population, and
 of the sites at the same coordinates only the first can ever be chosen, so both
 sides are first reduced to distinct locations.  The population in reach of every
-site is computed once.  When a site opens, only the points it newly covers and
+site is computed once.  When sites open, only the points they newly cover and
 the sites near enough to reach those points can change, so each round corrects
 the scores of that neighbourhood instead of rescoring everything.
 
+A round usually settles several picks.  The best few hundred sites form a
+frontier; points are grouped by the exact set of frontier sites that reach them,
+which gives a small table whatever the number of points.  From it the next picks
+follow on the driver, as long as they beat the best site outside the frontier.
+
 Where locations are dense, points are summarised in nested cells by bounding box.
 A cell wholly inside a disc counts as a whole and one wholly outside is dropped;
 only cells cut by the rim are opened, so the work follows the rim of the disc and
@@ -19,7 +24,10 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +52,10 @@ from catchment.sources.cache import FrameCache
 
 # Points a cell may hold before it is divided further.
 LEAF_POINTS = 2048
+# Sites per frontier: four words of 63 bits.  Discs cut the sphere into at most
+# n * n - n + 2 regions, so a frontier yields at most 63 254 distinct sets.
+WORD_BITS, WORDS = 63, 4
+FRONTIER_SITES = WORD_BITS * WORDS
 # Rounds after which the corrections are folded into a checkpointed score table.
 CONSOLIDATE_ROUNDS = 8
 _CELL = ["block", "cell_row", "cell_col"]
@@ -60,6 +72,13 @@ class Selection:
     radius_miles: float
 
 
+class _Pick(NamedTuple):
+    s_lat: float
+    s_lon: float
+    first_here: object
+    people: object
+
+
 @dataclass(frozen=True)
 class CoverageRun:
     summary: DataFrame
@@ -106,21 +125,42 @@ def site_reach_blocks(
     return grid.reach(placed(merged, "s_", "lat", "lon", ["first_here"]), "s_lat", "s_lon")
 
 
-def refinement(points: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[int, bool]:
-    """Smallest level at which no cell holds more than ``leaf_points`` points.
+def _fullest(points: DataFrame, level: int) -> DataFrame:
+    """One row: points in the fullest cell of a level and the smallest population of all."""
+    cells = points.groupBy(*map(F.expr, cell_key(level))).agg(F.count("*").alias("n"), F.min("people").alias("least"))
+    return cells.agg(F.max("n").alias("n"), F.min("least").alias("least"))
+
+
+def refinement(points: DataFrame, leaf_points: int = LEAF_POINTS, start: int = 0) -> int:
+    """Smallest level at which no cell holds more than ``leaf_points`` points."""
+    for level in range(start, MAX_LEVEL):
+        if (_fullest(points, level).first().n or 0) <= leaf_points:
+            return level
+    return MAX_LEVEL
+
 
-    Also tells whether any point has a negative population.
+class _Shape(NamedTuple):
+    level: int
+    hot: DataFrame | None
+    signed: bool
+
+
+def _shape(points: DataFrame, reach: DataFrame, leaf_points: int, hot_rows: int) -> _Shape:
+    """Level of refinement, hot blocks and whether populations can be negative.
+
+    One job tells all three in the usual case.  Hot blocks come as a local table
+    of at most reach rows / hot_rows rows, or None.
     """
-    signed = False
-    for level in range(MAX_LEVEL):
-        cells = points.groupBy(*map(F.expr, cell_key(level))).agg(
-            F.count("*").alias("n"), F.min("people").alias("least")
-        )
-        fullest, least = cells.agg(F.max("n"), F.min("least")).first()
-        signed = (least or 0) < 0
-        if (fullest or 0) <= leaf_points:
-            return level, signed
-    return MAX_LEVEL, signed
+    blocks = reach.groupBy("block").count().agg(F.max("count").alias("n"), F.lit(None).alias("least"))
+    sides = _fullest(points, 0).withColumn("side", F.lit(0)).unionAll(blocks.withColumn("side", F.lit(1)))
+    by_points, by_sites = sorted(sides.collect(), key=lambda r: r.side)
+    level, hot = 0, None
+    if (by_points.n or 0) > leaf_points:
+        level = refinement(points, leaf_points, 1)
+    if (by_sites.n or 0) > hot_rows:
+        keys = hot_keys(reach, ["block"], hot_rows)
+        hot = reach.sparkSession.createDataFrame(keys.collect(), keys.schema)
+    return _Shape(level, hot, (by_points.least or 0) < 0)
 
 
 def _cells(points: DataFrame, level: int) -> DataFrame:
@@ -173,15 +213,6 @@ def served(
     return reduce(DataFrame.unionAll, parts)
 
 
-def _hot_blocks(reach: DataFrame, hot_rows: int) -> DataFrame | None:
-    """Hot blocks as a local table (at most reach rows / hot_rows of them), or None."""
-    if reach.count() <= hot_rows:
-        return None
-    keys = hot_keys(reach, ["block"], hot_rows)
-    rows = keys.collect()
-    return reach.sparkSession.createDataFrame(rows, keys.schema) if rows else None
-
-
 def _covered(point: tuple, centers: Sequence[tuple[float, float]], radius_miles: float) -> str:
     """Is the point within the radius of one of the given centers."""
     tests = [within_sql(fixed_point(*c), point, radius_miles) for c in centers]
@@ -218,19 +249,58 @@ def _sites_near(reach: DataFrame, centers: list, radius_miles: float) -> DataFra
     return reach.where(" OR ".join(f"{squared_chord_sql(vector, fixed_point(*c)[0])} <= {limit}" for c in centers))
 
 
-def _independent(ranked: list, radius_miles: float) -> list:
-    """Longest start of the ranking whose discs share no point.
+def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list) -> list:
+    """``m0 .. m3, people`` for each distinct set of frontier sites that share uncovered points.
 
-    Opening one of these cannot change the gain of another, and all sites further
-    down gain no more, so they are the next picks in this order.
+    The frontier, at most FRONTIER_SITES rows, is broadcast.  All matches of a
+    point arise in the task that holds it, so they are merged before the shuffle.
     """
-    limit = _touch_limit(radius_miles)
-    batch: list = []
-    for row in ranked:
-        if not all(_apart((row.s_lat, row.s_lon), (b.s_lat, b.s_lon), limit) for b in batch):
+    words = [f"m{w}" for w in range(WORDS)]
+    centers = _centers(frontier)
+    values = [(*c, *unit_vector(*c)) for c in centers]
+    columns = dict(zip([*side("s_")[1:], *side("s_")[0]], map(list, zip(*values))))
+    for w, word in enumerate(words):
+        columns[word] = [1 << (i % WORD_BITS) if i // WORD_BITS == w else 0 for i in range(len(centers))]
+    table = points.sparkSession.createDataFrame(pa.table(columns))
+    limit = _touch_limit(grid.radius_miles)
+    close = [c for c in chosen if not all(_apart(c, f, limit) for f in centers)]
+    bands = [grid.block_range(lat) for lat, _ in centers]
+    uncovered = points.where(f"block BETWEEN {min(b[0] for b in bands)}L AND {max(b[1] for b in bands)}L")
+    if close:
+        uncovered = uncovered.where("NOT " + _covered(side("d_"), close, grid.radius_miles))
+    return (
+        uncovered.join(F.broadcast(grid.reach(table, "s_lat", "s_lon")), "block")
+        .where(within_sql(side("s_"), side("d_"), grid.radius_miles))
+        .groupBy("d_lat", "d_lon")
+        .agg(*[F.bit_or(w).alias(w) for w in words], F.max("people").alias("people"))
+        .groupBy(*words)
+        .agg(F.sum("people").alias("people"))
+        .collect()
+    )
+
+
+def _next_picks(frontier: list, sets: list, cut, room: int) -> list:
+    """Greedy picks inside the frontier while they beat ``cut``, the best gain outside it.
+
+    The first pick needs no comparison: it leads the ranking of all sites.
+    """
+    whole = all(isinstance(r.people, int) for r in sets) and sum(r.people for r in sets) < 2**62
+    people = np.array([r.people for r in sets], dtype="int64" if whole else object)
+    words = np.array([r[:WORDS] for r in sets], dtype="int64").reshape(-1, WORDS)
+    reached = np.stack([(words[:, i // WORD_BITS] >> (i % WORD_BITS)) & 1 == 1 for i in range(len(frontier))], axis=1)
+    gains = np.array([people[reached[:, i]].sum() for i in range(len(frontier))], dtype=people.dtype)
+    order = [(r.first_here, r.s_lat, r.s_lon) for r in frontier]
+    picks: list = []
+    while len(picks) < room:
+        best = gains.max()
+        if best <= 0 or (picks and best <= cut):
             break
-        batch.append(row)
-    return batch
+        at = min(np.flatnonzero(gains == best), key=lambda i: order[i])
+        picks.append(_Pick(*_centers([frontier[at]])[0], frontier[at].first_here, int(best) if whole else best))
+        taken = reached[:, at] & (people != 0)
+        gains = gains - people[taken] @ reached[taken].astype(people.dtype)
+        people[taken] = 0
+    return picks
 
 
 def greedy_cover(
@@ -248,7 +318,8 @@ def greedy_cover(
     """Chooses up to ``k`` sites, each time the one that covers most people not yet covered.
 
     Ties go to the site that comes first by ``order_by``; sites that add nobody
-    are never chosen.  The driver sees at most ``k`` rows per round.
+    are never chosen.  The driver sees only the frontier and its sets, whose
+    number does not depend on the data.
     """
     if k < 0:
         raise ValueError(f"k must be zero or more, got {k}")
@@ -261,8 +332,7 @@ def greedy_cover(
         )
         reach = cache.get("reach", lambda: site_reach_blocks(sites, grid, order_by, lat, lon))
         if k:
-            level, signed = refinement(points, leaf_points)
-            hot = _hot_blocks(reach, hot_rows)
+            level, hot, signed = _shape(points, reach, leaf_points, hot_rows)
         while len(chosen) < k:
             if not chosen:
                 gains = _per_site(served(points, reach, radius_miles, level, hot))
@@ -279,13 +349,19 @@ def greedy_cover(
                 base, losses = scores.checkpoint(), []
                 cache.drop_all_but("points", "reach")
                 scores = base
-            best = (
+            frontier = (
                 scores.where("people > 0")
                 .orderBy(F.desc("people"), "first_here", "s_lat", "s_lon")
-                .limit(1 if signed else k - len(chosen))
+                .limit(1 if signed else FRONTIER_SITES + 1)
                 .collect()
             )
-            batch = _independent(best, radius_miles)
+            batch = [_Pick(r.s_lat, r.s_lon, r.first_here, r.people) for r in frontier[:1]]
+            room = k - len(chosen)
+            if not signed and room > 1 and len(frontier) > 1:
+                cut = frontier[FRONTIER_SITES].people if len(frontier) > FRONTIER_SITES else 0
+                frontier = frontier[:FRONTIER_SITES]
+                sets = _frontier_sets(points, grid, frontier, _centers(chosen))
+                batch = _next_picks(frontier, sets, cut, room)
             if not batch:
                 break
             chosen += batch
@@ -408,9 +484,8 @@ def site_reach(
     grid = Grid(radius_miles)
     points = demand_points(areas, grid, population, lat, lon)
     reach = site_reach_blocks(sites, grid, order_by, lat, lon)
-    level, _ = refinement(points)
     gains = (
-        _per_site(served(points, reach, radius_miles, level, hot_keys(reach, ["block"])))
+        _per_site(served(points, reach, radius_miles, refinement(points), hot_keys(reach, ["block"])))
         .select("s_lat", "s_lon", F.col("people").alias("gain"))
     )
     here = (F.col(lat).cast("double") == F.col("s_lat")) & (F.col(lon).cast("double") == F.col("s_lon"))
