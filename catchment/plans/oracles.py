@@ -17,7 +17,7 @@ from catchment.operators.generate import (
 )
 from catchment.plans.inputs import AGE_MODULI, COUNT_MODULI
 from catchment.schemas import DEMOGRAPHIC_COLUMNS
-from catchment.sources.census import ACS_VARIABLES
+from catchment.sources.census import ACS_CELL_VARIABLES, ACS_VARIABLES, LONG_NAMES
 
 R = 3958.7613
 
@@ -94,21 +94,28 @@ def pairs(demand: str, sites: str, radius: float, name: str = "pairs") -> str:
     )
 
 
-def greedy(k: int, radius: float) -> list[str]:
-    """Pairs and one materialised step per pick: p1 .. pk (site_id, gain, round) and c1 .. ck (geoid)."""
-    steps = [pairs("fx_demand", "fx_open", radius)]
-    for i in range(1, k + 1):
-        taken = " AND ".join(f"geoid NOT IN (SELECT geoid FROM c{j})" for j in range(1, i)) or "TRUE"
+def greedy(k: int, radius: float, demand: str = "fx_demand", tag: str = "") -> list[str]:
+    """Pairs and one materialised step per pick: p1 .. pk (site_id, gain, rank) and c1 .. ck (geoid)."""
+    steps = [pairs(demand, "fx_open", radius, f"pairs{tag}")]
+    rounds = range(1, k + 1)
+    for i in rounds:
+        taken = " AND ".join(f"geoid NOT IN (SELECT geoid FROM c{j}{tag})" for j in range(1, i)) or "TRUE"
         steps.append(
-            f"p{i} AS MATERIALIZED (SELECT site_id, CAST(sum(population) AS BIGINT) AS gain, {i} AS rank FROM pairs "
-            f"WHERE {taken} GROUP BY site_id HAVING sum(population) > 0 ORDER BY gain DESC, site_id LIMIT 1)"
+            f"p{i}{tag} AS MATERIALIZED (SELECT site_id, CAST(sum(population) AS BIGINT) AS gain, {i} AS rank "
+            f"FROM pairs{tag} WHERE {taken} GROUP BY site_id HAVING sum(population) > 0 ORDER BY gain DESC, site_id LIMIT 1)"
         )
-        steps.append(f"c{i} AS MATERIALIZED (SELECT DISTINCT geoid FROM pairs WHERE site_id IN (SELECT site_id FROM p{i}))")
-    steps.append("picks AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1)) + ")")
-    steps.append("covered AS (" + " UNION ".join(f"SELECT geoid FROM c{i}" for i in range(1, k + 1)) + ")")
+        steps.append(
+            f"c{i}{tag} AS MATERIALIZED (SELECT DISTINCT geoid FROM pairs{tag} "
+            f"WHERE site_id IN (SELECT site_id FROM p{i}{tag}))"
+        )
+    steps.append(f"picks{tag} AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}{tag}" for i in rounds) + ")")
+    steps.append(f"covered{tag} AS (" + " UNION ".join(f"SELECT geoid FROM c{i}{tag}" for i in rounds) + ")")
     return steps
 
 
+MERGED = """fx_merged AS (SELECT b.geoid, b.lat, b.lon, coalesce(y.pop, c.pop, 0) AS population FROM fx_areas b
+LEFT JOIN fx_demo_city c ON b.geoid = c.geoid LEFT JOIN fx_demo_county y ON b.geoid = y.geoid),
+fx_merged_demand AS (SELECT * FROM fx_merged WHERE geoid IN (SELECT geoid FROM fx_affected))"""
 FLAG = greedy(5, 5.0)
 
 
@@ -141,14 +148,23 @@ _decoded = ", ".join(
 oracle("src6_census_decode", f"SELECT geoid AS GEOID, {_decoded} FROM fx_counts")
 oracle("src6_tract_decode", """SELECT substring(geoid, 1, 11) AS GEOID, concat('Area ', geoid) AS NAME,
 CAST(CASE WHEN POP % 71 = 0 THEN NULL ELSE POP END AS DOUBLE) AS POP FROM fx_counts""")
+_cells = {code: name for code, name in ACS_CELL_VARIABLES.items() if name in COUNT_MODULI or name == "POP"}
+_second = dict(sorted(_cells.items()))[sorted(_cells)[1]]
+oracle("src6_census_decode_cells", "SELECT geoid AS GEOID, " + ", ".join(
+    f"CASE WHEN POP % 71 <> 0 THEN {n} END AS {n}" if n == _second else n for n in _cells.values()) + " FROM fx_counts")
 oracle("src7_rename_coded", f"SELECT geoid, {', '.join(ACS_VARIABLES.values())} FROM fx_counts")
 oracle("snk1_table_replace", "SELECT * FROM fx_demo_city")
 oracle("snk2_table_append", "SELECT * FROM fx_demo_city UNION ALL SELECT * FROM fx_demo_county")
 oracle("snk3_csv_write", f"""SELECT geoid AS GEOID, 'Block Group, St. Louis County, Missouri' AS Location, POP,
 {half_even(rate('HH_SNAP', 'Total_Households'))} AS SNAP_Rate,
 {half_even(rate('HH_No_Internet', 'Total_Households'))} AS No_Internet_Rate FROM fx_counts""")
-oracle("cache1_shared_frames", """SELECT countyfp, CAST(sum(population) AS BIGINT) AS population, count(*) AS areas
-FROM fx_areas GROUP BY countyfp""")
+oracle("cache1_shared_frames", " UNION ALL ".join(f"""SELECT {r!r}::DOUBLE AS radius_miles,
+CAST((SELECT sum(population) FROM fx_merged_demand) AS BIGINT) AS total_population,
+CAST((SELECT sum(population) FROM fx_merged_demand WHERE geoid IN (SELECT geoid FROM covered{t})) AS BIGINT) AS covered_population,
+round(100.0 * (SELECT sum(population) FROM fx_merged_demand WHERE geoid IN (SELECT geoid FROM covered{t}))::DOUBLE
+/ (SELECT sum(population) FROM fx_merged_demand)::DOUBLE, 6) AS coverage_percent,
+CAST((SELECT count(*) FROM picks{t}) AS INTEGER) AS selected_count""" for r, t in ((2.0, "_near"), (5.0, "_far"))),
+    MERGED, *greedy(3, 2.0, "fx_merged_demand", "_near"), *greedy(3, 5.0, "fx_merged_demand", "_far"))
 
 # --- projections and filters ---
 
@@ -163,7 +179,7 @@ oracle("p7_key_to_string", """SELECT CAST(CAST(a.geoid AS BIGINT) AS VARCHAR) AS
 FROM fx_areas a LEFT JOIN fx_demo_city c ON CAST(a.geoid AS BIGINT) = CAST(c.geoid AS BIGINT)""")
 _present = [c for c in DEMOGRAPHIC_COLUMNS if c in {"POP", "Total_Households", "Median_HH_Income", *COUNT_MODULI}]
 oracle("p8_existing_columns", f"SELECT geoid AS GEOID, {', '.join(_present)} FROM fx_counts")
-oracle("p9_rename_map", "SELECT geoid, Low_Income_HH, HH_SNAP, Workers_No_Car FROM fx_counts")
+oracle("p9_rename_map", f"SELECT geoid, {', '.join(LONG_NAMES.values())} FROM fx_counts")
 GEO = [
     "geo AS (SELECT geoid, population, geom_geojson AS g, CASE WHEN json_valid(geom_geojson) "
     "THEN json_extract_string(geom_geojson, '$.type') END AS kind FROM fx_areas)",
@@ -194,6 +210,11 @@ def centroid(points: str, name: str) -> list[str]:
     ]
 
 
+def ring_figures(keep: str) -> str:
+    return (f"{keep}, count(*) AS vertices, min(CASE WHEN vi = 1 THEN x END) AS first_lon, "
+            "min(CASE WHEN vi = 1 THEN y END) AS first_lat, round(sum(x), 6) AS sum_lon, round(sum(y), 6) AS sum_lat")
+
+
 oracle("p10_usable_geometry", "SELECT geoid, population FROM shapes WHERE parts IS NOT NULL AND len(parts[1][1]) > 0", *GEO)
 oracle("p11_selected_flag", "SELECT geoid, population, geoid IN (SELECT geoid FROM fx_affected) AS selected FROM fx_areas")
 oracle("p12_split_by_flag", """SELECT CASE WHEN population % 3 = 0 THEN 'selected' ELSE 'base' END AS layer, count(*) AS areas,
@@ -214,6 +235,8 @@ oracle("p18_location_text", """SELECT geoid, concat('Block Group ', blkgrpce, ',
 oracle("j1_priority_merge", """SELECT b.geoid, b.lat, b.lon, coalesce(y.pop, c.pop, 0) AS population FROM fx_areas b
 LEFT JOIN fx_demo_city c ON b.geoid = c.geoid LEFT JOIN fx_demo_county y ON b.geoid = y.geoid""")
 _child, _elder = half_even(rate(trunc("POP * 0.2::DOUBLE"), "POP")), half_even(rate(trunc("POP * 0.15::DOUBLE"), "POP"))
+oracle("j1_prepared_areas", f"""SELECT {ring_figures('m.geoid, m.lat, m.lon, m.population')}
+FROM xy JOIN fx_merged m USING (geoid) WHERE pi = 1 AND ri = 1 GROUP BY ALL""", *GEO, MERGED)
 oracle("j2_enrich", f"""SELECT b.geoid, b.lat, b.lon, t.POP, t.Low_Income_Rate, t.Total_Dependency_Rate FROM fx_areas b LEFT JOIN (
 SELECT geoid, POP, {half_even(rate('Low_Income_HH', 'Total_Households'))} AS Low_Income_Rate,
 {half_even(f'{_child} + {_elder}')} AS Total_Dependency_Rate FROM fx_counts WHERE POP % 4 <> 0) t ON b.geoid = t.geoid""")
@@ -385,11 +408,6 @@ oracle("geo3_projected_centroid", "SELECT geoid, round(lat, 7) AS lat, round(lon
        *GEO, *_UTM, *centroid("tm", "plane"), *_BACK)
 
 
-def ring_figures(keep: str) -> str:
-    return (f"{keep}, count(*) AS vertices, min(CASE WHEN vi = 1 THEN x END) AS first_lon, "
-            "min(CASE WHEN vi = 1 THEN y END) AS first_lat, round(sum(x), 6) AS sum_lon, round(sum(y), 6) AS sum_lat")
-
-
 oracle("geo4_first_outer_ring", f"SELECT {ring_figures('geoid')} FROM xy WHERE pi = 1 AND ri = 1 GROUP BY geoid", *GEO)
 oracle("geo5_polygon_parts", f"""SELECT {ring_figures('geoid, population')} FROM xy JOIN fx_areas USING (geoid)
 WHERE ri = 1 GROUP BY geoid, population, pi""", *GEO)
@@ -529,14 +547,22 @@ def _pct(expression: str) -> str:
 
 
 _renter = half_even(rate("Renter_Occupied", "(Total_Housing_Units - Vacant_Housing_Units)"))
-oracle("r5_area_description", "SELECT geoid AS GEOID, concat_ws('; ', " + ", ".join([
+_DESCRIBED = [
     "'GEOID: ' || geoid",
     _desc("POP", "format('{:,}', POP)"),
     _desc("Median_HH_Income", "format('{:,}', Median_HH_Income)"),
     _desc("Low_Income_Rate", _pct(_LOW)),
     _desc("Child_Dependency_Rate", _pct(_child)),
     _desc("Elderly_Dependency_Rate", _pct(_elder)),
-    f"CASE WHEN POP % 5 > 0 THEN {_desc('Renter_Rate', _pct(_renter))} END",
+    _desc("Renter_Rate", _pct(_renter)),
     _desc("Vacancy_Rate", _pct(half_even(rate("Vacant_Housing_Units", "Total_Housing_Units")))),
     _desc("No_Internet_Rate", _pct(half_even(rate("HH_No_Internet", "Total_Households")))),
-]) + ") AS description FROM fx_counts")
+]
+oracle("r5_area_description", "SELECT geoid AS GEOID, concat_ws('; ', " + ", ".join(
+    f"CASE WHEN POP % 5 > 0 THEN {t} END" if "Renter" in t else t for t in _DESCRIBED) + ") AS description FROM fx_counts")
+oracle("r5_map_tables", "SELECT a.geoid, round(b.lat, 7) AS lat, round(b.lon, 7) AS lon, t.POP, "
+       "coalesce(t.description, 'GEOID: ' || a.geoid) AS description FROM fx_areas a LEFT JOIN back b USING (geoid) LEFT JOIN ("
+       "SELECT geoid, POP, concat_ws('; ', " + ", ".join(
+           [_DESCRIBED[0], "'Location: Block Group, St. Louis County, Missouri'", *_DESCRIBED[1:]])
+       + ") AS description FROM fx_counts WHERE POP % 4 <> 0) t ON a.geoid = t.geoid",
+       *GEO, *_UTM, *centroid("tm", "plane"), *_BACK)

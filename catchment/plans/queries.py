@@ -23,9 +23,9 @@ from catchment.operators import (
 from catchment.operators.radius_join import radius_join
 from catchment.operators.statistics import exact_median
 from catchment.plans import inputs
+from catchment.plans.service import CoverageService, map_tables
 from catchment.session import fresh_path
 from catchment.sources import census, tables
-from catchment.sources.cache import FrameCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,13 @@ def _(spark, d):
     return census.decode_tracts(inputs.census_responses(spark, d, variables))
 
 
+@query("src6_census_decode_cells")
+def _(spark, d):
+    known = {code: name for code, name in census.ACS_CELL_VARIABLES.items() if name in inputs.COUNT_MODULI or name == "POP"}
+    responses = inputs.census_responses(spark, d, dict(sorted(known.items())))
+    return census.decode_block_groups(responses, variables=known, bad_is_zero=False)
+
+
 @query("src7_rename_coded")
 def _(spark, d):
     coded = inputs.counts(spark, d).select("geoid", *[F.col(n).alias(c) for c, n in census.ACS_VARIABLES.items()])
@@ -165,14 +172,30 @@ def _(spark, d):
     return rounded(tables.boundary_table(areas(spark, d)), "lat", "lon")
 
 
+def service(spark: SparkSession, d: str) -> CoverageService:
+    return CoverageService(
+        boundaries=areas(spark, d).drop("population"),
+        city=inputs.city_demographics(spark, d),
+        county=inputs.county_demographics(spark, d),
+        sites=sites(spark, d),
+    )
+
+
 @query("cache1_shared_frames")
 def _(spark, d):
-    cache = FrameCache()
-    kept = cache.get("areas", lambda: areas(spark, d).select("geoid", "countyfp", "population"))
-    again = cache.get("areas", lambda: areas(spark, d))
-    return kept.groupBy("countyfp").agg(F.sum("population").alias("population")).join(
-        again.groupBy("countyfp").agg(F.count("*").alias("areas")), "countyfp"
-    )
+    """Two requests answered from the same kept frames, which are then released."""
+    shared = service(spark, d)
+    runs = [shared.optimize(inputs.affected(spark, d), radius, 3) for radius in (2.0, 5.0)]
+    rows = [(r.selection.radius_miles, *r.summary.first()) for r in runs]
+    kind = "radius_miles double, total_population bigint, covered_population bigint, coverage_percent double, selected_count int"
+    shared.clear_cache()
+    return rounded(spark.createDataFrame(rows, kind), "coverage_percent")
+
+
+@query("j1_prepared_areas")
+def _(spark, d):
+    """What the map shows: areas with usable geometry, merged population and outer ring."""
+    return _ring_figures(service(spark, d).block_groups(), "polygon", "geoid", "lat", "lon", "population")
 
 
 # --- projections and filters -----------------------------------------------------------
@@ -224,11 +247,9 @@ def _(spark, d):
 
 @query("p9_rename_map")
 def _(spark, d):
-    source = inputs.counts(spark, d).selectExpr(
-        "geoid", "Low_Income_HH AS Below_Poverty_Level", "HH_SNAP AS SNAP_Participants", "Workers_No_Car AS Workers_No_Vehicle"
-    )
-    names = {"Below_Poverty_Level": "Low_Income_HH", "SNAP_Participants": "HH_SNAP", "Workers_No_Vehicle": "Workers_No_Car"}
-    return census.rename_coded(source, names)
+    long = {short: name for name, short in census.LONG_NAMES.items()}
+    source = inputs.counts(spark, d).select("geoid", *[F.col(short).alias(name) for short, name in long.items()])
+    return census.rename_coded(source, census.LONG_NAMES)
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -773,3 +794,11 @@ def _(spark, d):
         "Renter_Rate", F.expr("CASE WHEN POP % 5 > 0 THEN Renter_Rate END")
     )
     return reports.describe_areas(partly).select("GEOID", "description")
+
+
+@query("r5_map_tables")
+def _(spark, d):
+    """Areas as the static map shows them: projected centroid, demographics and text."""
+    table = demographics.demographic_table(inputs.estimate_counts(spark, d), PLACE, "estimate")
+    shown = map_tables(areas(spark, d), table.where(F.col("POP") % 4 != 0))
+    return rounded(shown.select("geoid", "lat", "lon", "POP", "description"), "lat", "lon", digits=7)

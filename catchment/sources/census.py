@@ -30,6 +30,49 @@ ACS_VARIABLES = {
     "B11001_008E": "Single_Parent_HH",
 }
 
+# The same for the variant with age-sex cells (fixed values).
+ACS_CELL_VARIABLES = {
+    "B01003_001E": "POP",
+    "B11001_001E": "Total_Households",
+    "B19013_001E": "Median_HH_Income",
+    "B17001_002E": "Low_Income_HH",
+    "B22001_002E": "HH_SNAP",
+    "B09001_001E": "Children_0_17",
+    "B01001_003E": "Children_0_4",
+    "B01001_027E": "Female_0_4",
+    "B01001_006E": "Male_5_9",
+    "B01001_030E": "Female_5_9",
+    "B01001_007E": "Male_10_14",
+    "B01001_031E": "Female_10_14",
+    "B01001_008E": "Male_15_17",
+    "B01001_032E": "Female_15_17",
+    "B01001_020E": "Male_65_74",
+    "B01001_044E": "Female_65_74",
+    "B01001_021E": "Male_75_plus",
+    "B01001_045E": "Female_75_plus",
+    "B11001_006E": "HH_With_Children",
+    "B11001_008E": "Single_Parent_HH",
+    "B25003_003E": "Renter_Occupied",
+    "B25001_001E": "Total_Housing_Units",
+    "B25002_003E": "Vacant_Housing_Units",
+    "B25035_001E": "Median_Year_Built",
+    "B08006_001E": "Total_Workers",
+    "B08006_008E": "Workers_No_Car",
+    "B28003_002E": "HH_No_Internet",
+    "B11005_002E": "Public_Assistance_HH",
+}
+# Long names of counts and the names the metrics use (fixed values).
+LONG_NAMES = {
+    "Below_Poverty_Level": "Low_Income_HH",
+    "SNAP_Participants": "HH_SNAP",
+    "Public_Assistance": "Public_Assistance_HH",
+    "Families_With_Children": "HH_With_Children",
+    "Single_Parent_Families": "Single_Parent_HH",
+    "Workers_16_Plus": "Total_Workers",
+    "Workers_No_Vehicle": "Workers_No_Car",
+    "No_Internet_Access": "HH_No_Internet",
+}
+
 
 def response_rows(responses: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     """One row per data row, with the named fields as text columns.
@@ -53,13 +96,17 @@ def rename_coded(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def decode_block_groups(
-    responses: DataFrame, column: str = "response", variables: Mapping[str, str] = ACS_VARIABLES
+    responses: DataFrame,
+    column: str = "response",
+    variables: Mapping[str, str] = ACS_VARIABLES,
+    bad_is_zero: bool = True,
 ) -> DataFrame:
-    """``GEOID`` and the named counts; a count that is no whole number becomes 0."""
+    """``GEOID`` and the named counts; a count that is no whole number becomes 0, or null if so asked."""
     rows = response_rows(responses, column, [*BLOCK_GROUP_CODES, *variables])
+    count = number_or_zero_sql if bad_is_zero else number_or_null_sql
     counted = rows.select(
         F.concat(*[F.col(f"`{c}`") for c in BLOCK_GROUP_CODES]).alias("GEOID"),
-        *[F.expr(number_or_zero_sql(v)).alias(v) for v in variables],
+        *[F.expr(count(v, "bigint")).alias(v) for v in variables],
     )
     return rename_coded(counted, variables)
 

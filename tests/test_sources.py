@@ -79,3 +79,22 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 @pytest.mark.parametrize("name", ["BOUNDARIES", "DEMOGRAPHICS", "CANDIDATE_SITES", "DATA_DICTIONARY"])
 def test_schemas_are_readable(spark, name):
     assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+
+
+def test_service_keeps_and_releases_frames(spark):
+    from catchment.plans.service import CoverageService
+
+    square = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
+    bounds = spark.createDataFrame(
+        [("a", 38.6, -90.2, square), ("b", 38.6, -90.2, None)], "geoid string, lat double, lon double, geom_geojson string")
+    city = spark.createDataFrame([("a", 5), ("b", 6)], "geoid string, pop bigint")
+    county = spark.createDataFrame([("b", 7)], "geoid string, pop bigint")
+    sites = spark.createDataFrame([("s", "S", "school", 38.6, -90.2)], "site_id string, name string, type string, lat double, lon double")
+    for strict, total in ((False, 12), (True, 5)):
+        shared = CoverageService(bounds, city, county, sites, require_geometry=strict)
+        run = shared.optimize(["a", "b"])
+        assert tuple(run.summary.first()) == (total, total, 100.0, 1)
+        assert [r.geoid for r in shared.block_groups().collect()] == ["a"]
+        assert shared.candidates().is_cached
+        shared.clear_cache()
+        assert not run.demand.is_cached and shared._cache._frames == {}
