@@ -6,7 +6,7 @@ spread over a box around the two counties, with gaps, nulls and bad geometries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,75 +14,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _degrees(tenthousandths: Column, sign: str = "") -> Column:
-    whole = F.floor(tenthousandths / 1e4).cast("string")
-    return F.concat(F.lit(sign), whole, F.lit("."), F.lpad((tenthousandths % 10000).cast("string"), 4, "0"))
+def _degrees(tenthousandths: str, sign: str = "") -> str:
+    """Text of a coordinate that is given in ten-thousandths of a degree."""
+    whole = f"cast(cast(floor(({tenthousandths}) / 1e4D) AS bigint) AS string)"
+    return f"concat('{sign}', {whole}, '.', lpad(cast(({tenthousandths}) % 10000 AS string), 4, '0'))"
 
 
-def _ring(*corners: tuple[Column, Column]) -> Column:
-    points = [F.concat(F.lit("["), lon, F.lit(","), lat, F.lit("]")) for lon, lat in corners]
-    return F.concat(F.lit("["), F.concat_ws(",", *points), F.lit("]"))
+def _ring(*corners: str) -> str:
+    """Text of a ring through corners named by two letters, such as ``ws`` for west and south."""
+    points = ", ".join(f"concat('[', {c[0]}, ',', {c[1]}, ']')" for c in corners)
+    return f"concat('[', concat_ws(',', {points}), ']')"
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    county = F.when(k % 10 < 3, "510").otherwise("189")
-    la = F.lit(384000) + (k * 7919) % 5000
-    lo = F.lit(907400) - (k * 104729) % 6200
-    south, north = _degrees(la - 20), _degrees(la + 20)
-    west, east = _degrees(lo + 20, "-"), _degrees(lo - 20, "-")
-    square = _ring((west, south), (east, south), (east, north), (west, north), (west, south))
-    triangle = _ring((west, south), (east, south), (east, north), (west, south))
-
-    def shape(kind: str, coordinates: Column) -> Column:
-        return F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), coordinates, F.lit("}"))
+    square, triangle = _ring("ws", "es", "en", "wn", "ws"), _ring("ws", "es", "en", "ws")
+
+    def shape(kind: str, coordinates: str) -> str:
+        return f"""concat('{{"type":"{kind}","coordinates":', {coordinates}, '}}')"""
 
     geometry = (
-        F.when(k % 41 == 0, F.lit(None).cast("string"))
-        .when(k % 37 == 0, "not json")
-        .when(k % 31 == 0, shape("Point", F.concat(F.lit("["), west, F.lit(","), south, F.lit("]"))))
-        .when(k % 10 == 0, shape("MultiPolygon", F.concat(F.lit("[["), square, F.lit("],["), triangle, F.lit("]]"))))
-        .otherwise(shape("Polygon", F.concat(F.lit("["), square, F.lit("]"))))
+        "CASE WHEN k % 41 = 0 THEN NULL WHEN k % 37 = 0 THEN 'not json' "
+        f"WHEN k % 31 = 0 THEN {shape('Point', "concat('[', w, ',', s, ']')")} "
+        f"WHEN k % 10 = 0 THEN {shape('MultiPolygon', f"concat('[[', {square}, '],[', {triangle}, ']]')")} "
+        f"ELSE {shape('Polygon', f"concat('[', {square}, ']')")} END"
     )
-    key = F.expr("lpad(cast(c_custkey AS string), greatest(7, length(cast(c_custkey AS string))), '0')")
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("29"), county, key).alias("geoid"),
-        F.lit("29").alias("statefp"),
-        county.alias("countyfp"),
-        F.substring(key, 1, 6).alias("tractce"),
-        F.substring(key, 7, 1).alias("blkgrpce"),
-        (la / 1e4).alias("lat"),
-        (-lo / 1e4).alias("lon"),
-        F.floor(F.abs("c_acctbal")).cast("bigint").alias("population"),
-        geometry.alias("geom_geojson"),
+    return (
+        table(spark, sf_dir, "customer")
+        .selectExpr(
+            "c_custkey AS k",
+            "CASE WHEN c_custkey % 10 < 3 THEN '510' ELSE '189' END AS countyfp",
+            "384000 + (c_custkey * 7919) % 5000 AS la",
+            "907400 - (c_custkey * 104729) % 6200 AS lo",
+            "lpad(cast(c_custkey AS string), greatest(7, length(cast(c_custkey AS string))), '0') AS key",
+            "cast(floor(abs(c_acctbal)) AS bigint) AS population",
+        )
+        .selectExpr(
+            "*",
+            f"{_degrees('lo + 20', '-')} AS w",
+            f"{_degrees('lo - 20', '-')} AS e",
+            f"{_degrees('la - 20')} AS s",
+            f"{_degrees('la + 20')} AS n",
+        )
+        .selectExpr(
+            "concat('29', countyfp, key) AS geoid",
+            "'29' AS statefp",
+            "countyfp",
+            "substring(key, 1, 6) AS tractce",
+            "substring(key, 7, 1) AS blkgrpce",
+            "la / 1e4D AS lat",
+            "-lo / 1e4D AS lon",
+            "population",
+            f"{geometry} AS geom_geojson",
+        )
     )
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    kinds = ["school", "place_of_worship", "community_centre", "fire_station", "library", "warehouse"]
-    return table(spark, sf_dir, "supplier").select(
-        k.alias("site_id"),
-        F.col("s_name").alias("name"),
-        F.element_at(F.array(*[F.lit(v) for v in kinds]), (k % 6 + 1).cast("int")).alias("type"),
-        ((F.lit(384000) + (k * 6007) % 5000) / 1e4).alias("lat"),
-        ((F.lit(-907400) + (k * 15013) % 6200) / 1e4).alias("lon"),
+    kinds = "'school', 'place_of_worship', 'community_centre', 'fire_station', 'library', 'warehouse'"
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS site_id",
+        "s_name AS name",
+        f"element_at(array({kinds}), cast(s_suppkey % 6 + 1 AS int)) AS type",
+        "(384000 + (s_suppkey * 6007) % 5000) / 1e4D AS lat",
+        "(-907400 + (s_suppkey * 15013) % 6200) / 1e4D AS lon",
     )
 
 
 def city_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = (F.col("countyfp") == "510") | (F.col("population") % 50 == 0)
-    return areas(spark, sf_dir).where(listed).select("geoid", F.col("population").alias("pop"))
+    listed = areas(spark, sf_dir).where("countyfp = '510' OR population % 50 = 0")
+    return listed.selectExpr("geoid", "population AS pop")
 
 
 def county_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = F.col("population")
-    stated = F.when(people % 13 == 0, F.lit(None)).when(people % 17 == 0, 0).otherwise(people + 1)
-    return (
-        areas(spark, sf_dir)
-        .where((F.col("countyfp") == "189") & (people % 7 != 0))
-        .select("geoid", stated.cast("bigint").alias("pop"))
-    )
+    stated = "CASE WHEN population % 13 = 0 THEN NULL WHEN population % 17 = 0 THEN 0 ELSE population + 1 END"
+    listed = areas(spark, sf_dir).where("countyfp = '189' AND population % 7 <> 0")
+    return listed.selectExpr("geoid", f"cast({stated} AS bigint) AS pop")
 
 
 # Count columns and the modulus each is derived with.
@@ -102,19 +108,18 @@ COUNT_MODULI = {
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = F.col("population")
-    return areas(spark, sf_dir).select(
+    return areas(spark, sf_dir).selectExpr(
         "geoid",
-        people.alias("POP"),
-        F.when(people % 97 == 0, F.lit(None)).otherwise(people % 500).cast("bigint").alias("Total_Households"),
-        *[(people % m).alias(name) for name, m in COUNT_MODULI.items()],
-        (people * 9 + 20000).alias("Median_HH_Income"),
-        (people % 120 + 1900).alias("Median_Year_Built"),
+        "population AS POP",
+        "CASE WHEN population % 97 = 0 THEN NULL ELSE population % 500 END AS Total_Households",
+        *[f"population % {m} AS {name}" for name, m in COUNT_MODULI.items()],
+        "population * 9 + 20000 AS Median_HH_Income",
+        "population % 120 + 1900 AS Median_Year_Built",
     )
 
 
 def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return areas(spark, sf_dir).where(F.col("population") % 3 == 0).select("geoid")
+    return areas(spark, sf_dir).where("population % 3 = 0").select("geoid")
 
 
 # Age-sex cells and the modulus each is derived with.
@@ -126,20 +131,17 @@ AGE_MODULI = {
 
 def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw counts with age-sex cells, some unknown, and housing age."""
-    people = F.col("POP")
-    cells = {name: people % m for name, m in AGE_MODULI.items()}
-    cells["Male_5_9"] = F.when(people % 11 == 0, F.lit(None)).otherwise(people % 31)
     return (
         counts(spark, sf_dir)
         .withColumnRenamed("geoid", "GEOID")
-        .withColumns(cells)
-        .withColumns(
-            {
-                "Children_0_17": people % 333,
-                "Children_0_4": F.when(people % 19 == 0, F.lit(None)).otherwise(people % 77),
-                "Units_Before_1940": people % 50,
-                "Housing_Age_Universe": people % 400,
-            }
+        .selectExpr(
+            "*",
+            *[f"POP % {m} AS {name}" for name, m in AGE_MODULI.items() if name != "Male_5_9"],
+            f"CASE WHEN POP % 11 <> 0 THEN POP % {AGE_MODULI['Male_5_9']} END AS Male_5_9",
+            "POP % 333 AS Children_0_17",
+            "CASE WHEN POP % 19 <> 0 THEN POP % 77 END AS Children_0_4",
+            "POP % 50 AS Units_Before_1940",
+            "POP % 400 AS Housing_Age_Universe",
         )
     )
 
