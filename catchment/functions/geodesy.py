@@ -94,11 +94,6 @@ def side(prefix: str) -> tuple[list[str], str, str]:
     return [prefix + axis for axis in "xyz"], prefix + "lat", prefix + "lon"
 
 
-def fixed_point(lat: float, lon: float) -> tuple[list[str], str, str]:
-    """The same for a known point, as literals."""
-    return [sql_number(v) for v in unit_vector(lat, lon)], sql_number(lat), sql_number(lon)
-
-
 _E2 = GRS80_F * (2 - GRS80_F)
 _EP2 = _E2 / (1 - _E2)
 # Meridian arc per radian and its Fourier terms (Snyder 1987, eq. 3-21).

@@ -28,13 +28,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catchment.functions.geodesy import (
     chord_limits,
-    fixed_point,
     side,
     sql_number,
     squared_chord_sql,
@@ -56,6 +55,8 @@ LEAF_POINTS = 2048
 # n * n - n + 2 regions, so a frontier yields at most 63 254 distinct sets.
 WORD_BITS, WORDS = 63, 4
 FRONTIER_SITES = WORD_BITS * WORDS
+# Block ranges kept apart when skipping cached batches.
+MOST_RANGES = 16
 # Rounds after which the corrections are folded into a checkpointed score table.
 CONSOLIDATE_ROUNDS = 8
 _CELL = ["block", "cell_row", "cell_col"]
@@ -213,10 +214,24 @@ def served(
     return reduce(DataFrame.unionAll, parts)
 
 
-def _covered(point: tuple, centers: Sequence[tuple[float, float]], radius_miles: float) -> str:
-    """Is the point within the radius of one of the given centers."""
-    tests = [within_sql(fixed_point(*c), point, radius_miles) for c in centers]
-    return "(" + (" OR ".join(tests) or "false") + ")"
+def _center_blocks(spark: SparkSession, grid: Grid, centers: Sequence[tuple[float, float]], **extra: list) -> DataFrame:
+    """The given centers as ``c_`` columns, repeated per ``block`` in reach.
+
+    The centers come from the driver, so their number and the size of every
+    broadcast of this table are bounded by the request or the frontier.
+    """
+    values = [(*c, *unit_vector(*c)) for c in centers]
+    columns = dict(zip([*side("c_")[1:], *side("c_")[0]], map(list, zip(*values))))
+    return grid.reach(spark.createDataFrame(pa.table(columns | extra)), "c_lat", "c_lon")
+
+
+def _by_coverage(points: DataFrame, grid: Grid, centers: list, covered: bool) -> DataFrame:
+    """Points within the radius of one of the centers, or within that of none."""
+    if not centers:
+        return points.where(F.lit(not covered))
+    near = F.broadcast(_center_blocks(points.sparkSession, grid, centers).withColumnRenamed("block", "c_block"))
+    match = (F.col("block") == F.col("c_block")) & F.expr(within_sql(side("c_"), side("d_"), grid.radius_miles))
+    return points.join(near, match, "left_semi" if covered else "left_anti")
 
 
 def _touch_limit(radius_miles: float) -> float:
@@ -224,29 +239,33 @@ def _touch_limit(radius_miles: float) -> float:
     return chord_limits(2 * radius_miles)[1]
 
 
-def _apart(a: tuple[float, float], b: tuple[float, float], limit: float) -> bool:
-    return sum((p - q) ** 2 for p, q in zip(unit_vector(*a), unit_vector(*b))) > limit
+def _touching(centers: list, others: list, radius_miles: float) -> list:
+    """Those of the centers whose disc may share a point with a disc of the others."""
+    if not centers or not others:
+        return []
+    a, b = (np.array([unit_vector(*c) for c in part]) for part in (centers, others))
+    gaps = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    return [c for c, near in zip(centers, (gaps <= _touch_limit(radius_miles)).any(axis=1)) if near]
 
 
-def _newly_covered(points: DataFrame, grid: Grid, new: list, earlier: list) -> DataFrame:
-    """Points that the new centers cover and no earlier one does.
+def _band_filter(grid: Grid, centers: list) -> str:
+    """Ranges of blocks outside of which cached, block-sorted batches can be skipped."""
+    ranges = sorted({grid.block_range(lat) for lat, _ in centers})
+    if len(ranges) > MOST_RANGES:
+        ranges = [(ranges[0][0], max(r[1] for r in ranges))]
+    return " OR ".join(f"block BETWEEN {first}L AND {last}L" for first, last in ranges)
 
-    The range of blocks lets cached, block-sorted batches outside it be skipped.
-    """
-    limit = _touch_limit(grid.radius_miles)
-    close = [c for c in earlier if not all(_apart(c, n, limit) for n in new)]
-    ranges = ["block BETWEEN {}L AND {}L".format(*grid.block_range(lat)) for lat, _ in new]
-    return (
-        points.where(" OR ".join(ranges))
-        .where(_covered(side("d_"), new, grid.radius_miles))
-        .where("NOT " + _covered(side("d_"), close, grid.radius_miles))
-    )
+
+def _newly_covered(points: DataFrame, grid: Grid, new: list, earlier: list) -> DataFrame:
+    """Points that the new centers cover and no earlier one does."""
+    fresh = _by_coverage(points.where(_band_filter(grid, new)), grid, new, True)
+    return _by_coverage(fresh, grid, _touching(earlier, new, grid.radius_miles), False)
 
 
-def _sites_near(reach: DataFrame, centers: list, radius_miles: float) -> DataFrame:
-    limit = sql_number(_touch_limit(radius_miles))
-    vector = side("s_")[0]
-    return reach.where(" OR ".join(f"{squared_chord_sql(vector, fixed_point(*c)[0])} <= {limit}" for c in centers))
+def _sites_near(reach: DataFrame, grid: Grid, centers: list) -> DataFrame:
+    """Site blocks that hold points the centers may cover."""
+    blocks = _center_blocks(reach.sparkSession, grid, centers).select("block")
+    return reach.join(F.broadcast(blocks), "block", "left_semi")
 
 
 def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list) -> list:
@@ -257,20 +276,15 @@ def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list)
     """
     words = [f"m{w}" for w in range(WORDS)]
     centers = _centers(frontier)
-    values = [(*c, *unit_vector(*c)) for c in centers]
-    columns = dict(zip([*side("s_")[1:], *side("s_")[0]], map(list, zip(*values))))
-    for w, word in enumerate(words):
-        columns[word] = [1 << (i % WORD_BITS) if i // WORD_BITS == w else 0 for i in range(len(centers))]
-    table = points.sparkSession.createDataFrame(pa.table(columns))
-    limit = _touch_limit(grid.radius_miles)
-    close = [c for c in chosen if not all(_apart(c, f, limit) for f in centers)]
-    bands = [grid.block_range(lat) for lat, _ in centers]
-    uncovered = points.where(f"block BETWEEN {min(b[0] for b in bands)}L AND {max(b[1] for b in bands)}L")
-    if close:
-        uncovered = uncovered.where("NOT " + _covered(side("d_"), close, grid.radius_miles))
+    bits = {
+        word: [1 << (i % WORD_BITS) if i // WORD_BITS == w else 0 for i in range(len(centers))]
+        for w, word in enumerate(words)
+    }
+    near = points.where(_band_filter(grid, centers))
+    uncovered = _by_coverage(near, grid, _touching(chosen, centers, grid.radius_miles), False)
     return (
-        uncovered.join(F.broadcast(grid.reach(table, "s_lat", "s_lon")), "block")
-        .where(within_sql(side("s_"), side("d_"), grid.radius_miles))
+        uncovered.join(F.broadcast(_center_blocks(points.sparkSession, grid, centers, **bits)), "block")
+        .where(within_sql(side("c_"), side("d_"), grid.radius_miles))
         .groupBy("d_lat", "d_lon")
         .agg(*[F.bit_or(w).alias(w) for w in words], F.max("people").alias("people"))
         .groupBy(*words)
@@ -340,7 +354,7 @@ def greedy_cover(
             else:
                 new, earlier = _centers(batch), _centers(chosen[: -len(batch)])
                 fresh = _newly_covered(points, grid, new, earlier)
-                lost = served(fresh, _sites_near(reach, new, radius_miles), radius_miles, level, hot)
+                lost = served(fresh, _sites_near(reach, grid, new), radius_miles, level, hot)
                 per_site = _per_site(lost.withColumn("people", -F.col("people")))
                 losses.append(cache.get(f"loss {len(chosen)}", lambda: per_site))
             scores = _per_site(reduce(DataFrame.unionAll, losses, base)) if losses else base
@@ -412,9 +426,23 @@ def flag_covered(
     areas: DataFrame, selection: Selection, out: str = "covered", lat: str = "lat", lon: str = "lon"
 ) -> DataFrame:
     """Adds a boolean per row: is this area within the radius of a chosen site."""
-    lat, lon = f"cast({lat} AS double)", f"cast({lon} AS double)"
-    hit = _covered((unit_vector_sql(lat, lon), lat, lon), selection.centers, selection.radius_miles)
-    return areas.withColumn(out, F.when(usable_point(lat, lon), F.expr(hit)).otherwise(False))
+    if not selection.centers:
+        return areas.withColumn(out, F.lit(False))
+    grid = Grid(selection.radius_miles)
+    usable = f"{lat} IS NOT NULL AND {lon} IS NOT NULL AND NOT isnan({lat}) AND NOT isnan({lon})"
+    at = [f"CASE WHEN {usable} THEN cast({c} AS double) END AS {name}" for c, name in ((lat, "d_lat"), (lon, "d_lon"))]
+    vector = [f"{v} AS d_{axis}" for v, axis in zip(unit_vector_sql("d_lat", "d_lon"), "xyz")]
+    located = grid.locate(areas.selectExpr("*", *at).selectExpr("*", *vector), "d_lat", "d_lon", ("_block", "_row", "_col"))
+    # One row per block with the centers that reach it, at most as many as were chosen.
+    per_block = (
+        _center_blocks(areas.sparkSession, grid, selection.centers)
+        .groupBy(F.col("block").alias("_block"))
+        .agg(F.collect_list(F.struct("c_lat", "c_lon", "c_x", "c_y", "c_z")).alias("_centers"))
+    )
+    hit = f"exists(_centers, c -> {within_sql(side('c.c_'), side('d_'), selection.radius_miles)})"
+    return located.join(F.broadcast(per_block), "_block", "left").select(
+        *areas.columns, F.coalesce(F.expr(hit), F.lit(False)).alias(out)
+    )
 
 
 def covered_keys(areas: DataFrame, selection: Selection, key: str = "geoid", **columns: str) -> DataFrame:

@@ -61,8 +61,13 @@ class Grid:
         fit = f"floor({sql_number(360 / h)} * cos(radians(least(90.0D, {poleward}))))"
         return f"greatest(1L, coalesce({fit}, 1L))"
 
-    def locate(self, df: DataFrame, lat: str, lon: str) -> DataFrame:
-        """Adds ``block`` and the finest sub-indices ``sub_row``, ``sub_col`` of each point."""
+    def locate(
+        self, df: DataFrame, lat: str, lon: str, names: tuple[str, str, str] = ("block", "sub_row", "sub_col")
+    ) -> DataFrame:
+        """Adds the block and the finest row and column inside it of each point.
+
+        Points without coordinates get block -1.
+        """
         kept = df.columns
         return (
             df.selectExpr("*", f"({lat} + 90) / {sql_number(self.band_degrees)} AS _v")
@@ -71,9 +76,9 @@ class Grid:
             .selectExpr("*", f"({lon} + 180) / (360D / _n) AS _u")
             .selectExpr(
                 *kept,
-                f"coalesce({_BLOCK.format(column='floor(_u)')}, -1L) AS block",
+                f"coalesce({_BLOCK.format(column='floor(_u)')}, -1L) AS {names[0]}",
                 *[f"least(cast(floor(({p} - floor({p})) * {_FINEST}) AS int), {_FINEST - 1}) AS {name}"
-                  for p, name in (("_v", "sub_row"), ("_u", "sub_col"))],
+                  for p, name in zip(("_v", "_u"), names[1:])],
             )
         )
 
