@@ -192,14 +192,14 @@ def served(
     within = within_sql(side("s_"), side("d_"), radius_miles)
     exact = ["d_lat", "d_lon", "d_x", "d_y", "d_z", "people"]
     if level == 0:
-        met = split_join(reach, points.select("block", *exact), ["block"], _SITE, hot)
+        met = split_join(reach, points.select("block", *exact), ["block"], hot, _SITE)
         return met.where(within).select(*_SITE, "people")
     parts = []
     rim = reach
     for depth in range(1, level + 1):
         cells = _cells(points, depth)
         if depth == 1:
-            met = split_join(rim, cells.drop("parent_row", "parent_col"), ["block"], _SITE, hot)
+            met = split_join(rim, cells.drop("parent_row", "parent_col"), ["block"], hot, _SITE)
         else:
             parents = rim.withColumnsRenamed({"cell_row": "parent_row", "cell_col": "parent_col"})
             met = parents.join(cells, ["block", "parent_row", "parent_col"])

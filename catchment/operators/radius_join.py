@@ -34,7 +34,7 @@ def radius_join(
 
     Sites are repeated into the blocks their disc touches, areas have exactly one
     block, so the equi-join on the block yields each pair once.  Blocks with very
-    many areas are cut into parts before the join.
+    many areas or sites are cut into parts before the join.
     """
     shared = set(area_columns) & set(site_columns)
     if shared:
@@ -42,8 +42,15 @@ def radius_join(
     grid = Grid(radius_miles)
     demand = grid.locate(placed(areas, "d_", lat, lon, area_columns), "d_lat", "d_lon").drop("sub_row", "sub_col")
     reach = grid.reach(placed(sites, "s_", lat, lon, site_columns), "s_lat", "s_lon")
-    hot = hot_keys(demand, ["block"], hot_rows)
-    pairs = split_join(demand, reach, ["block"], ["d_lat", "d_lon", *area_columns], hot)
+    pairs = split_join(
+        demand,
+        reach,
+        ["block"],
+        left_hot=hot_keys(demand, ["block"], hot_rows),
+        left_by=["d_lat", "d_lon", *area_columns],
+        right_hot=hot_keys(reach, ["block"], hot_rows),
+        right_by=["s_lat", "s_lon", *site_columns],
+    )
     return pairs.where(within_sql(side("s_"), side("d_"), radius_miles)).selectExpr(
         *site_columns,
         *area_columns,

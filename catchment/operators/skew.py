@@ -22,26 +22,45 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     )
 
 
+def _parted(
+    df: DataFrame, keys: list[str], own: tuple[DataFrame, list[str], str] | None, other: tuple[DataFrame, str] | None
+) -> DataFrame:
+    """Numbers the part of each row, and repeats rows for every part of the other side."""
+    if own is not None:
+        hot, split_by, part = own
+        number = f"cast(pmod(xxhash64({', '.join(split_by)}), coalesce(_parts, 1)) AS int)"
+        df = df.join(F.broadcast(hot), keys, "left").withColumn(part, F.expr(number)).drop("_parts")
+    if other is not None:
+        hot, part = other
+        every = F.expr("explode(sequence(0, coalesce(_parts, 1) - 1))")
+        df = df.join(F.broadcast(hot), keys, "left").withColumn(part, every).drop("_parts")
+    return df
+
+
 def split_join(
-    many: DataFrame, few: DataFrame, keys: list[str], split_by: list[str], hot: DataFrame | None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_hot: DataFrame | None = None,
+    left_by: list[str] | None = None,
+    right_hot: DataFrame | None = None,
+    right_by: list[str] | None = None,
 ) -> DataFrame:
-    """Inner equi-join in which hot keys of ``many`` are cut into parts.
+    """Inner equi-join in which hot keys of either side are cut into parts.
 
-    ``hot`` is the result of ``hot_keys``, or None when there are no hot keys.
-    The part comes from a hash of ``split_by``, so a retried task places each
-    row where the first attempt did.  Only the rows of ``few`` that have a hot
-    key are repeated, once per part.
+    Each ``hot`` table is a result of ``hot_keys`` for that side, or None for a side
+    without hot keys.  The part comes from a hash of the ``by`` columns, so a retried
+    task places each row where the first attempt did.  Rows of the other side are
+    repeated, once per part, only where they share a hot key.  Copies of one row
+    share a part; adaptive execution splits those by map output.
     """
-    if hot is None:
-        return many.join(few, keys)
-    left = (
-        many.join(F.broadcast(hot), keys, "left")
-        .withColumn("_part", F.expr(f"cast(pmod(xxhash64({', '.join(split_by)}), coalesce(_parts, 1)) AS int)"))
-        .drop("_parts")
-    )
-    right = (
-        few.join(F.broadcast(hot), keys, "left")
-        .withColumn("_part", F.expr("explode(sequence(0, coalesce(_parts, 1) - 1))"))
-        .drop("_parts")
-    )
-    return left.join(right, [*keys, "_part"]).drop("_part")
+    on = list(keys)
+    if left_hot is not None:
+        on.append("_left_part")
+    if right_hot is not None:
+        on.append("_right_part")
+    left_own = (left_hot, left_by, "_left_part") if left_hot is not None else None
+    right_own = (right_hot, right_by, "_right_part") if right_hot is not None else None
+    a = _parted(left, keys, left_own, (right_hot, "_right_part") if right_hot is not None else None)
+    b = _parted(right, keys, right_own, (left_hot, "_left_part") if left_hot is not None else None)
+    return a.join(b, on).drop("_left_part", "_right_part")

@@ -20,14 +20,9 @@ def exact_median(df: DataFrame, column: str, out: str = "median") -> DataFrame:
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     margin = 3.0 / SKETCH_ACCURACY
-    bracket = values.agg(
-        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("ends"),
-        F.count("*").alias("n"),
-    )
-    ends, n = bracket.select("ends").scalar(), bracket.select("n").scalar()
-    banded = values.select(
-        "v", ends.getItem(0).alias("low"), ends.getItem(1).alias("high"), n.alias("n")
-    )
+    ends = F.percentile_approx("v", [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY)
+    bracket = values.agg(F.struct(ends.alias("ends"), F.count("*").alias("n")).alias("b")).scalar()
+    banded = values.select("v", bracket.alias("b")).selectExpr("v", "b.ends[0] AS low", "b.ends[1] AS high", "b.n AS n")
     # Values below the bracket only count, so they share one group, in bucket 0.
     share = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
     bucket = F.when(F.col("v") < F.col("low"), 0).otherwise(1 + F.floor(share * BUCKETS)).cast("int")

@@ -282,9 +282,8 @@ def _(spark, d):
 @query("p12_split_by_flag")
 def _(spark, d):
     flagged = area_ops.flag_selected(areas(spark, d).select("geoid", "population"), inputs.affected(spark, d))
-    chosen, rest = flagged.where("selected"), flagged.where("NOT selected")
-    figures = [F.count("*").alias("areas"), F.sum("population").alias("people")]
-    return chosen.agg(F.lit("selected").alias("layer"), *figures).unionAll(rest.agg(F.lit("base").alias("layer"), *figures))
+    layer = F.when(F.col("selected"), "selected").otherwise("base").alias("layer")
+    return flagged.groupBy(layer).agg(F.count("*").alias("areas"), F.sum("population").alias("people"))
 
 
 @query("p13_build_key")
