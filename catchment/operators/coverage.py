@@ -51,9 +51,9 @@ from catchment.sources.cache import FrameCache
 
 # Points a cell may hold before it is divided further.
 LEAF_POINTS = 2048
-# Sites per frontier: four words of 63 bits.  Discs cut the sphere into at most
-# n * n - n + 2 regions, so a frontier yields at most 63 254 distinct sets.
-WORD_BITS, WORDS = 63, 4
+# Sites per frontier: eight words of 63 bits.  Discs cut the sphere into at most
+# n * n - n + 2 regions, so a frontier yields at most 253 514 distinct sets.
+WORD_BITS, WORDS = 63, 8
 FRONTIER_SITES = WORD_BITS * WORDS
 # Block ranges kept apart when skipping cached batches.
 MOST_RANGES = 16
@@ -268,8 +268,8 @@ def _sites_near(reach: DataFrame, grid: Grid, centers: list) -> DataFrame:
     return reach.join(F.broadcast(blocks), "block", "left_semi")
 
 
-def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list) -> list:
-    """``m0 .. m3, people`` for each distinct set of frontier sites that share uncovered points.
+def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list) -> pa.Table:
+    """``m0 .. m7, people`` for each distinct set of frontier sites that share uncovered points.
 
     The frontier, at most FRONTIER_SITES rows, is broadcast.  All matches of a
     point arise in the task that holds it, so they are merged before the shuffle.
@@ -289,18 +289,20 @@ def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list)
         .agg(*[F.bit_or(w).alias(w) for w in words], F.max("people").alias("people"))
         .groupBy(*words)
         .agg(F.sum("people").alias("people"))
-        .collect()
+        .toArrow()
     )
 
 
-def _next_picks(frontier: list, sets: list, cut, room: int) -> list:
+def _next_picks(frontier: list, sets: pa.Table, cut, room: int) -> list:
     """Greedy picks inside the frontier while they beat ``cut``, the best gain outside it.
 
     The first pick needs no comparison: it leads the ranking of all sites.
     """
-    whole = all(isinstance(r.people, int) for r in sets) and sum(r.people for r in sets) < 2**62
-    people = np.array([r.people for r in sets], dtype="int64" if whole else object)
-    words = np.array([r[:WORDS] for r in sets], dtype="int64").reshape(-1, WORDS)
+    people = np.array(sets["people"].to_pylist(), dtype=object)
+    whole = pa.types.is_int64(sets["people"].type) and people.sum() < 2**62
+    if whole:
+        people = people.astype("int64")
+    words = np.column_stack([sets[f"m{w}"].to_numpy() for w in range(WORDS)])
     reached = np.stack([(words[:, i // WORD_BITS] >> (i % WORD_BITS)) & 1 == 1 for i in range(len(frontier))], axis=1)
     gains = np.array([people[reached[:, i]].sum() for i in range(len(frontier))], dtype=people.dtype)
     order = [(r.first_here, r.s_lat, r.s_lon) for r in frontier]
