@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import superminhash
+from catchment.llm import mixing, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query
 def op4_superminhash(spark: SparkSession, d: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"))
+
+
+ORACLES["op10_mixing"] = mixing.mixing_sql()
