@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import mixing, superminhash
+from catchment.llm import language, mixing, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = mixing.mixing_sql()
+
+
+@query
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify_languages(table(spark, d, "documents"))
