@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import language, mixing, superminhash
+from catchment.llm import language, mixing, secret_index, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,8 @@ ORACLES["op10_mixing"] = mixing.mixing_sql()
 @query
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     return language.identify_languages(table(spark, d, "documents"))
+
+
+@query
+def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secret_index.find_secrets(table(spark, d, "documents")).drop("found")
