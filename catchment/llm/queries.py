@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import language, mixing, secret_index, superminhash
+from catchment.llm import language, mixing, quality_trees, secret_index, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op7_language(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_index.find_secrets(table(spark, d, "documents")).drop("found")
+
+
+@query
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality_trees.judge_quality(table(spark, d, "documents"), table(spark, d, "labels"))
