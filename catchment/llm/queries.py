@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import language, mixing, quality_trees, secret_index, superminhash
+from catchment.llm import language, mixing, page_crf, quality_trees, secret_index, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op1_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_trees.judge_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op2_page_text(spark: SparkSession, d: str) -> DataFrame:
+    return page_crf.extract_text(table(spark, d, "pages"))
