@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import language, mixing, page_crf, quality_trees, secret_index, superminhash
+from catchment.llm import language, mixing, page_crf, quality_trees, secret_index, suffix_pieces, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op1_quality(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op2_page_text(spark: SparkSession, d: str) -> DataFrame:
     return page_crf.extract_text(table(spark, d, "pages"))
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_pieces.encode_texts(table(spark, d, "documents"))
