@@ -11,15 +11,18 @@ correlated and the estimate varies less than with independent hashes.
 misses all bands with a probability of (1 - 0.85^4)^20 = 4e-7.
 
 **Groups of copies.** Documents with equal shingle sets meet in one aggregate and are
-represented by the smallest id.  In every bucket all representatives are
-compared with the smallest one only, so a bucket of thousands costs thousands of
-comparisons.  Components of these links come next.  Buckets that still hold
-several components have every pair across components verified as well, so no
-link between different texts is lost.  Before sets are read, pairs whose sizes
-exclude the similarity go, and pairs of which fewer than ``LEAST_EQUAL`` slots
-agree (a pair at the threshold does so with a probability below 1e-8).
-
-**Verification** intersects the full sets of 64-bit shingle hashes.
+represented by the smallest id.  Representatives that share buckets, however indirectly,
+form a cluster.  A small cluster is compared in one task, with many others; a large one is
+compared bucket by bucket, and a large bucket in pairs of parts, so that no task holds more
+than two parts (``PART_ROWS`` documents or ``PART_SHINGLES`` shingles each).  No pair of documents
+ever becomes a row: a task compares signatures and sets in arrays, skips pairs that its
+links connect already, and returns a forest.  Every pair that shares a band is thus
+either verified or known to be in one component, so no link between different
+texts is lost.
+
+**Verification** intersects the full sets of 64-bit shingle hashes, of pairs whose sizes allow the
+similarity and of whose slots ``LEAST_EQUAL`` agree (a pair at the threshold fails
+that with a probability below 1e-8).
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from catchment.llm.components import components
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 LEAST_EQUAL = 44  # of 80; 68 are expected at 0.85
+PART_ROWS, PART_SHINGLES = 1500, 1_500_000
 PERCENT = 85
 
 _ROUND = np.random.default_rng(20250103).integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
@@ -120,29 +124,112 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids[block.rows], sets], names=["doc_id", "shingle_set"])
 
 
-def _similar_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, SLOTS) for c in batch.columns[2:4])
-            keep = pa.array((a == b).sum(1) >= LEAST_EQUAL)
-            yield batch.select(["u", "v"]).filter(keep)
-
-
-def linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets reach the similarity."""
-    side = lambda c: signed.select(F.col("doc_id").alias(c), F.col("slots").alias(f"slots_{c}"))
-    likely = settled(
-        pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "slots_u", "slots_v")
-        .mapInArrow(_similar_slots, "u bigint, v bigint")
+class _Members:
+    """Documents of one comparison: ids, sizes, signatures and flat sets of element numbers."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table["doc_id"].to_numpy()
+        self.part = table["part"].to_numpy()
+        self.slots = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint16).reshape(-1, SLOTS)
+        sets = table["shingle_set"].combine_chunks()
+        self.size = np.diff(sets.offsets.to_numpy())
+        self.first = np.cumsum(self.size) - self.size
+        values, self.number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        self.marked = np.zeros(len(values), bool)
+        self.parent = np.arange(len(self.ids))
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def shared_with(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set i with other sets."""
+        own = self.number[self.first[i]:self.first[i] + self.size[i]]
+        self.marked[own] = True
+        end = np.cumsum(self.size[others])
+        at = np.arange(end[-1]) + np.repeat(self.first[others] - (end - self.size[others]), self.size[others])
+        found = np.add.reduceat(self.marked[self.number[at]].astype(np.int64), end - self.size[others])
+        self.marked[own] = False
+        return found
+
+    def link(self, rows: np.ndarray, across: bool, percent: int) -> None:
+        """Finds links among the rows; with ``across`` only between different parts."""
+        for k in range(1, len(rows)):
+            i, others = rows[k], rows[:k]
+            small, large = np.minimum(self.size[i], self.size[others]), np.maximum(self.size[i], self.size[others])
+            keep = small * 100 >= large * percent
+            if across:
+                keep &= self.part[others] != self.part[i]
+            others = others[keep]
+            if not len(others):
+                continue
+            others = others[(self.slots[others] == self.slots[i]).sum(1) >= LEAST_EQUAL]
+            if not len(others):
+                continue
+            root = self.roots()
+            others = others[root[others] != root[i]]
+            if not len(others):
+                continue
+            both = self.shared_with(i, others)
+            good = others[both * 100 >= (self.size[i] + self.size[others] - both) * percent]
+            if len(good):
+                tied = np.unique(np.append(root[good], root[i]))
+                self.parent = root
+                self.parent[tied] = tied[0]
+
+
+def _compare(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("doc_id", "ascending")])
+        members = _Members(table)
+        cluster = table["cluster"].to_numpy()
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        edge = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(cluster)]
+        for low, high in zip(edge, edge[1:]):
+            members.link(np.arange(low, high), across, percent)
+        root = members.roots()
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": members.ids[tied], "v": members.ids[root[tied]]})
+
+    return run
+
+
+def links(stands: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """A set of links (u, v) that connects what the links of all representatives connect."""
+    bucket = stands.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = bucket.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    shared = settled(bucket.join(shared.select("bucket", "first"), "bucket"))
+    cluster = components(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+    cluster = settled(cluster.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
+    member = stands.join(cluster, "doc_id").select("doc_id", "n_shingles", "cluster")
+    size = member.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    small = F.expr(f"rows <= {PART_ROWS} AND shingles <= {PART_SHINGLES}")
+    size = settled(size.withColumn("small", small))
+    totals = size.where("small").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).first()
+    bins = max(1, (totals["rows"] or 0) // PART_ROWS, (totals["shingles"] or 0) // PART_SHINGLES)
+
+    zero = F.lit(0)
+    by_cluster = member.join(size.where("small"), "cluster").select(
+        "doc_id", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"), "cluster",
+        zero.alias("part"), zero.alias("i"), zero.alias("j"),
     )
-    named = likely.select(F.col("u").alias("doc_id")).unionAll(likely.select(F.col("v").alias("doc_id"))).distinct()
-    sets = settled(docs.join(named, "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]))
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingle_set").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    return (
-        likely.join(of("u"), "u").join(of("v"), "v")
-        .where(both * 100 >= (F.size("set_u") + F.size("set_v") - both) * percent).select("u", "v")
+    large = cluster.join(size.where("NOT small").select("cluster"), "cluster", "left_semi").select("doc_id")
+    hot = settled(shared.join(large, "doc_id", "left_semi").select("doc_id", "n_shingles", "bucket"))
+    parts = F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).cast("int")
+    spread = hot.join(hot.groupBy("bucket").agg(parts.alias("parts")), "bucket")
+    part = F.pmod(F.hash("doc_id", F.lit("part")), F.col("parts"))
+    other = F.explode(F.sequence(zero, F.col("parts") - 1))
+    by_bucket = spread.withColumn("part", part).withColumn("other", other).select(
+        "doc_id", F.col("bucket").alias("bin"), F.col("bucket").alias("cluster"), "part",
+        F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
     )
+    route = by_cluster.unionByName(by_bucket)
+    sets = settled(docs.join(cluster, "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]))
+    known = sets.join(stands.select("doc_id", "slots"), "doc_id")
+    return route.join(known, "doc_id").groupBy("bin", "i", "j").applyInArrow(_compare(percent), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -163,29 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stands = real.join(group, whole).where("doc_id = first_id").dropDuplicates(["doc_id"])
     stands = settled(stands.select("doc_id", "n_shingles", "bands", "slots"))
 
-    bucket = stands.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    centers = bucket.groupBy("bucket").agg(
-        F.min(F.struct("doc_id", "n_shingles")).alias("center"), F.count("*").alias("members")
-    ).where("members > 1").select("bucket", F.col("center.doc_id").alias("u"), F.col("center.n_shingles").alias("n_u"))
-    shared = settled(bucket.join(centers, "bucket"))
-    fits = "least(n_u, n_v) * 100 >= greatest(n_u, n_v) * {}".format(percent)
-    spokes = (
-        shared.select("u", F.col("doc_id").alias("v"), "n_u", F.col("n_shingles").alias("n_v"))
-        .where(f"u < v AND {fits}").select("u", "v").distinct()
-    )
-    first = settled(linked(spokes, stands, docs, percent))
-    labels = components(first)
-
-    member = shared.select("bucket", "doc_id", "n_shingles").join(
-        labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left"
-    ).withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    rest = settled(member.join(mixed.select("bucket"), "bucket", "left_semi"))
-    side = lambda c: rest.select("bucket", F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("component").alias(f"c_{c}"))
-    across = side("u").join(side("v"), "bucket").where(f"u < v AND c_u != c_v AND {fits}").select("u", "v").distinct()
-    across = across.join(spokes, ["u", "v"], "left_anti")
-    second = linked(across, stands, docs, percent)
-    labels = components(first.unionAll(second))
+    labels = components(links(stands, docs, percent))
 
     of_group = group.join(labels.withColumnRenamed("id", "first_id"), "first_id", "left").select(
         *whole, F.coalesce("component", "first_id").alias("component")
