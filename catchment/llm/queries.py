@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import language, mixing, page_crf, quality_trees, secret_index, suffix_pieces, superminhash
+from catchment.llm import language, mixing, page_crf, quality_trees, secret_index, subspace_join, suffix_pieces, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op2_page_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return suffix_pieces.encode_texts(table(spark, d, "documents"))
+
+
+@query
+def op5_subspace_join(spark: SparkSession, d: str) -> DataFrame:
+    return subspace_join.link_embeddings(table(spark, d, "embeddings"))
