@@ -27,7 +27,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 17
-SLICES = 65536
+SLICES = 4096  # 16^3
+MOST_BROADCAST = 100_000  # sources
+SALTS = 16
 
 
 def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -78,7 +80,7 @@ def mix_sources(
     sized = settled(docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         seeded_order(seed, F.col("doc_id")).alias("turn"),
-    )).withColumn("slice", F.conv(F.substring("turn", 1, 4), 16, 10).cast("int") % SLICES)
+    )).withColumn("slice", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
     slices = settled(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")))
     plan = settled(targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
 
@@ -92,7 +94,7 @@ def mix_sources(
     )
     of_edge = edge.withColumnRenamed("of_source", "edge_source")
     full_plan = renamed.join(of_edge, F.col("of_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    placed = sized.join(full_plan, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    placed = _with_plan(sized, settled(full_plan))
 
     in_turn = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum("size").over(in_turn), F.lit(0))
@@ -103,6 +105,16 @@ def mix_sources(
     )
 
 
+def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with the plan of their source; many sources are joined by source and salt, as one may be hot."""
+    same = F.col("source").eqNullSafe(F.col("of_source"))
+    if plan.count() <= MOST_BROADCAST:
+        return sized.join(F.broadcast(plan), same).drop("of_source")
+    salts = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sized.withColumn("of_salt", F.col("slice") % SALTS)
+    return salted.join(salts, same & (F.col("salt") == F.col("of_salt"))).drop("of_source", "salt", "of_salt")
+
+
 def mixing_sql(seed: int = SEED) -> str:
     """The same as one query over ``documents``."""
     return f"""
