@@ -149,24 +149,25 @@ def _calibrate(texts: list[str], label: np.ndarray, aside: np.ndarray, table: np
     return temperature, least
 
 
-def _has_letter(text: str) -> bool:
-    return any(c.isalpha() for c in text)
-
-
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def predict(block: Block, model: LanguageModel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and rejection of each row."""
-    n = block.n
+def lettered_rows(block: Block) -> np.ndarray:
+    """Which rows have a letter; texts without an ASCII one are looked at letter by letter."""
     total = np.zeros(len(block.data) + 1, np.int64)
     np.cumsum(_ASCII_LETTER[block.data], out=total[1:])
     lettered = total[block.at[1:]] > total[block.at[:-1]]
     for i in np.flatnonzero(~lettered):
-        lettered[i] = _has_letter(block.text(i))
+        lettered[i] = any(c.isalpha() for c in block.text(i))
+    return lettered
+
+
+def predict(block: Block, model: LanguageModel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each row."""
+    lettered = lettered_rows(block)
     if model is None:
-        return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+        return [UNKNOWN] * block.n, np.zeros(block.n), np.ones(block.n, bool)
     scores = softmax(block_logits(block, model.table, model.bias) / model.temperature)
     best, score = scores.argmax(1), scores.max(1)
     score[~lettered] = 0
@@ -224,3 +225,25 @@ def identify_languages(
                 )
 
     return docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, OUT)
+
+
+def keep_known(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    per_language: int = PER_LANGUAGE, most: int = MOST_SAMPLED,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not rejected.
+
+    If nothing can be learned, texts with a letter stay.
+    """
+    known = chosen(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), lang=(lang_col, "string"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(known, per_language, most))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                names, _, rejected = predict(block, model.value)
+                kept = ~rejected if model.value else lettered_rows(block)
+                yield batch.slice(block.rows.start, block.n).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,21 +66,18 @@ def seeded_order(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(i.cast("string"), F.lit("")) for i in ids]))
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED,
-) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
+def word_count(text: str | Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
-    Size is the number of words; a null or empty text has none and takes none.  A null source
-    is a source of its own.  Repeated rows count each.  Rows with equal ids are ordered by
-    size.  An empty table gives an empty result.  Other columns of ``docs`` are not looked at.
-    """
-    docs = chosen(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), source=(source_col, "string"))
-    sized = settled(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        seeded_order(seed, F.col("doc_id")).alias("turn"),
-    )).withColumn("slice", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
+
+def _slice(turn: str) -> Column:
+    return F.conv(F.substring(turn, 1, 3), 16, 10).cast("int")
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> DataFrame:
+    """Rows with size, turn, the plan of their source, and ``more``: words of the last repetition."""
+    sized = settled(docs.select("doc_id", "source", word_count("text").alias("size"), seeded_order(seed, F.col("doc_id")).alias("turn")))
+    sized = sized.withColumn("slice", _slice("turn"))
     slices = settled(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")))
     plan = settled(targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
 
@@ -90,21 +87,57 @@ def mix_sources(
         slices.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         .join(renamed, F.col("source").eqNullSafe(F.col("of_source")))
         .where("before < extra AND extra <= before + words")
-        .select("of_source", F.col("slice").alias("edge"), (F.col("extra") - F.col("before")).alias("left_over"))
+        .select(F.col("of_source").alias("edge_source"), F.col("slice").alias("edge"), (F.col("extra") - F.col("before")).alias("left_over"))
     )
-    of_edge = edge.withColumnRenamed("of_source", "edge_source")
-    full_plan = renamed.join(of_edge, F.col("of_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
+    full_plan = renamed.join(edge, F.col("of_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
     placed = _with_plan(sized, settled(full_plan))
 
     in_turn = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum("size").over(in_turn), F.lit(0))
     at_edge = placed.where("slice = edge").withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("left_over") - used)))
     beside = placed.where("edge IS NULL OR slice != edge").withColumn("more", F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(0))
-    return at_edge.unionByName(beside).select(
+    return at_edge.unionByName(beside)
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED,
+) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
+
+    Size is the number of words; a null or empty text has none and takes none.  A null source
+    is a source of its own.  Repeated rows count each.  Rows with equal ids are ordered by
+    size.  An empty table gives an empty result.  Other columns of ``docs`` are not looked at.
+    """
+    docs = chosen(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), source=(source_col, "string"))
+    return _placed(docs, weights, most, seed).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("more")).cast("bigint").alias("taken")
     )
 
 
+def repeat_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    Rows come whole: the document at the edge of a source's target is taken if at least half of
+    it is.  Rows that the mix takes no word of go, but rows without words stay once.
+    """
+    named = chosen(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), source=(source_col, "string"))
+    placed = _placed(named, weights, most, seed)
+    last = F.max(F.when((F.col("size") > 0) & (2 * F.col("more") >= F.col("size")), F.struct("turn", "doc_id", "size")))
+    plan = settled(placed.groupBy(F.col("source").alias("of_source")).agg(F.first("repeats").alias("repeats"), last.alias("last")))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    doc_id, text, source = (F.col(f"`{c}`").cast(kind) for c, kind in ((id_col, "bigint"), (text_col, "string"), (source_col, "string")))
+    rows = docs.select(row, doc_id.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), seeded_order(seed, doc_id).alias("turn"))
+    rows = _with_plan(rows.withColumn("slice", _slice("turn")), plan)
+    once_more = F.coalesce((F.struct("turn", "doc_id", "size") <= F.col("last")).cast("int"), F.lit(0))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("repeats") + once_more).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+
+
 def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the plan of their source; many sources are joined by source and salt, as one may be hot."""
     same = F.col("source").eqNullSafe(F.col("of_source"))
