@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import NamedTuple
 
@@ -43,9 +44,9 @@ from catchment.functions.geodesy import (
     within_sql,
 )
 from catchment.operators.areas import DEFAULT_SITE_TYPES, keep_keys, keep_types
-from catchment.operators.grid import MAX_LEVEL, Grid, cell_key
+from catchment.operators.grid import MAX_LEVEL, Grid, cell_key, coarser
 from catchment.operators.radius_join import placed
-from catchment.operators.skew import HOT_ROWS, hot_keys, split_join
+from catchment.operators.skew import MOST_PAIRS, key_parts, split_join
 from catchment.session import ensure_checkpoint_dir
 from catchment.sources.cache import FrameCache
 
@@ -59,6 +60,10 @@ FRONTIER_SITES = WORD_BITS * WORDS
 MOST_RANGES = 16
 # Rounds after which the corrections are folded into a checkpointed score table.
 CONSOLIDATE_ROUNDS = 8
+# Sites that may be chosen: tables of them are broadcast.
+MOST_SITES = 10_000
+# Sets subtracted from the gains at once, which bounds the memory of a pick.
+SETS_AT_ONCE = 8192
 _CELL = ["block", "cell_row", "cell_col"]
 _SITE = ["s_lat", "s_lon", "first_here"]
 _SPOT = [*_SITE, "s_x", "s_y", "s_z"]
@@ -66,11 +71,16 @@ _SPOT = [*_SITE, "s_x", "s_y", "s_z"]
 
 @dataclass(frozen=True)
 class Selection:
-    """Chosen sites in order of choice; ``centers`` has one (lat, lon) per site."""
+    """Chosen sites in order of choice; ``centers`` has one (lat, lon) per site.
+
+    ``rounds`` and ``checkpoints`` tell how the search went.
+    """
 
     sites: DataFrame
     centers: list[tuple[float, float]]
     radius_miles: float
+    rounds: int = 0
+    checkpoints: int = 0
 
 
 class _Pick(NamedTuple):
@@ -126,42 +136,36 @@ def site_reach_blocks(
     return grid.reach(placed(merged, "s_", "lat", "lon", ["first_here"]), "s_lat", "s_lon")
 
 
-def _fullest(points: DataFrame, level: int) -> DataFrame:
-    """One row: points in the fullest cell of a level and the smallest population of all."""
-    cells = points.groupBy(*map(F.expr, cell_key(level))).agg(F.count("*").alias("n"), F.min("people").alias("least"))
-    return cells.agg(F.max("n").alias("n"), F.min("least").alias("least"))
-
-
-def refinement(points: DataFrame, leaf_points: int = LEAF_POINTS, start: int = 0) -> int:
-    """Smallest level at which no cell holds more than ``leaf_points`` points."""
-    for level in range(start, MAX_LEVEL):
-        if (_fullest(points, level).first().n or 0) <= leaf_points:
-            return level
-    return MAX_LEVEL
-
-
 class _Shape(NamedTuple):
+    """Level of refinement, the pair bound if anything exceeds it, and whether populations can be negative."""
+
     level: int
-    hot: DataFrame | None
+    split: int | None
     signed: bool
 
 
-def _shape(points: DataFrame, reach: DataFrame, leaf_points: int, hot_rows: int) -> _Shape:
-    """Level of refinement, hot blocks and whether populations can be negative.
+def _shape(points: DataFrame, reach: DataFrame, leaf_points: int, most_pairs: int) -> _Shape:
+    """Counts the cells of all levels, and the pairs of each block, in one job of a few rows.
 
-    One job tells all three in the usual case.  Hot blocks come as a local table
-    of at most reach rows / hot_rows rows, or None.
+    A cell that is still over ``leaf_points`` at the last level is cut into parts by the
+    pair bound instead.
     """
-    blocks = reach.groupBy("block").count().agg(F.max("count").alias("n"), F.lit(None).alias("least"))
-    sides = _fullest(points, 0).withColumn("side", F.lit(0)).unionAll(blocks.withColumn("side", F.lit(1)))
-    by_points, by_sites = sorted(sides.collect(), key=lambda r: r.side)
-    level, hot = 0, None
-    if (by_points.n or 0) > leaf_points:
-        level = refinement(points, leaf_points, 1)
-    if (by_sites.n or 0) > hot_rows:
-        keys = hot_keys(reach, ["block"], hot_rows)
-        hot = reach.sparkSession.createDataFrame(keys.collect(), keys.schema)
-    return _Shape(level, hot, (by_points.least or 0) < 0)
+    finest = points.groupBy(*map(F.expr, cell_key(MAX_LEVEL))).agg(F.count("*").alias("n"), F.min("people").alias("least"))
+    none = F.lit(None).cast(finest.schema["least"].dataType).alias("least")
+    figures = []
+    for level in range(MAX_LEVEL + 1):
+        cells = finest.groupBy(*map(F.expr, coarser(level))).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        figures.append(cells.agg(F.lit(level).alias("level"), F.max("n").cast("double").alias("n"), F.min("least").alias("least")))
+    blocks = (
+        points.groupBy("block").agg(F.count("*").alias("points"))
+        .join(reach.groupBy("block").agg(F.count("*").alias("sites")), "block")
+    )
+    pairs = F.max(F.col("points") * F.col("sites").cast("double"))
+    figures.append(blocks.agg(F.lit(-1).alias("level"), pairs.alias("n"), none))
+    rows = {r.level: r for r in reduce(DataFrame.unionAll, figures).collect()}
+    fits = [level for level in range(MAX_LEVEL + 1) if (rows[level].n or 0) <= leaf_points]
+    level = fits[0] if fits else MAX_LEVEL
+    return _Shape(level, most_pairs if (rows[-1].n or 0) > most_pairs else None, (rows[0].least or 0) < 0)
 
 
 def _cells(points: DataFrame, level: int) -> DataFrame:
@@ -178,13 +182,21 @@ def _cells(points: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _bounded_join(
+    sites: DataFrame, targets: DataFrame, keys: list[str], targets_by: list[str], split: int | None
+) -> DataFrame:
+    """Sites with points or cells of the same key, cut into parts where that is more than ``split`` pairs."""
+    parts = None if split is None else key_parts(sites, targets, keys, split)
+    return split_join(sites, targets, keys, ["s_lat", "s_lon"], targets_by, parts)
+
+
 def served(
-    points: DataFrame, reach: DataFrame, radius_miles: float, level: int = 0, hot: DataFrame | None = None
+    points: DataFrame, reach: DataFrame, radius_miles: float, level: int = 0, split: int | None = None
 ) -> DataFrame:
     """Rows ``s_lat, s_lon, first_here, people`` whose sum per site is the population in reach.
 
-    A row stands for one point or, at higher levels, for a whole cell.  ``hot``
-    names blocks reached by very many sites; see ``split_join``.
+    A row stands for one point or, at higher levels, for a whole cell.  With ``split`` no
+    task tests more than that many pairs of one key, at any level.
     """
     sure, maybe = (math.sqrt(max(v, 0.0)) for v in chord_limits(radius_miles))
     if sure == 0.0:
@@ -192,17 +204,17 @@ def served(
     within = within_sql(side("s_"), side("d_"), radius_miles)
     exact = ["d_lat", "d_lon", "d_x", "d_y", "d_z", "people"]
     if level == 0:
-        met = split_join(reach, points.select("block", *exact), ["block"], hot, _SITE)
+        met = _bounded_join(reach, points.select("block", *exact), ["block"], ["d_lat", "d_lon"], split)
         return met.where(within).select(*_SITE, "people")
     parts = []
     rim = reach
     for depth in range(1, level + 1):
-        cells = _cells(points, depth)
+        cells, in_block = _cells(points, depth), ["cell_row", "cell_col"]
         if depth == 1:
-            met = split_join(rim, cells.drop("parent_row", "parent_col"), ["block"], hot, _SITE)
+            met = _bounded_join(rim, cells.drop("parent_row", "parent_col"), ["block"], in_block, split)
         else:
             parents = rim.withColumnsRenamed({"cell_row": "parent_row", "cell_col": "parent_col"})
-            met = parents.join(cells, ["block", "parent_row", "parent_col"])
+            met = _bounded_join(parents, cells, ["block", "parent_row", "parent_col"], in_block, split)
         gap = squared_chord_sql(["s_x", "s_y", "s_z"], ["c_x", "c_y", "c_z"])
         met = met.selectExpr(*_SPOT, *_CELL, "people", "spread", f"sqrt({gap}) AS gap")
         met = met.where(f"gap - spread <= {sql_number(maybe)}")
@@ -210,7 +222,7 @@ def served(
         parts.append(met.where(whole).select(*_SITE, "people"))
         rim = met.where(f"NOT {whole}").select(*_SPOT, *_CELL)
     leaves = points.selectExpr(*cell_key(level), *exact)
-    parts.append(rim.join(leaves, _CELL).where(within).select(*_SITE, "people"))
+    parts.append(_bounded_join(rim, leaves, _CELL, ["d_lat", "d_lon"], split).where(within).select(*_SITE, "people"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -293,32 +305,139 @@ def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list)
     )
 
 
-def _next_picks(frontier: list, sets: pa.Table, cut, room: int) -> list:
-    """Greedy picks inside the frontier while they beat ``cut``, the best gain outside it.
+def _amounts(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """Populations as whole numbers and what they are multiples of: 1, or a power of ten below it.
 
-    The first pick needs no comparison: it leads the ranking of all sites.
+    Sums that do not fit 64 bits are kept as Python numbers.
+    """
+    scale = 1
+    if pa.types.is_decimal(column.type):
+        scale = 10 ** column.type.scale
+        pairs = [np.frombuffer(c.buffers()[1], "<i8").reshape(-1, 2)[c.offset:c.offset + len(c)] for c in column.chunks]
+        words = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        # The upper half only repeats the sign of numbers that fit the lower one.
+        if (words[:, 1] != words[:, 0] >> 63).any():
+            return np.array([int(v * scale) for v in column.to_pylist()], dtype=object), scale
+        people = words[:, 0].copy()
+    else:
+        people = np.array(column.to_pylist(), dtype=object)
+        people = people.astype("int64") if all(abs(v) < 2**62 for v in people) else people
+    if people.dtype != object and np.abs(people.astype(float)).sum() >= 2**62:
+        people = people.astype(object)
+    return people, scale
+
+
+def _next_picks(frontier: list, sets: pa.Table, beyond, room: int) -> list:
+    """Greedy picks inside the frontier while they come before ``beyond``, the best site outside it.
+
+    The first pick needs no comparison: it leads the ranking of all sites.  Sites outside only
+    lose, so a tie with ``beyond`` is won by the one that is first in order.
     """
-    people = np.array(sets["people"].to_pylist(), dtype=object)
-    whole = pa.types.is_int64(sets["people"].type) and people.sum() < 2**62
-    if whole:
-        people = people.astype("int64")
+    people, scale = _amounts(sets["people"])
     words = np.column_stack([sets[f"m{w}"].to_numpy() for w in range(WORDS)])
     reached = np.stack([(words[:, i // WORD_BITS] >> (i % WORD_BITS)) & 1 == 1 for i in range(len(frontier))], axis=1)
     gains = np.array([people[reached[:, i]].sum() for i in range(len(frontier))], dtype=people.dtype)
     order = [(r.first_here, r.s_lat, r.s_lon) for r in frontier]
+    cut = 0 if beyond is None else int(beyond.people * scale)
     picks: list = []
     while len(picks) < room:
         best = gains.max()
-        if best <= 0 or (picks and best <= cut):
+        if best <= 0:
             break
         at = min(np.flatnonzero(gains == best), key=lambda i: order[i])
-        picks.append(_Pick(*_centers([frontier[at]])[0], frontier[at].first_here, int(best) if whole else best))
-        taken = reached[:, at] & (people != 0)
-        gains = gains - people[taken] @ reached[taken].astype(people.dtype)
+        if picks and beyond is not None and (best < cut or best == cut and order[at] > (beyond.first_here, beyond.s_lat, beyond.s_lon)):
+            break
+        gain = int(best) if scale == 1 else Decimal(int(best)) / scale
+        picks.append(_Pick(*_centers([frontier[at]])[0], frontier[at].first_here, gain))
+        taken = np.flatnonzero(reached[:, at] & (people != 0))
+        for low in range(0, len(taken), SETS_AT_ONCE):
+            part = taken[low:low + SETS_AT_ONCE]
+            gains = gains - people[part] @ reached[part].astype(people.dtype)
         people[taken] = 0
     return picks
 
 
+class _Search:
+    """Scores of all sites, kept up to date while sites open."""
+
+    def __init__(
+        self, cache: FrameCache, areas: DataFrame, sites: DataFrame, radius_miles: float, order_by: str, population: str,
+        lat: str, lon: str, leaf_points: int, most_pairs: int,
+    ) -> None:
+        self.cache, self.grid, self.radius_miles = cache, Grid(radius_miles), radius_miles
+        grid = self.grid
+        self.points = cache.get(
+            "points", lambda: demand_points(areas, grid, population, lat, lon).sortWithinPartitions("block")
+        )
+        self.reach = cache.get("reach", lambda: site_reach_blocks(sites, grid, order_by, lat, lon))
+        self.level, self.split, self.signed = _shape(self.points, self.reach, leaf_points, most_pairs)
+        self.base = cache.get("base", lambda: _per_site(served(self.points, self.reach, radius_miles, self.level, self.split)))
+        self.losses: list[DataFrame] = []
+        self.chosen: list = []
+        self.rounds = self.checkpoints = 0
+
+    def scores(self) -> DataFrame:
+        """People each site would add now: the base less what sites near the chosen ones have lost.
+
+        Losses touch few sites, so they are summed on their own and the base stays where it is.
+        """
+        if not self.losses:
+            return self.base
+        lost = _per_site(reduce(DataFrame.unionAll, self.losses)).select(
+            "s_lat", "s_lon", F.col("people").alias("lost")
+        )
+        return self.base.join(lost, ["s_lat", "s_lon"], "left").select(
+            *_SITE, (F.col("people") - F.coalesce("lost", F.lit(0))).alias("people")
+        )
+
+    def next_batch(self, room: int, frontier_sites: int) -> list:
+        """The next picks, at least one if any site adds people."""
+        leading = (
+            self.scores().where("people > 0")
+            .orderBy(F.desc("people"), "first_here", "s_lat", "s_lon")
+            .limit(1 if self.signed else frontier_sites + 1)
+            .collect()
+        )
+        self.rounds += 1
+        if self.signed or room == 1 or len(leading) < 2:
+            return [_Pick(r.s_lat, r.s_lon, r.first_here, r.people) for r in leading[:1]]
+        beyond = leading[frontier_sites] if len(leading) > frontier_sites else None
+        frontier = leading[:frontier_sites]
+        sets = _frontier_sets(self.points, self.grid, frontier, _centers(self.chosen))
+        return _next_picks(frontier, sets, beyond, room)
+
+    def open(self, batch: list) -> None:
+        new, earlier = _centers(batch), _centers(self.chosen)
+        self.chosen += batch
+        fresh = _newly_covered(self.points, self.grid, new, earlier)
+        near = _sites_near(self.reach, self.grid, new)
+        lost = _per_site(served(fresh, near, self.radius_miles, self.level, self.split))
+        self.losses.append(self.cache.get(f"loss {len(self.chosen)}", lambda: lost))
+        if len(self.losses) == CONSOLIDATE_ROUNDS:
+            ensure_checkpoint_dir(self.reach.sparkSession)
+            self.base, self.losses = self.scores().checkpoint(), []
+            self.checkpoints += 1
+            self.cache.drop_all_but("points", "reach")
+
+
+@dataclass(frozen=True)
+class SearchOptions:
+    """Sizes that decide how the work is cut, never what comes out.
+
+    ``leaf_points``: points of a cell before it is divided.  ``most_pairs``: pairs of one key
+    that a task may test.  ``frontier_sites``: sites that compete on the driver, at most
+    FRONTIER_SITES.
+    """
+
+    leaf_points: int = LEAF_POINTS
+    most_pairs: int = MOST_PAIRS
+    frontier_sites: int = FRONTIER_SITES
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.frontier_sites <= FRONTIER_SITES:
+            raise ValueError(f"frontier_sites must be 1 to {FRONTIER_SITES}, got {self.frontier_sites}")
+
+
 def greedy_cover(
     areas: DataFrame,
     sites: DataFrame,
@@ -328,64 +447,78 @@ def greedy_cover(
     population: str = "population",
     lat: str = "lat",
     lon: str = "lon",
-    leaf_points: int = LEAF_POINTS,
-    hot_rows: int = HOT_ROWS,
+    options: SearchOptions = SearchOptions(),
 ) -> Selection:
     """Chooses up to ``k`` sites, each time the one that covers most people not yet covered.
 
     Ties go to the site that comes first by ``order_by``; sites that add nobody
     are never chosen.  The driver sees only the frontier and its sets, whose
-    number does not depend on the data.
+    number does not depend on the data.  Tables of chosen sites are broadcast, so ``k`` may be
+    MOST_SITES at most.
     """
-    if k < 0:
-        raise ValueError(f"k must be zero or more, got {k}")
-    grid = Grid(radius_miles)
+    if not 0 <= k <= MOST_SITES:
+        raise ValueError(f"k must be 0 to {MOST_SITES}, got {k}")
+    Grid(radius_miles)
     chosen: list = []
-    batch: list = []
+    rounds = checkpoints = 0
     with FrameCache() as cache:
-        points = cache.get(
-            "points", lambda: demand_points(areas, grid, population, lat, lon).sortWithinPartitions("block")
-        )
-        reach = cache.get("reach", lambda: site_reach_blocks(sites, grid, order_by, lat, lon))
         if k:
-            level, hot, signed = _shape(points, reach, leaf_points, hot_rows)
-        while len(chosen) < k:
-            if not chosen:
-                gains = _per_site(served(points, reach, radius_miles, level, hot))
-                base, losses = cache.get("base", lambda: gains), []
-            else:
-                new, earlier = _centers(batch), _centers(chosen[: -len(batch)])
-                fresh = _newly_covered(points, grid, new, earlier)
-                lost = served(fresh, _sites_near(reach, grid, new), radius_miles, level, hot)
-                per_site = _per_site(lost.withColumn("people", -F.col("people")))
-                losses.append(cache.get(f"loss {len(chosen)}", lambda: per_site))
-            scores = _per_site(reduce(DataFrame.unionAll, losses, base)) if losses else base
-            if len(losses) == CONSOLIDATE_ROUNDS:
-                ensure_checkpoint_dir(reach.sparkSession)
-                base, losses = scores.checkpoint(), []
-                cache.drop_all_but("points", "reach")
-                scores = base
-            frontier = (
-                scores.where("people > 0")
-                .orderBy(F.desc("people"), "first_here", "s_lat", "s_lon")
-                .limit(1 if signed else FRONTIER_SITES + 1)
-                .collect()
+            search = _Search(
+                cache, areas, sites, radius_miles, order_by, population, lat, lon, options.leaf_points, options.most_pairs
             )
-            batch = [_Pick(r.s_lat, r.s_lon, r.first_here, r.people) for r in frontier[:1]]
-            room = k - len(chosen)
-            if not signed and room > 1 and len(frontier) > 1:
-                cut = frontier[FRONTIER_SITES].people if len(frontier) > FRONTIER_SITES else 0
-                frontier = frontier[:FRONTIER_SITES]
-                sets = _frontier_sets(points, grid, frontier, _centers(chosen))
-                batch = _next_picks(frontier, sets, cut, room)
+            while len(search.chosen) < k:
+                batch = search.next_batch(k - len(search.chosen), options.frontier_sites)
+                if not batch:
+                    break
+                if len(search.chosen) + len(batch) == k:
+                    search.chosen += batch
+                else:
+                    search.open(batch)
+            chosen, rounds, checkpoints = search.chosen, search.rounds, search.checkpoints
+    return Selection(_chosen_sites(sites, chosen, order_by, lat, lon), _centers(chosen), radius_miles, rounds, checkpoints)
+
+
+def remaining_gains(
+    areas: DataFrame,
+    sites: DataFrame,
+    radius_miles: float,
+    k: int,
+    order_by: str = "site_id",
+    population: str = "population",
+    lat: str = "lat",
+    lon: str = "lon",
+    options: SearchOptions = SearchOptions(),
+) -> DataFrame:
+    """Each site with the people it would still add after ``k`` greedy picks, as ``gain``; 0 included."""
+    if not 0 <= k <= MOST_SITES:
+        raise ValueError(f"k must be 0 to {MOST_SITES}, got {k}")
+    ensure_checkpoint_dir(areas.sparkSession)
+    sites = sites.checkpoint()
+    with FrameCache() as cache:
+        search = _Search(
+            cache, areas, sites, radius_miles, order_by, population, lat, lon, options.leaf_points, options.most_pairs
+        )
+        while len(search.chosen) < k:
+            batch = search.next_batch(k - len(search.chosen), options.frontier_sites)
             if not batch:
                 break
-            chosen += batch
-    return Selection(_chosen_sites(sites, chosen, order_by, lat, lon), _centers(chosen), radius_miles)
+            search.open(batch)
+        scores = search.scores().checkpoint()
+    return _with_gain(sites, scores, "gain", lat, lon)
+
+
+def _with_gain(sites: DataFrame, scores: DataFrame, out: str, lat: str, lon: str) -> DataFrame:
+    """All sites with the score of their location, 0 where there is none."""
+    gains = scores.select("s_lat", "s_lon", F.col("people").alias("_gain"))
+    here = (F.col(lat).cast("double") == F.col("s_lat")) & (F.col(lon).cast("double") == F.col("s_lon"))
+    return (
+        sites.join(gains, here, "left").withColumn(out, F.coalesce("_gain", F.lit(0))).drop("s_lat", "s_lon", "_gain")
+    )
 
 
 def _per_site(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*_SITE).agg(F.sum("people").alias("people"))
+    by_place = rows.groupBy("s_lat", "s_lon").agg(F.min("first_here").alias("first_here"), F.sum("people").alias("people"))
+    return by_place.select(*_SITE, "people")
 
 
 def _centers(rows: list) -> list[tuple[float, float]]:
@@ -416,12 +549,11 @@ def _chosen_sites(sites: DataFrame, chosen: list, order_by: str, lat: str, lon:
         & (F.col(lat).cast("double") == F.col("_lat"))
         & (F.col(lon).cast("double") == F.col("_lon"))
     )
-    # At most k rows, so the broadcast is bounded by the request.
-    return (
-        sites.join(F.broadcast(picks), same)
-        .select("rank", *sites.columns, "gain", "cumulative_population")
-        .dropDuplicates(["rank"])
-    )
+    # At most MOST_SITES rows, so the broadcast is bounded.  Of several rows with the same order
+    # and place the one that sorts first counts.
+    found = sites.join(F.broadcast(picks), same).groupBy("rank", "gain", "cumulative_population")
+    first = found.agg(F.min(F.struct(*sites.columns)).alias("_site"))
+    return first.select("rank", "_site.*", "gain", "cumulative_population")
 
 
 def flag_covered(
@@ -509,18 +641,8 @@ def site_reach(
     population: str = "population",
     lat: str = "lat",
     lon: str = "lon",
+    options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
     """Each site with the population it could serve alone, as ``reach_population``."""
-    grid = Grid(radius_miles)
-    points = demand_points(areas, grid, population, lat, lon)
-    reach = site_reach_blocks(sites, grid, order_by, lat, lon)
-    gains = (
-        _per_site(served(points, reach, radius_miles, refinement(points), hot_keys(reach, ["block"])))
-        .select("s_lat", "s_lon", F.col("people").alias("gain"))
-    )
-    here = (F.col(lat).cast("double") == F.col("s_lat")) & (F.col(lon).cast("double") == F.col("s_lon"))
-    return (
-        sites.join(gains, here, "left")
-        .withColumn("reach_population", F.coalesce("gain", F.lit(0)))
-        .drop("s_lat", "s_lon", "gain")
-    )
+    gains = remaining_gains(areas, sites, radius_miles, 0, order_by, population, lat, lon, options)
+    return gains.withColumnRenamed("gain", "reach_population")

@@ -110,3 +110,11 @@ def cell_key(level: int) -> list[str]:
         return ["block"]
     shift = (MAX_LEVEL - level) * _LEVEL_BITS
     return ["block", f"shiftright(sub_row, {shift}) AS cell_row", f"shiftright(sub_col, {shift}) AS cell_col"]
+
+
+def coarser(level: int) -> list[str]:
+    """Expressions that turn the key of a finest cell into that of the cell around it."""
+    if level == 0:
+        return ["block"]
+    shift = (MAX_LEVEL - level) * _LEVEL_BITS
+    return ["block", f"shiftright(cell_row, {shift}) AS cell_row", f"shiftright(cell_col, {shift}) AS cell_col"]

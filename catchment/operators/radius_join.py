@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from catchment.functions.geodesy import haversine_sql, side, unit_vector_sql, usable_point, within_sql
 from catchment.operators.grid import Grid
-from catchment.operators.skew import HOT_ROWS, hot_keys, split_join
+from catchment.operators.skew import MOST_PAIRS, key_parts, split_join
 
 
 def placed(df: DataFrame, prefix: str, lat: str, lon: str, keep: Sequence[str]) -> DataFrame:
@@ -28,13 +28,14 @@ def radius_join(
     site_columns: Sequence[str] = ("site_id",),
     lat: str = "lat",
     lon: str = "lon",
-    hot_rows: int = HOT_ROWS,
+    most_pairs: int = MOST_PAIRS,
 ) -> DataFrame:
     """Every (site, area) pair at most ``radius_miles`` apart, with ``distance_miles``.
 
     Sites are repeated into the blocks their disc touches, areas have exactly one
-    block, so the equi-join on the block yields each pair once.  Blocks with very
-    many areas or sites are cut into parts before the join.
+    block, so the equi-join on the block yields each pair once.  Blocks with more than
+    ``most_pairs`` candidate pairs are cut into parts on both sides before the join.  They
+    are found in a first pass that reads coordinates only.
     """
     shared = set(area_columns) & set(site_columns)
     if shared:
@@ -46,10 +47,9 @@ def radius_join(
         demand,
         reach,
         ["block"],
-        left_hot=hot_keys(demand, ["block"], hot_rows),
-        left_by=["d_lat", "d_lon", *area_columns],
-        right_hot=hot_keys(reach, ["block"], hot_rows),
-        right_by=["s_lat", "s_lon", *site_columns],
+        ["d_lat", "d_lon", *area_columns],
+        ["s_lat", "s_lon", *site_columns],
+        key_parts(demand, reach, ["block"], most_pairs),
     )
     return pairs.where(within_sql(side("s_"), side("d_"), radius_miles)).selectExpr(
         *site_columns,

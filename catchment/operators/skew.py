@@ -1,66 +1,64 @@
-"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+"""Equi-joins whose tasks stay small however many rows of either side share a key."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000
+# Pairs of rows that one task may test for a single key.
+MOST_PAIRS = 100_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of parts to cut each into.
+def key_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """Keys with more than ``most_pairs`` pairs, and into how many parts each side of them is cut.
 
-    At most ``rows / hot_rows`` keys can qualify, which bounds the result: a
-    hundred billion rows give at most half a million.
+    One aggregation counts both sides.  Parts are square where both sides are long, which
+    repeats the fewest rows; a short side stays whole.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counted = (
+        left.select(*keys, one.alias("_left"), none.alias("_right"))
+        .unionAll(right.select(*keys, none.alias("_left"), one.alias("_right")))
+        .groupBy(*keys).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
     )
 
+    def parts(own: str, other: str):
+        longest = F.greatest(F.lit(math.sqrt(most_pairs)), F.lit(float(most_pairs)) / F.col(other))
+        return F.ceil(F.col(own) / longest).cast("int")
 
-def _parted(
-    df: DataFrame, keys: list[str], own: tuple[DataFrame, list[str], str] | None, other: tuple[DataFrame, str] | None
-) -> DataFrame:
-    """Numbers the part of each row, and repeats rows for every part of the other side."""
-    if own is not None:
-        hot, split_by, part = own
-        number = f"cast(pmod(xxhash64({', '.join(split_by)}), coalesce(_parts, 1)) AS int)"
-        df = df.join(F.broadcast(hot), keys, "left").withColumn(part, F.expr(number)).drop("_parts")
-    if other is not None:
-        hot, part = other
-        every = F.expr("explode(sequence(0, coalesce(_parts, 1) - 1))")
-        df = df.join(F.broadcast(hot), keys, "left").withColumn(part, every).drop("_parts")
-    return df
+    return counted.where(F.col("_left") * F.col("_right").cast("double") > most_pairs).select(
+        *keys, parts("_left", "_right").alias("_left_parts"), parts("_right", "_left").alias("_right_parts")
+    )
 
 
 def split_join(
     left: DataFrame,
     right: DataFrame,
-    keys: list[str],
-    left_hot: DataFrame | None = None,
-    left_by: list[str] | None = None,
-    right_hot: DataFrame | None = None,
-    right_by: list[str] | None = None,
+    keys: Sequence[str],
+    left_by: Sequence[str],
+    right_by: Sequence[str],
+    parts: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner equi-join in which hot keys of either side are cut into parts.
+    """Inner equi-join in which the keys named by ``key_parts`` are cut into parts on both sides.
 
-    Each ``hot`` table is a result of ``hot_keys`` for that side, or None for a side
-    without hot keys.  The part comes from a hash of the ``by`` columns, so a retried
-    task places each row where the first attempt did.  Rows of the other side are
-    repeated, once per part, only where they share a hot key.  Copies of one row
-    share a part; adaptive execution splits those by map output.
+    The part comes from a hash of the ``by`` columns, so a retried task places each row
+    where the first attempt did.  Every part of a key meets every part of the other
+    side once.  Copies of one row share a part; adaptive execution splits those.
     """
-    on = list(keys)
-    if left_hot is not None:
-        on.append("_left_part")
-    if right_hot is not None:
-        on.append("_right_part")
-    left_own = (left_hot, left_by, "_left_part") if left_hot is not None else None
-    right_own = (right_hot, right_by, "_right_part") if right_hot is not None else None
-    a = _parted(left, keys, left_own, (right_hot, "_right_part") if right_hot is not None else None)
-    b = _parted(right, keys, right_own, (left_hot, "_left_part") if left_hot is not None else None)
-    return a.join(b, on).drop("_left_part", "_right_part")
+    if parts is None:
+        return left.join(right, list(keys))
+
+    def cut(df: DataFrame, by: Sequence[str], own: str, other: str) -> DataFrame:
+        number = F.expr(f"cast(pmod(xxhash64({', '.join(by)}), coalesce(_{own}_parts, 1)) AS int)")
+        every = F.expr(f"explode(sequence(0, coalesce(_{other}_parts, 1) - 1))")
+        return (
+            df.join(parts, list(keys), "left")
+            .withColumn(f"_{own}_part", number).withColumn(f"_{other}_part", every)
+            .drop("_left_parts", "_right_parts")
+        )
+
+    a, b = cut(left, left_by, "left", "right"), cut(right, right_by, "right", "left")
+    return a.join(b, [*keys, "_left_part", "_right_part"]).drop("_left_part", "_right_part")

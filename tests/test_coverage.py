@@ -46,7 +46,7 @@ def test_equals_plain_greedy(spark, seed, radius, k):
 @pytest.mark.parametrize("leaf_points", [200, 40, 4, 1])
 def test_refined_cells_give_the_same_picks(spark, leaf_points):
     areas, sites = world(11, 150, 40, dense=300)
-    selection = coverage.greedy_cover(*frames(spark, areas, sites), 3.0, 5, leaf_points=leaf_points)
+    selection = coverage.greedy_cover(*frames(spark, areas, sites), 3.0, 5, options=coverage.SearchOptions(leaf_points=leaf_points))
     assert picks(selection) == brute.greedy(areas, sites, 3.0, 5)[0]
 
 
@@ -54,14 +54,69 @@ def test_split_hot_blocks_give_the_same_picks(spark):
     areas, sites = world(12, 200, 150, dense=100)
     expected = brute.greedy(areas, sites, 4.0, 4)[0]
     for leaf_points in (2048, 20):
-        got = coverage.greedy_cover(*frames(spark, areas, sites), 4.0, 4, leaf_points=leaf_points, hot_rows=50)
-        assert picks(got) == expected
+        options = coverage.SearchOptions(leaf_points, most_pairs=500)
+        assert picks(coverage.greedy_cover(*frames(spark, areas, sites), 4.0, 4, options=options)) == expected
 
 
 def test_many_rounds_fold_into_a_checkpoint(spark):
     areas, sites = world(13, 250, 80, box=(38.5, 38.7, -90.4, -90.1))
     k = 2 * coverage.CONSOLIDATE_ROUNDS + 4
-    assert picks(coverage.greedy_cover(*frames(spark, areas, sites), 1.5, k)) == brute.greedy(areas, sites, 1.5, k)[0]
+    options = coverage.SearchOptions(frontier_sites=1)
+    selection = coverage.greedy_cover(*frames(spark, areas, sites), 1.5, k, options=options)
+    assert picks(selection) == brute.greedy(areas, sites, 1.5, k)[0]
+    assert selection.rounds == k and selection.checkpoints == 2
+
+
+@pytest.mark.parametrize("frontier, leaf_points, most_pairs", [(10, 2048, 10**8), (10, 30, 10**8), (10, 30, 300), (3, 2, 10**8)])
+def test_small_frontiers_cells_and_parts_together(spark, monkeypatch, frontier, leaf_points, most_pairs):
+    cuts, plain = [], coverage._next_picks
+    monkeypatch.setattr(coverage, "_next_picks", lambda f, s, beyond, room: cuts.append(beyond) or plain(f, s, beyond, room))
+    areas, sites = world(21, 600, 200, dense=600)
+    options = coverage.SearchOptions(leaf_points, most_pairs, frontier)
+    selection = coverage.greedy_cover(*frames(spark, areas, sites), 2.5, 14, options=options)
+    assert picks(selection) == brute.greedy(areas, sites, 2.5, 14)[0]
+    assert selection.rounds > 1 and any(beyond is not None and beyond.people > 0 for beyond in cuts)
+
+
+def test_many_ties_need_few_rounds(spark):
+    sites = [(f"s{i:04d}", 30.0 + i // 40 * 0.2, -120.0 + i % 40 * 0.4) for i in range(1000)]
+    areas = [(f"a{i}", lat, lon, 7) for i, lat, lon in sites]
+    selection = coverage.greedy_cover(*frames(spark, areas, sites), 1.0, 20)
+    assert picks(selection) == [(f"s{i:04d}", 7) for i in range(20)]
+    assert selection.rounds <= 3
+
+
+def test_ties_across_the_frontier_follow_the_order(spark):
+    rng = __import__("random").Random(5)
+    spots = [(30.0 + i * 0.5, -100.0) for i in range(30)]
+    names = [f"s{i:02d}" for i in range(30)]
+    rng.shuffle(names)
+    sites = [(n, *spot) for n, spot in zip(names, spots)]
+    areas = [(f"a{i}", *spot, 5 + i % 2) for i, spot in enumerate(spots)] + [("b", spots[0][0] + 0.25, -100.0, 0)]
+    for frontier in (1, 4, 16):
+        got = coverage.greedy_cover(*frames(spark, areas, sites), 2.0, 25, options=coverage.SearchOptions(frontier_sites=frontier))
+        assert picks(got) == brute.greedy(areas, sites, 2.0, 25)[0]
+
+
+def test_remaining_gains(spark):
+    areas, sites = world(22, 200, 40)
+    sites += [("twin", sites[3][1], sites[3][2])]
+    got = coverage.remaining_gains(*frames(spark, areas, sites), 3.0, 2).collect()
+    covered = brute.greedy(areas, sites, 3.0, 2)[1]
+    want = {s[0]: sum(a[3] for i, a in enumerate(areas) if i not in covered and brute.miles(s[1], s[2], a[1], a[2]) <= 3.0) for s in sites}
+    assert {r.site_id: r.gain for r in got} == want
+
+
+def test_amounts_beyond_64_bits():
+    import decimal
+
+    import pyarrow as pa
+
+    kind = pa.decimal128(38, 6)
+    small = pa.chunked_array([pa.array([decimal.Decimal("1.5"), decimal.Decimal("-2.000001")], kind)])
+    assert coverage._amounts(small)[0].tolist() == [1_500_000, -2_000_001] and coverage._amounts(small)[1] == 10**6
+    large = pa.chunked_array([pa.array([decimal.Decimal(10) ** 20, decimal.Decimal("0.1")], kind)])
+    assert coverage._amounts(large)[0].tolist() == [10**26, 100_000]
 
 
 def test_distant_sites_are_picked_together(spark):
@@ -142,6 +197,10 @@ def test_empty_cases(spark):
         coverage.greedy_cover(frame_areas, typed, 2.0, -1)
     with pytest.raises(ValueError):
         coverage.greedy_cover(frame_areas, typed, -2.0, 1)
+    with pytest.raises(ValueError):
+        coverage.greedy_cover(frame_areas, typed, 2.0, coverage.MOST_SITES + 1)
+    with pytest.raises(ValueError):
+        coverage.SearchOptions(frontier_sites=coverage.FRONTIER_SITES + 1)
 
 
 def test_site_reach_counts_every_site(spark):

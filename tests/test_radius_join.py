@@ -48,8 +48,9 @@ def test_hot_blocks_are_split_without_loss(spark):
     dense = (38.62, 38.63, -90.21, -90.20)
     areas = [(*a, 1) for a in cloud(rng, 300, dense, "h") + cloud(rng, 100, BOXES["city"], "a")]
     frames = spark.createDataFrame(areas, AREA), spark.createDataFrame(sites, SITE)
-    got = radius_join(*frames, 3.0, hot_rows=40).collect()
-    assert sorted((r.site_id, r.geoid) for r in got) == brute.pairs(areas, sites, 3.0)
+    for most_pairs in (40, 900):
+        got = radius_join(*frames, 3.0, most_pairs=most_pairs).collect()
+        assert sorted((r.site_id, r.geoid) for r in got) == brute.pairs(areas, sites, 3.0)
 
 
 def test_repeated_rows_and_unusable_coordinates(spark):
