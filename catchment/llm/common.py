@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from catchment.session import ensure_checkpoint_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: The separators of words: space and U+0009 to U+000D.
 WHITE = np.zeros(256, bool)
