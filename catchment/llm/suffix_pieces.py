@@ -34,9 +34,9 @@ from catchment.llm.common import Block, Spans, blocks, chosen, runs, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-INDEX_BYTES = 1 << 20  # of different words in one suffix array
-GROUP = 8  # blocks whose new words are indexed together
-MOST_WORDS = 400_000  # remembered by a task
+INDEX_BYTES = 1 << 19  # of different words in one suffix array
+GROUP = 6  # blocks whose new words are indexed together
+MOST_WORDS = 250_000  # remembered by a task
 CHUNK = 7  # letters of 9 bits in one sort key
 NONE, START = -2, -1
 
