@@ -53,6 +53,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+MOST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id", most: int = MOST_IDS) -> DataFrame:
+    """Rows of ``df`` whose id is among the settled ``ids`` (or with ``left_anti`` is not).
+
+    Up to ``most`` ids, counted first, are broadcast, so that whole texts need no shuffle; more are
+    joined by shuffle.
+    """
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, column, how)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1

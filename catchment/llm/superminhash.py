@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchment.llm.common import blocks, chosen, distinct_in_rows, mix, settled, shingles
+from catchment.llm.common import blocks, chosen, distinct_in_rows, mix, settled, shingles, with_ids
 from catchment.llm.components import components
 
 BANDS, ROWS = 20, 4
@@ -227,7 +227,8 @@ def links(stands: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
     )
     route = by_cluster.unionByName(by_bucket)
-    sets = settled(docs.join(cluster, "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]))
+    named = with_ids(docs, cluster.select("doc_id"))
+    sets = settled(named.mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]))
     known = sets.join(stands.select("doc_id", "slots"), "doc_id")
     return route.join(known, "doc_id").groupBy("bin", "i", "j").applyInArrow(_compare(percent), "u bigint, v bigint")
 
