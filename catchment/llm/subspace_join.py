@@ -32,8 +32,8 @@ from catchment.llm.components import components, union_find
 
 LEAST_COSINE = 0.95
 BLOCK, GRID = 8, 2
-PART = 4096
-STRIP = 1024  # rows of a part compared at once
+PART = 16384
+STRIP = 256  # rows of a part compared at once
 CHECKED = 20_000  # candidates verified at once
 SEED = 23
 SLACK = 1e-6  # of squared distances, far above rounding
