@@ -16,12 +16,11 @@ PARTS_TYPE = "array<array<array<array<double>>>>"
 
 def parse_parts(geojson: str) -> Column:
     """Parts of a Polygon or MultiPolygon; null for any other kind and for bad text."""
-    kind = f"get_json_object({geojson}, '$.type')"
-    text = f"get_json_object({geojson}, '$.coordinates')"
+    # The coordinates stay text in the first reading, and only the form they need is read from it.
     return F.expr(
-        f"CASE {kind} "
-        f"WHEN 'Polygon' THEN from_json(concat('[', {text}, ']'), '{PARTS_TYPE}') "
-        f"WHEN 'MultiPolygon' THEN from_json({text}, '{PARTS_TYPE}') END"
+        f"transform(array(from_json({geojson}, 'struct<type:string,coordinates:string>')), g -> CASE g.type "
+        f"WHEN 'Polygon' THEN from_json(concat('[', g.coordinates, ']'), '{PARTS_TYPE}') "
+        f"WHEN 'MultiPolygon' THEN from_json(g.coordinates, '{PARTS_TYPE}') END)[0]"
     )
 
 
@@ -59,42 +58,40 @@ def usable_ring(ring: str) -> Column:
 def _with_planar_centroid(df: DataFrame, parts: str, out: str) -> DataFrame:
     """Adds struct ``x, y``: area-weighted centroid, holes subtracted; null without any area.
 
-    Vertices are taken relative to the first one, which keeps the precision of
-    small shapes.  Functions inside arrays are interpreted, so every step is kept
-    to a few operations on named fields instead of one deep expression.
+    One fold per ring carries the previous vertex and the three sums, starting from the last
+    vertex, so that open rings close too.  Vertices are taken relative to the first one
+    of all, which keeps the precision of small shapes.
     """
-    ring = "concat(q.ring, slice(q.ring, 1, 1))"
-    local = f"transform({ring}, v -> named_struct('x', get(v, 0) - _ox, 'y', get(v, 1) - _oy))"
-    edges = (
-        "zip_with(q.points, slice(q.points, 2, greatest(size(q.points), 1)), (a, b) -> "
-        "named_struct('c', a.x * b.y - b.x * a.y, 'sx', a.x + b.x, 'sy', a.y + b.y))"
+    x, y = "(get(v, 0) - _ox)", "(get(v, 1) - _oy)"
+    cross = f"(s.px * {y} - {x} * s.py)"
+    step = (
+        f"named_struct('px', {x}, 'py', {y}, 'c', s.c + coalesce({cross}, 0D), "
+        f"'x', s.x + coalesce((s.px + {x}) * {cross}, 0D), 'y', s.y + coalesce((s.py + {y}) * {cross}, 0D))"
+    )
+    last = "get(r, size(r) - 1)"
+    start = f"named_struct('px', get({last}, 0) - _ox, 'py', get({last}, 1) - _oy, 'c', 0D, 'x', 0D, 'y', 0D)"
+    # An outer ring counts with positive area and a hole with negative area, whatever their direction.
+    ring = (
+        f"aggregate(r, {start}, (s, v) -> {step}, s -> named_struct("
+        "'w', if(i > 0, -1D, 1D) * sign(s.c), 'c', s.c, 'x', s.x, 'y', s.y))"
+    )
+    total = (
+        "aggregate(_rings, named_struct('c', 0D, 'x', 0D, 'y', 0D), (t, q) -> named_struct("
+        "'c', t.c + coalesce(q.w * q.c, 0D), 'x', t.x + coalesce(q.w * q.x, 0D), 'y', t.y + coalesce(q.w * q.y, 0D)))"
     )
-    moments = f"transform({edges}, e -> named_struct('c', e.c, 'x', e.sx * e.c, 'y', e.sy * e.c))"
-
-    def total(rows: str, field: str) -> str:
-        return f"aggregate({rows}, 0D, (s, m) -> s + coalesce(m.{field}, 0D))"
-
-    sums = ", ".join(f"'{f}', {total('q.moments', f)}" for f in ("c", "x", "y"))
     steps = {
         "_first": f"get(get(get({parts}, 0), 0), 0)",
         "_ox": "get(_first, 0)",
         "_oy": "get(_first, 1)",
-        "_rings": f"flatten(transform({parts}, p -> transform(p, (r, i) -> "
-        "named_struct('ring', r, 'hole', i > 0))))",
-        "_points": f"transform(_rings, q -> named_struct('points', {local}, 'hole', q.hole))",
-        "_moments": f"transform(_points, q -> named_struct('moments', {moments}, 'hole', q.hole))",
-        "_sums": f"transform(_moments, q -> named_struct({sums}, 'hole', q.hole))",
-        # An outer ring counts with positive area and a hole with negative area, whatever their direction.
-        "_signed": "transform(_sums, q -> named_struct('w', if(q.hole, -1D, 1D) * sign(q.c), 'c', q.c, 'x', q.x, 'y', q.y))",
-        "_weighted": "transform(_signed, q -> named_struct('c', q.w * q.c, 'x', q.w * q.x, 'y', q.w * q.y))",
-        "_area": f"3 * {total('_weighted', 'c')}",
+        "_rings": f"flatten(transform({parts}, p -> transform(p, (r, i) -> {ring})))",
+        "_total": total,
         out: f"CASE WHEN {parts} IS NOT NULL THEN named_struct("
-        f"'x', try_divide({total('_weighted', 'x')}, _area) + _ox, "
-        f"'y', try_divide({total('_weighted', 'y')}, _area) + _oy) END",
+        "'x', try_divide(_total.x, 3 * _total.c) + _ox, 'y', try_divide(_total.y, 3 * _total.c) + _oy) END",
     }
     kept = df.columns
-    for name, step in steps.items():
-        df = df.withColumn(name, F.expr(step))
+    for name, expression in steps.items():
+        # The sums are used twice and must not be computed twice.
+        df = computed_once(df, {name: F.expr(expression)}) if name == "_total" else df.withColumn(name, F.expr(expression))
     return df.select(*kept, out)
 
 

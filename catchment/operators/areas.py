@@ -7,8 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Types that may open (fixed values).
 DEFAULT_SITE_TYPES = ("school", "place_of_worship", "community_centre", "fire_station", "library")
-INLINE_LIST = 1000
 
 
 def merge_population(
@@ -40,13 +40,9 @@ def enrich(boundaries: DataFrame, demographics: DataFrame, key: str = "geoid") -
 
 def keep_keys(df: DataFrame, keys: DataFrame | Iterable[str], key: str = "geoid") -> DataFrame:
     """Rows whose key is listed, either in a table of any size or in a Python list."""
-    if isinstance(keys, DataFrame):
-        return df.join(keys.select(F.col(key).cast("string").alias(key)), key, "left_semi")
-    listed = sorted({str(k) for k in keys})
-    if len(listed) <= INLINE_LIST:
-        return df.where(F.col(key).isin(listed))
-    table = df.sparkSession.createDataFrame([(k,) for k in listed], f"{key} string")
-    return df.join(table, key, "left_semi")
+    if not isinstance(keys, DataFrame):
+        keys = df.sparkSession.createDataFrame([(k,) for k in sorted({str(k) for k in keys})], f"{key} string")
+    return df.join(keys.select(F.col(key).cast("string").alias(key)), key, "left_semi")
 
 
 def keep_types(sites: DataFrame, types: Sequence[str] = DEFAULT_SITE_TYPES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +45,31 @@ YOUNG_ELDERLY_SHARE, OLD_ELDERLY_SHARE = 0.6, 0.4
 MODES = ("cells", "estimate", "estimate_known_elderly")
 
 
-def _cell_sum(df: DataFrame, cells: Sequence[str]) -> str:
+# Housing by age, for the rate of old housing.
+HOUSING_AGE = ("Units_Before_1940", "Housing_Age_Universe")
+
+
+def _require(df: DataFrame, columns: Collection[str], absent: Collection[str]) -> None:
+    missing = sorted(set(columns) - set(df.columns) - set(absent))
+    if missing:
+        raise ValueError(f"columns {missing} are missing; name them as absent if they are not to count")
+
+
+def _cell_sum(cells: Sequence[str], absent: Collection[str]) -> str:
     """Sum of the cells at hand; a single null cell makes the whole sum 0."""
-    known = [c for c in cells if c in df.columns]
+    known = [c for c in cells if c not in absent]
     return f"coalesce(cast({' + '.join(known) or '0'} AS bigint), 0L)"
 
 
 def derive_metrics(
-    df: DataFrame, mode: str = "cells", unit: str = "percent", on_zero: str = "zero"
+    df: DataFrame, mode: str = "cells", unit: str = "percent", on_zero: str = "zero", absent: Collection[str] = ()
 ) -> DataFrame:
     """Adds all derived counts and rates, rates rounded to two decimals.
 
     ``cells`` takes age groups from age-sex cells.  ``estimate`` derives them from
     the population by fixed shares, and ``estimate_known_elderly`` does so except
-    for the people over 65, which it takes from ``Pop_65_Plus``.
+    for the people over 65, which it takes from ``Pop_65_Plus``.  Columns of age cells
+    or housing age that the table does not have must be named as ``absent``; they count as 0.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -78,16 +89,17 @@ def derive_metrics(
     df = df.withColumns({name: rounded(share(n, d)) for name, n, d in COUNT_RATES})
 
     if mode == "cells":
+        _require(df, [c for cells in AGE_CELLS.values() for c in cells] + list(HOUSING_AGE), absent)
         df = df.withColumns(
             {"Children_0_4": F.coalesce("Children_0_4", F.lit(0))}
-            | {name: F.expr(_cell_sum(df, cells)) for name, cells in AGE_CELLS.items()}
+            | {name: F.expr(_cell_sum(cells, absent)) for name, cells in AGE_CELLS.items()}
         )
         df = df.withColumn("Elderly_65_Plus", F.expr("Elderly_65_74 + Elderly_75_Plus"))
         df = df.withColumns(
             {
                 "Built_Before_1940": F.expr("coalesce(cast(Median_Year_Built < 1940 AS bigint), 0L)"),
                 "Old_Housing_Rate": rounded(share("Units_Before_1940", "Housing_Age_Universe"))
-                if "Units_Before_1940" in df.columns
+                if not set(HOUSING_AGE) & set(absent)
                 else F.lit(0.0),
             }
         )
@@ -149,7 +161,7 @@ def with_location(df: DataFrame, place: str, number: str | None = None) -> DataF
 
 
 def demographic_table(
-    df: DataFrame, place: str, mode: str = "cells", number: str | None = None, **options: str
+    df: DataFrame, place: str, mode: str = "cells", number: str | None = None, **options
 ) -> DataFrame:
     """Raw counts to the full demographic table in its fixed column order."""
     table = existing_columns(round_numbers(with_location(derive_metrics(df, mode, **options), place, number)))

@@ -16,7 +16,7 @@ from catchment.functions.labels import (
     type_label,
 )
 from catchment.operators.areas import DEFAULT_SITE_TYPES, flag_selected, not_selected
-from catchment.operators.statistics import exact_median
+from catchment.operators.statistics import bracket_figures, median_row
 
 # Fields of an area description and how each is written (fixed values).
 DESCRIPTION_FIELDS = (
@@ -32,15 +32,18 @@ DESCRIPTION_FIELDS = (
 
 
 def load_summary(df: DataFrame) -> DataFrame:
-    """Rows, people, median income and unweighted mean rates of a demographic table."""
+    """Rows, people, median income and unweighted mean rates of a demographic table, in two passes."""
     figures = df.agg(
         F.count("*").alias("block_groups"),
         F.sum("POP").alias("total_population"),
         F.avg("Low_Income_Rate").alias("mean_low_income_rate"),
         F.avg("SNAP_Rate").alias("mean_snap_rate"),
+        *bracket_figures("Median_HH_Income"),
     )
-    median = exact_median(df, "Median_HH_Income", "median_income")
-    return figures.withColumn("median_income", median.scalar())
+    known = figures.first()
+    median = median_row(df, "Median_HH_Income", known.ends, known.n, "median_income").first()[0]
+    shown = df.sparkSession.createDataFrame([known], figures.schema)
+    return shown.drop("ends", "n").withColumn("median_income", F.lit(median).cast("double"))
 
 
 def county_totals(df: DataFrame, county: str = "countyfp", population: str = "population") -> DataFrame:

@@ -124,7 +124,7 @@ def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Age-sex cells and the modulus each is derived with.
 AGE_MODULI = {
-    "Male_5_9": 31, "Female_5_9": 29, "Male_10_14": 27, "Female_10_14": 25, "Male_15_17": 23, "Female_15_17": 21,
+    "Female_0_4": 33, "Male_5_9": 31, "Female_5_9": 29, "Male_10_14": 27, "Female_10_14": 25, "Male_15_17": 23, "Female_15_17": 21,
     "Male_65_74": 41, "Female_65_74": 43, "Male_75_plus": 37, "Female_75_plus": 35,
 }
 
@@ -163,7 +163,7 @@ def census_responses(spark: SparkSession, sf_dir: str, variables: dict[str, str]
     fields[1] = f"CASE WHEN POP % 71 = 0 THEN 'n/a' ELSE {fields[1]} END"
     line = ", ".join(["concat('Area ', geoid)", *fields, *codes.values()])
     return (
-        counts(spark, sf_dir)
+        cell_counts(spark, sf_dir).withColumnRenamed("GEOID", "geoid")
         .selectExpr("substring(geoid, 3, 3) AS county", f"cast(substring(geoid, 6) AS bigint) DIV {RESPONSE_ROWS} AS chunk",
                     f"array({line}) AS line")
         .groupBy("county", "chunk")

@@ -9,15 +9,80 @@ from __future__ import annotations
 
 import math
 
-from catchment.functions.geodesy import (
-    _ARC, _ARC_TERMS, _E2, _EP2, _FOOT_TERMS, GRS80_A, UTM_FALSE_EASTING, UTM_SCALE, utm_central_meridian,
-)
-from catchment.operators.generate import (
-    BASE_SITES, CONSTANT_RATES, HOUSEHOLD_SHARES, PEOPLE_SHARES,
-)
-from catchment.plans.inputs import AGE_MODULI, COUNT_MODULI
 from catchment.schemas import DEMOGRAPHIC_COLUMNS
-from catchment.sources.census import ACS_CELL_VARIABLES, ACS_VARIABLES, LONG_NAMES
+
+# Written out here and not shared with the code they check (fixed values).
+GRS80_A = 6378137.0
+UTM_SCALE = 0.9996
+UTM_FALSE_EASTING = 500000.0
+UTM_MERIDIAN = -93.0
+_E2 = 0.006694380022900787
+_EP2 = 0.006739496775478957
+_ARC = 0.9983242984445848
+_ARC_TERMS = [(-0.0025146070728448195, 2), (2.6390466202308984e-06, 4), (-3.4180461367752136e-09, 6)]
+_FOOT_TERMS = [(0.0025188265967581876, 2), (3.7009490719640127e-06, 4), (7.447813877211132e-09, 6), (1.7035993573185927e-11, 8)]
+BASE_SITES = (('church_1', 38.6359, -90.2211), ('church_2', 38.6277, -90.1994), ('school_1', 38.646, -90.2547),
+ ('school_2', 38.6089, -90.2368), ('community_1', 38.6701, -90.2846), ('community_2', 38.5964, -90.2253))
+CONSTANT_RATES = {'Low_Income_Rate': 9.7,
+ 'SNAP_Rate': 6.5,
+ 'Public_Assistance_Rate': 2.0,
+ 'Child_Dependency_Rate': 18.0,
+ 'Elderly_Dependency_Rate': 17.0,
+ 'Total_Dependency_Rate': 35.0,
+ 'HH_With_Children_Rate': 28.0,
+ 'Single_Parent_Rate': 8.0,
+ 'Renter_Rate': 31.0,
+ 'Vacancy_Rate': 8.0,
+ 'Old_Housing_Rate': 0.0,
+ 'No_Car_Rate': 8.0,
+ 'No_Internet_Rate': 4.0}
+HOUSEHOLD_SHARES = {'Low_Income_HH': 0.097,
+ 'HH_SNAP': 0.065,
+ 'Public_Assistance_HH': 0.02,
+ 'HH_With_Children': 0.28,
+ 'Single_Parent_HH': 0.08,
+ 'Renter_Occupied': 0.31,
+ 'Vacant_Housing_Units': 0.08,
+ 'HH_No_Internet': 0.04}
+PEOPLE_SHARES = {'Children_0_17': 0.18,
+ 'Children_0_4': 0.045,
+ 'Children_5_17': 0.135,
+ 'Elderly_65_Plus': 0.17,
+ 'Elderly_65_74': 0.1,
+ 'Elderly_75_Plus': 0.07,
+ 'Total_Workers': 0.4}
+COUNT_MODULI = {'Low_Income_HH': 120,
+ 'HH_SNAP': 90,
+ 'Public_Assistance_HH': 60,
+ 'Total_Housing_Units': 600,
+ 'Renter_Occupied': 150,
+ 'Vacant_Housing_Units': 80,
+ 'Total_Workers': 700,
+ 'Workers_No_Car': 75,
+ 'HH_No_Internet': 65,
+ 'HH_With_Children': 110,
+ 'Single_Parent_HH': 45}
+AGE_MODULI = {'Female_0_4': 33,
+ 'Male_5_9': 31,
+ 'Female_5_9': 29,
+ 'Male_10_14': 27,
+ 'Female_10_14': 25,
+ 'Male_15_17': 23,
+ 'Female_15_17': 21,
+ 'Male_65_74': 41,
+ 'Female_65_74': 43,
+ 'Male_75_plus': 37,
+ 'Female_75_plus': 35}
+ACS_NAMES = ('POP', 'Total_Households', 'Median_HH_Income', 'Low_Income_HH', 'HH_SNAP', 'Public_Assistance_HH',
+ 'Total_Housing_Units', 'Renter_Occupied', 'Vacant_Housing_Units', 'Total_Workers', 'Workers_No_Car',
+ 'HH_No_Internet', 'HH_With_Children', 'Single_Parent_HH')
+ACS_CELL_NAMES = ('POP', 'Total_Households', 'Median_HH_Income', 'Low_Income_HH', 'HH_SNAP', 'Children_0_17', 'Children_0_4',
+ 'Female_0_4', 'Male_5_9', 'Female_5_9', 'Male_10_14', 'Female_10_14', 'Male_15_17', 'Female_15_17', 'Male_65_74',
+ 'Female_65_74', 'Male_75_plus', 'Female_75_plus', 'HH_With_Children', 'Single_Parent_HH', 'Renter_Occupied',
+ 'Total_Housing_Units', 'Vacant_Housing_Units', 'Median_Year_Built', 'Total_Workers', 'Workers_No_Car',
+ 'HH_No_Internet', 'Public_Assistance_HH')
+LONG_NAMES = ('Low_Income_HH', 'HH_SNAP', 'Public_Assistance_HH', 'HH_With_Children', 'Single_Parent_HH', 'Total_Workers',
+ 'Workers_No_Car', 'HH_No_Internet')
 
 R = 3958.7613
 
@@ -143,16 +208,12 @@ UNION ALL SELECT 'absent', 'skipped', NULL""")
 _decoded = ", ".join(
     f"coalesce({n}, 0) AS {n}" if n != "Total_Households"
     else "CASE WHEN POP % 71 = 0 THEN 0 ELSE coalesce(Total_Households, 0) END AS Total_Households"
-    for n in ACS_VARIABLES.values()
+    for n in ACS_NAMES
 )
 oracle("src6_census_decode", f"SELECT geoid AS GEOID, {_decoded} FROM fx_counts")
 oracle("src6_tract_decode", """SELECT substring(geoid, 1, 11) AS GEOID, concat('Area ', geoid) AS NAME,
 CAST(CASE WHEN POP % 71 = 0 THEN NULL ELSE POP END AS DOUBLE) AS POP FROM fx_counts""")
-_cells = {code: name for code, name in ACS_CELL_VARIABLES.items() if name in COUNT_MODULI or name == "POP"}
-_second = dict(sorted(_cells.items()))[sorted(_cells)[1]]
-oracle("src6_census_decode_cells", "SELECT geoid AS GEOID, " + ", ".join(
-    f"CASE WHEN POP % 71 <> 0 THEN {n} END AS {n}" if n == _second else n for n in _cells.values()) + " FROM fx_counts")
-oracle("src7_rename_coded", f"SELECT geoid, {', '.join(ACS_VARIABLES.values())} FROM fx_counts")
+oracle("src7_rename_coded", f"SELECT geoid, {', '.join(ACS_NAMES)} FROM fx_counts")
 oracle("snk1_table_replace", "SELECT * FROM fx_demo_city")
 oracle("snk2_table_append", "SELECT * FROM fx_demo_city UNION ALL SELECT * FROM fx_demo_county")
 oracle("snk3_csv_write", f"""SELECT geoid AS GEOID, 'Block Group, St. Louis County, Missouri' AS Location, POP,
@@ -179,7 +240,7 @@ oracle("p7_key_to_string", """SELECT CAST(CAST(a.geoid AS BIGINT) AS VARCHAR) AS
 FROM fx_areas a LEFT JOIN fx_demo_city c ON CAST(a.geoid AS BIGINT) = CAST(c.geoid AS BIGINT)""")
 _present = [c for c in DEMOGRAPHIC_COLUMNS if c in {"POP", "Total_Households", "Median_HH_Income", *COUNT_MODULI}]
 oracle("p8_existing_columns", f"SELECT geoid AS GEOID, {', '.join(_present)} FROM fx_counts")
-oracle("p9_rename_map", f"SELECT geoid, {', '.join(LONG_NAMES.values())} FROM fx_counts")
+oracle("p9_rename_map", f"SELECT geoid, {', '.join(LONG_NAMES)} FROM fx_counts")
 GEO = [
     "geo AS (SELECT geoid, population, geom_geojson AS g, CASE WHEN json_valid(geom_geojson) "
     "THEN json_extract_string(geom_geojson, '$.type') END AS kind FROM fx_areas)",
@@ -242,6 +303,7 @@ SELECT geoid, POP, {half_even(rate('Low_Income_HH', 'Total_Households'))} AS Low
 {half_even(f'{_child} + {_elder}')} AS Total_Dependency_Rate FROM fx_counts WHERE POP % 4 <> 0) t ON b.geoid = t.geoid""")
 oracle("j3_radius_join", "SELECT site_id, geoid, population, round(miles, 6) AS distance_miles FROM pairs",
        pairs("fx_areas", "fx_sites", 2.0))
+ORACLES["j3_radius_join_hot"] = ORACLES["j3_radius_join"]
 oracle("j4_not_selected", "SELECT site_id, name, type FROM fx_open WHERE site_id NOT IN (SELECT site_id FROM picks)", *FLAG)
 oracle("j5_covered_areas", "SELECT geoid, population FROM fx_demand WHERE geoid IN (SELECT geoid FROM covered)", *FLAG)
 _CHECK = """SELECT count(*) AS rows, count(p.geoid) AS matched{extra} FROM {left} b LEFT JOIN fx_demo_county p ON b.geoid = p.geoid"""
@@ -306,6 +368,11 @@ _AGES = {n: f"population % {m}" for n, m in AGE_MODULI.items()} | {
     "Units_Before_1940": "population % 50",
     "Housing_Age_Universe": "population % 400",
 }
+_CELLS = {n: _AGES[n] for n in ACS_CELL_NAMES if n in _AGES} | {
+    "Children_0_17": _AGES["Source_0_17"], "Children_0_4": _AGES["Source_0_4"],
+    "Male_5_9": "CASE WHEN population % 11 = 0 OR population % 71 = 0 THEN NULL ELSE population % 31 END"}
+oracle("src6_census_decode_cells", "SELECT geoid AS GEOID, " + ", ".join(
+    f"{_CELLS[n]} AS {n}" if n in _CELLS else f"c.{n}" for n in ACS_CELL_NAMES) + " FROM fx_counts c JOIN fx_areas a USING (geoid)")
 METRIC_INPUT = (
     "raw AS (SELECT c.*, " + ", ".join(f"{e} AS {n}" for n, e in _AGES.items())
     + " FROM fx_counts c JOIN fx_areas a USING (geoid))"
@@ -369,6 +436,11 @@ _short = {name.split("_", 1)[1]: e for name, e in _of.items()}
 oracle("m_full_table", "SELECT geoid AS GEOID, 'Block Group, St. Louis County, Missouri' AS Location, " + ", ".join(
     f"{_short[c.lower()]} AS {c}" if c.lower() in _short else c for c in DEMOGRAPHIC_COLUMNS[2:]) + " FROM raw", METRIC_INPUT)
 
+_chain = {c: _short[c.lower()] if c.lower() in _short else c for c in DEMOGRAPHIC_COLUMNS[2:]} | {"Old_Housing_Rate": "0.0::DOUBLE"}
+oracle("src6_cells_to_metrics", "SELECT geoid AS GEOID, 'Block Group, St. Louis County, Missouri' AS Location, "
+       + ", ".join(f"{e} AS {c}" for c, e in _chain.items()) + " FROM raw",
+       METRIC_INPUT.replace("population % 11 = 0 THEN NULL", "population % 11 = 0 OR population % 71 = 0 THEN NULL"))
+
 # --- geometry and text ---
 
 oracle("geo1_haversine", f"""SELECT a.geoid, b.site_id, round({miles('b', 'a')}, 6) AS miles
@@ -382,7 +454,7 @@ def _sines(terms: list[tuple[float, int]], angle: str) -> str:
 
 # Transverse Mercator after Snyder 1987, one table expression per step.
 _UTM = [
-    f"tm1 AS (SELECT geoid, pi, ri, vi, radians(y) AS phi, radians(x - ({utm_central_meridian(15)!r})) AS lam FROM xy)",
+    f"tm1 AS (SELECT geoid, pi, ri, vi, radians(y) AS phi, radians(x - ({UTM_MERIDIAN!r})) AS lam FROM xy)",
     f"tm2 AS (SELECT *, tan(phi) ** 2 AS t, {_EP2!r} * cos(phi) ** 2 AS c, lam * cos(phi) AS a, "
     f"{GRS80_A!r} / sqrt(1 - {_E2!r} * sin(phi) ** 2) AS nu, "
     f"{GRS80_A!r} * ({_ARC!r} * phi + {_sines(_ARC_TERMS, 'phi')}) AS m FROM tm1)",
@@ -401,7 +473,7 @@ _BACK = [
     "back AS (SELECT geoid, degrees(p - n * tan(p) / r * (d ** 2 / 2 "
     f"- (5 + 3 * t + 10 * c - 4 * c * c - {9 * _EP2!r}) * d ** 4 / 24 "
     f"+ (61 + 90 * t + 298 * c + 45 * t * t - {252 * _EP2!r} - 3 * c * c) * d ** 6 / 720)) AS lat, "
-    f"{utm_central_meridian(15)!r} + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 "
+    f"{UTM_MERIDIAN!r} + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 "
     f"+ (5 - 2 * c + 28 * t - 3 * c * c + {8 * _EP2!r} + 24 * t * t) * d ** 5 / 120) / cos(p)) AS lon FROM inv4)",
 ]
 oracle("geo3_projected_centroid", "SELECT geoid, round(lat, 7) AS lat, round(lon, 7) AS lon FROM back",
@@ -446,6 +518,29 @@ oracle("rnd1_lower_bound", "SELECT geoid, greatest(5000, population) AS at_least
 
 oracle("g1_greedy", """SELECT CAST(rank AS INTEGER) AS rank, s.*, gain, CAST(sum(gain) OVER (ORDER BY rank) AS BIGINT) AS cumulative_population
 FROM picks JOIN fx_sites s USING (site_id)""", *FLAG)
+_RANKED = """SELECT CAST(rank AS INTEGER) AS rank, site_id, gain, CAST(sum(gain) OVER (ORDER BY rank) AS BIGINT) AS cumulative_population
+FROM picks"""
+oracle("g1_greedy_rounds", _RANKED, *greedy(18, 2.0))
+oracle("g1_greedy_frontier", _RANKED, *greedy(10, 2.0))
+oracle("g1_greedy_cells", _RANKED, *greedy(3, 5.0))
+oracle("g1_greedy_hot", _RANKED, *greedy(3, 5.0))
+
+
+def _summary(demand: str, covered: str) -> str:
+    """Totals of a demand table and of its rows that satisfy a condition."""
+    total, part = f"(SELECT sum(population) FROM {demand})", f"(SELECT sum(population) FROM {demand} WHERE {covered})"
+    return (
+        f"SELECT CAST({total} AS BIGINT) AS total_population, CAST({part} AS BIGINT) AS covered_population, "
+        f"round(100.0 * {part}::DOUBLE / {total}::DOUBLE, 6) AS coverage_percent, "
+        "CAST((SELECT count(*) FROM picks) AS INTEGER) AS selected_count"
+    )
+
+
+oracle("g2_repeated_keys", _summary("fx_demand", "substring(geoid, 1, 11) IN (SELECT substring(geoid, 1, 11) FROM covered)"), *greedy(3, 2.0))
+oracle("cache2_drawable_areas_only", _summary("fx_drawn", "geoid IN (SELECT geoid FROM covered)"), MERGED,
+       "fx_drawn AS (SELECT * FROM fx_merged_demand WHERE geoid IN (SELECT geoid FROM fx_areas "
+       "WHERE starts_with(geom_geojson, '{\"type\":\"Polygon\"') OR starts_with(geom_geojson, '{\"type\":\"MultiPolygon\"')))",
+       *greedy(3, 5.0, "fx_drawn"))
 oracle("g2_run_summary", f"""SELECT CAST((SELECT sum(population) FROM fx_demand) AS BIGINT) AS total_population,
 CAST((SELECT sum(population) FROM fx_demand WHERE geoid IN (SELECT geoid FROM covered)) AS BIGINT) AS covered_population,
 {_PERCENT} AS coverage_percent, CAST((SELECT count(*) FROM picks) AS INTEGER) AS selected_count""", *FLAG)
@@ -453,6 +548,8 @@ oracle("g3_covered_flag", "SELECT geoid, population, geoid IN (SELECT geoid FROM
 oracle("g4_site_reach", """SELECT s.site_id, CAST(coalesce(sum(p.population), 0) AS BIGINT) AS reach_population
 FROM fx_sites s LEFT JOIN pairs p USING (site_id) GROUP BY s.site_id""", pairs("fx_demand", "fx_sites", 2.0))
 
+ORACLES["g4_site_reach_cells"] = ORACLES["g4_site_reach"]
+
 # --- generators ---
 
 
@@ -518,7 +615,7 @@ CASE WHEN {_ONLY_L} > 0 THEN 'some areas lack demographic data' ELSE 'all areas
 oracle("q2_key_examples", """SELECT geoid, 'left_only' AS side FROM fx_areas
 WHERE geoid NOT IN (SELECT geoid FROM fx_demo_city) ORDER BY geoid LIMIT 5""")
 oracle("q3_join_verdict", "SELECT *, CASE WHEN rows = matched THEN 'all keys match' ELSE 'some keys do not match' END AS verdict FROM ("
-       + _CHECK.format(left=_FIRST5, extra="") + ")")
+       + _CHECK.format(left=_COUNTY, extra="") + ")")
 oracle("r1_load_summary", f"""SELECT count(*) AS block_groups, CAST(sum(POP) AS BIGINT) AS total_population,
 round(avg({_LOW}), 6) AS mean_low_income_rate, round(avg({_SNAP}), 6) AS mean_snap_rate,
 median(Median_HH_Income) AS median_income FROM fx_counts""")
@@ -537,6 +634,8 @@ oracle("r4_site_features", f"""SELECT site_id, name, type, lat, lon,
 CASE WHEN site_id IN (SELECT site_id FROM picks) THEN 'selected' ELSE type END AS layer, {_LABEL.format(t='type')} AS type_display
 FROM fx_open""", *FLAG)
 
+ORACLES["r4_features_json"] = ORACLES["r4_site_features"]
+
 
 def _desc(name: str, text: str) -> str:
     return f"'{name}: ' || {text}"

@@ -24,7 +24,7 @@ from catchment.operators.radius_join import radius_join
 from catchment.operators.statistics import exact_median
 from catchment.plans import inputs
 from catchment.plans.service import CoverageService, map_tables
-from catchment.session import fresh_path
+from catchment.session import ensure_checkpoint_dir, fresh_path, remove_path
 from catchment.sources import census, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +83,20 @@ def _(spark, d):
         tables.demographics(spark, f"demo_{suffix}").select(F.lit("demographics").alias("source"), F.col("geoid").alias("key")),
         tables.boundaries(spark, f"bounds_{suffix}").select(F.lit("boundaries").alias("source"), F.col("geoid").alias("key")),
     ]
+    for name in frames:  # the frames are resolved, so the views have served
+        spark.catalog.dropTempView(f"{name}_{suffix}")
     return got[0].unionAll(got[1]).unionAll(got[2])
 
 
+def kept(spark: SparkSession, df: DataFrame, *paths: str) -> DataFrame:
+    """The rows, so that the files they were read from can go."""
+    ensure_checkpoint_dir(spark)
+    rows = df.checkpoint()
+    for path in paths:
+        remove_path(spark, path)
+    return rows
+
+
 @query("src3_run_sql")
 def _(spark, d):
     return tables.run_sql(
@@ -98,7 +109,7 @@ def _(spark, d):
     path = fresh_path(spark, "boundaries-csv")
     source = areas(spark, d).select("geoid", "statefp", "countyfp", "tractce", "blkgrpce", "lat", "lon", "geom_geojson")
     tables.write_csv(source, path)
-    return tables.read_boundaries_csv(spark, path).toDF(*source.columns)
+    return kept(spark, tables.read_boundaries_csv(spark, path).toDF(*source.columns), path)
 
 
 @query("src5_load_files")
@@ -113,7 +124,9 @@ def _(spark, d):
         },
         folder=f"{folder}/tables",
     )
-    return report.select(F.substring_index("table_name", "_", 1).alias("table_name"), "status", "row_count")
+    shown = report.select(F.substring_index("table_name", "_", 1).alias("table_name"), "status", "row_count")
+    spark.sql(f"DROP TABLE candidates_{suffix}")
+    return kept(spark, shown, folder)
 
 
 @query("src6_census_decode")
@@ -129,9 +142,19 @@ def _(spark, d):
 
 @query("src6_census_decode_cells")
 def _(spark, d):
-    known = {code: name for code, name in census.ACS_CELL_VARIABLES.items() if name in inputs.COUNT_MODULI or name == "POP"}
-    responses = inputs.census_responses(spark, d, dict(sorted(known.items())))
-    return census.decode_block_groups(responses, variables=known, bad_is_zero=False)
+    return _decoded_cells(spark, d)
+
+
+def _decoded_cells(spark: SparkSession, d: str) -> DataFrame:
+    """All cell variables; a count that cannot be read is null."""
+    responses = inputs.census_responses(spark, d, dict(sorted(census.ACS_CELL_VARIABLES.items())))
+    return census.decode_block_groups(responses, variables=census.ACS_CELL_VARIABLES, bad_is_zero=False)
+
+
+@query("src6_cells_to_metrics")
+def _(spark, d):
+    """Responses decoded, renamed and turned into the full table; they say nothing of housing age."""
+    return demographics.demographic_table(_decoded_cells(spark, d), PLACE, "cells", absent=demographics.HOUSING_AGE)
 
 
 @query("src7_rename_coded")
@@ -144,7 +167,9 @@ def _written(spark: SparkSession, frames: list[DataFrame], modes: list[str]) ->
     path, name = fresh_path(spark, "table"), f"written_{uuid.uuid4().hex}"
     for frame, mode in zip(frames, modes):
         tables.write_table(frame, name, mode, path)
-    return tables.read_table(spark, name)
+    rows = kept(spark, tables.read_table(spark, name), path)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 @query("snk1_table_replace")
@@ -164,7 +189,8 @@ def _(spark, d):
     path = fresh_path(spark, "demographics-csv")
     table = demographics.demographic_table(inputs.estimate_counts(spark, d), PLACE, "estimate")
     tables.write_csv(table, path)
-    return tables.read_demographics_csv(spark, path).select("GEOID", "Location", "POP", "SNAP_Rate", "No_Internet_Rate")
+    read = tables.read_demographics_csv(spark, path)
+    return kept(spark, read.select("GEOID", "Location", "POP", "SNAP_Rate", "No_Internet_Rate"), path)
 
 
 @query("snk4_boundary_table")
@@ -172,15 +198,26 @@ def _(spark, d):
     return rounded(tables.boundary_table(areas(spark, d)), "lat", "lon")
 
 
-def service(spark: SparkSession, d: str) -> CoverageService:
+def service(spark: SparkSession, d: str, require_geometry: bool = False) -> CoverageService:
     return CoverageService(
         boundaries=areas(spark, d).drop("population"),
         city=inputs.city_demographics(spark, d),
         county=inputs.county_demographics(spark, d),
         sites=sites(spark, d),
+        require_geometry=require_geometry,
     )
 
 
+@query("cache2_drawable_areas_only")
+def _(spark, d):
+    """A request over the areas that can be drawn."""
+    shared = service(spark, d, require_geometry=True)
+    run = shared.optimize(inputs.affected(spark, d), 5.0, 3)
+    summary = kept(spark, rounded(run.summary, "coverage_percent"))
+    shared.clear_cache()
+    return summary
+
+
 @query("cache1_shared_frames")
 def _(spark, d):
     """Two requests answered from the same kept frames, which are then released."""
@@ -358,6 +395,12 @@ def _(spark, d):
     return rounded(radius_join(areas(spark, d), sites(spark, d), 2.0), "distance_miles")
 
 
+@query("j3_radius_join_hot")
+def _(spark, d):
+    """The same pairs with every block of some size cut into parts on both sides."""
+    return rounded(radius_join(areas(spark, d), sites(spark, d), 2.0, most_pairs=500), "distance_miles")
+
+
 @query("j4_not_selected")
 def _(spark, d):
     run = flagship(spark, d)
@@ -398,10 +441,8 @@ def _(spark, d):
 @query("a4_remaining_gain")
 def _(spark, d):
     """Gain of each site over the demand that the first pick leaves uncovered."""
-    first = coverage.greedy_cover(demand(spark, d), open_sites(spark, d), FLAGSHIP_RADIUS, 1)
-    left = coverage.flag_covered(demand(spark, d), first).where("NOT covered")
-    gains = coverage.site_reach(left, open_sites(spark, d), FLAGSHIP_RADIUS)
-    return gains.where("reach_population > 0").select("site_id", F.col("reach_population").alias("gain"))
+    gains = coverage.remaining_gains(demand(spark, d), open_sites(spark, d), FLAGSHIP_RADIUS, 1)
+    return gains.where("gain > 0").select("site_id", "gain")
 
 
 @query("a5_best_gain")
@@ -677,6 +718,43 @@ def _(spark, d):
     return flagship(spark, d).sites
 
 
+def _picks(spark: SparkSession, d: str, radius: float, k: int, **options: int) -> DataFrame:
+    chosen = coverage.greedy_cover(
+        demand(spark, d), open_sites(spark, d), radius, k, options=coverage.SearchOptions(**options)
+    )
+    return chosen.sites.select("rank", "site_id", "gain", "cumulative_population")
+
+
+@query("g1_greedy_rounds")
+def _(spark, d):
+    """One pick per round, past two checkpoints."""
+    return _picks(spark, d, 2.0, 18, frontier_sites=1)
+
+
+@query("g1_greedy_frontier")
+def _(spark, d):
+    """Frontiers smaller than the number of sites, so that sites outside compete."""
+    return _picks(spark, d, 2.0, 10, frontier_sites=5)
+
+
+@query("g1_greedy_cells")
+def _(spark, d):
+    return _picks(spark, d, FLAGSHIP_RADIUS, 3, leaf_points=8)
+
+
+@query("g1_greedy_hot")
+def _(spark, d):
+    return _picks(spark, d, FLAGSHIP_RADIUS, 3, leaf_points=8, most_pairs=200)
+
+
+@query("g2_repeated_keys")
+def _(spark, d):
+    """Keys shared by several areas: gains go by row, coverage by key."""
+    tracts = demand(spark, d).withColumn("geoid", F.substring("geoid", 1, 11))
+    selection = coverage.greedy_cover(tracts, open_sites(spark, d), 2.0, 3)
+    return rounded(coverage.coverage_summary(tracts, selection), "coverage_percent")
+
+
 @query("g2_run_summary")
 def _(spark, d):
     return rounded(flagship(spark, d).summary, "coverage_percent")
@@ -693,6 +771,12 @@ def _(spark, d):
     return coverage.site_reach(demand(spark, d), sites(spark, d), 2.0).select("site_id", "reach_population")
 
 
+@query("g4_site_reach_cells")
+def _(spark, d):
+    options = coverage.SearchOptions(leaf_points=8, most_pairs=200)
+    return coverage.site_reach(demand(spark, d), sites(spark, d), 2.0, options=options).select("site_id", "reach_population")
+
+
 # --- generators, checks, reports -------------------------------------------------------
 
 
@@ -745,7 +829,7 @@ def _(spark, d):
 
 @query("q3_join_verdict")
 def _(spark, d):
-    return quality.join_verdict(areas(spark, d), inputs.county_demographics(spark, d), county="189", sample=5)
+    return quality.join_verdict(areas(spark, d), inputs.county_demographics(spark, d), county="189")
 
 
 @query("r1_load_summary")
@@ -786,6 +870,15 @@ def _(spark, d):
     return reports.site_features(sites(spark, d), flagship(spark, d).sites)
 
 
+@query("r4_features_json")
+def _(spark, d):
+    """Site features written as JSON, a folder per layer, and read back."""
+    path = fresh_path(spark, "features")
+    features = reports.site_features(sites(spark, d), flagship(spark, d).sites)
+    reports.write_features(features, path, by="layer")
+    return kept(spark, spark.read.schema(features.schema).json(path), path)
+
+
 @query("r5_area_description")
 def _(spark, d):
     derived = demographics.derive_metrics(inputs.estimate_counts(spark, d), "estimate")

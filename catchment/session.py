@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,13 @@ def build_session(app: str = "catchment", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, whose executors are this very process, may fall back
-    to a temporary folder.
+    Only where it is unset, and only in a session whose executors are this very process, is a
+    temporary folder set in its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="catchment-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -47,3 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes what ``fresh_path`` has named, wherever that is stored."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(hadoop, True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from catchment import schemas
 from catchment.functions.geometry import to_geojson, with_centroid, with_parts
@@ -64,19 +65,24 @@ def load_files(
     """Loads CSV files into tables, passing over files that are not there.
 
     ``entries`` maps a table name to (path, schema); with ``folder`` the tables are
-    stored below it.  Returns one line per entry.
+    stored below it.  Returns one line per entry, with the rows that its file held.
     """
-    lines = []
+    found = {}
     for table, (path, schema) in entries.items():
         try:
-            df = read_csv(spark, path, schema)
+            found[table] = read_csv(spark, path, schema)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
                 raise
+    lines = []
+    for table, (path, _) in entries.items():
+        if table not in found:
             lines.append((table, path, "skipped", None))
             continue
-        write_table(df, table, mode, f"{folder}/{table}" if folder else None)
-        lines.append((table, path, "loaded", spark.table(table).count()))
+        df = found[table]
+        counted = Observation(table)
+        write_table(df.observe(counted, F.count("*").alias("rows")), table, mode, f"{folder}/{table}" if folder else None)
+        lines.append((table, path, "loaded", counted.get["rows"]))
     return spark.createDataFrame(lines, "table_name string, path string, status string, row_count bigint")
 
 
