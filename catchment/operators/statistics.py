@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchment.sources.cache import FrameCache
+
 # Rank error of the sketch is at most one part in this many.
 SKETCH_ACCURACY = 10_000
 # Pieces the bracket is cut into, each ordered on its own.
@@ -43,7 +45,8 @@ def median_row(
     least, low, high, most = ends
     ranks = (n + 1) // 2, (n + 2) // 2
     while True:
-        found = _at_ranks(_values(df, column), low, high, ranks)
+        with FrameCache() as cache:
+            found = _at_ranks(_values(df, column), low, high, ranks, cache)
         if None not in found:
             return spark.createDataFrame([(sum(found) / 2,)], f"{out} double")
         if low <= least and high >= most:
@@ -56,18 +59,17 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
 
 
-def _at_ranks(values: DataFrame, low: float, high: float, ranks: tuple[int, int]) -> tuple[float | None, float | None]:
+def _at_ranks(
+    values: DataFrame, low: float, high: float, ranks: tuple[int, int], cache: FrameCache
+) -> tuple[float | None, float | None]:
     """Values at the given ranks, counted from 1; None for a rank outside of the bracket."""
     low_, high_ = F.lit(float(low)), F.lit(float(high))
     # Values below the bracket only count, so they share one group, in bucket 0.
     share = F.coalesce(F.try_divide(F.col("v") - low_, high_ - low_), F.lit(0.0))
     bucket = F.when(F.col("v") < low_, 0).otherwise(1 + F.floor(share * BUCKETS)).cast("int")
-    grouped = (
-        values.where(F.col("v") <= high_)
-        .select(bucket.alias("bucket"), F.when(F.col("v") >= low_, F.col("v")).alias("v"))
-        .groupBy("bucket", "v")
-        .agg(F.count("*").alias("rows"))
-    )
+    placed = values.where(F.col("v") <= high_).select(bucket.alias("bucket"), F.when(F.col("v") >= low_, F.col("v")).alias("v"))
+    # Kept, as it is read twice: for the sums of the buckets and for their values.
+    grouped = cache.get("grouped", lambda: placed.groupBy("bucket", "v").agg(F.count("*").alias("rows")))
     # One row per bucket, at most BUCKETS + 2, so this window and the broadcast stay small.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

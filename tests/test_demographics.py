@@ -81,3 +81,20 @@ def test_rounding_is_half_to_even(spark):
     df = spark.createDataFrame([(0.125, 2.5), (0.375, 3.5), (None, None)], "A_Rate double, n double")
     rows = demographics.round_numbers(df).collect()
     assert [(r.A_Rate, r.n) for r in rows] == [(0.12, 2), (0.38, 4), (None, None)]
+
+
+def test_missing_cells_raise_unless_named_as_absent(spark):
+    cells = {c: 3 for cells in demographics.AGE_CELLS.values() for c in cells}
+    counts = {c: 8 for n in demographics.COUNT_RATES for c in n[1:] if c.isidentifier()}
+    row = {"GEOID": "a", "POP": 100, "Children_0_17": 30, "Children_0_4": 4, "Median_Year_Built": 1930,
+           "Total_Housing_Units": 9, "Vacant_Housing_Units": 1, "Units_Before_1940": 1, "Housing_Age_Universe": 4} | counts | cells
+    whole = demographics.derive_metrics(spark.createDataFrame([row]), "cells").first()
+    assert (whole.Children_5_17, whole.Elderly_65_74, whole.Old_Housing_Rate) == (18, 6, 25.0)
+    for gone in ("Male_65_74", "Units_Before_1940"):
+        frame = spark.createDataFrame([{k: v for k, v in row.items() if k != gone}])
+        with pytest.raises(ValueError, match=gone):
+            demographics.derive_metrics(frame, "cells")
+    less = demographics.derive_metrics(frame, "cells", absent=["Units_Before_1940"]).first()
+    assert less.Old_Housing_Rate == 0.0 and less.Elderly_65_74 == 6
+    part = spark.createDataFrame([{k: v for k, v in row.items() if k != "Male_65_74"}])
+    assert demographics.derive_metrics(part, "cells", absent=["Male_65_74"]).first().Elderly_65_74 == 3

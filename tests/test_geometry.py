@@ -99,3 +99,28 @@ def test_projected_centroid_is_near_the_plain_one(spark):
     got = geometry.with_projected_centroid(df, "parts").first()
     metres = math.hypot((got.lat - lat) * 111_000, (got.lon - lon) * 87_000)
     assert 0 < metres < 30
+
+
+def test_rings_of_many_vertices(spark):
+    """Against the textbook sums, open and closed, with a hole."""
+    from fractions import Fraction
+
+    def moments(ring):
+        c = x = y = Fraction(0)
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            cross = ax * by - bx * ay
+            c, x, y = c + cross, x + (ax + bx) * cross, y + (ay + by) * cross
+        return c, x, y
+
+    outer = [[round(-90 + math.cos(t / 100 * math.pi) * (1 + t % 7 / 10), 4), round(38 + math.sin(t / 100 * math.pi), 4)] for t in range(200)]
+    hole = [[-90.1, 38.1], [-90.0, 38.1], [-90.0, 38.2]]
+    total = [Fraction(0)] * 3
+    for ring, sign in ((outer, 1), (hole, -1)):
+        m = moments([[Fraction(str(v)) for v in p] for p in ring])
+        total = [t + sign * (1 if m[0] > 0 else -1) * v for t, v in zip(total, m)]
+    want = float(total[1] / (3 * total[0])), float(total[2] / (3 * total[0]))
+    for rings in ([outer, hole], [outer + outer[:1], hole[::-1] + hole[-1:]]):
+        text = json.dumps({"type": "Polygon", "coordinates": rings})
+        df = geometry.with_parts(spark.createDataFrame([(text,)], "g string"), "g")
+        row = geometry.with_centroid(df, "parts").first()
+        assert (row.lon, row.lat) == pytest.approx(want, abs=1e-9)

@@ -20,7 +20,7 @@ def test_priority_merge(spark):
 def test_keys_by_list_and_table(spark):
     df = frame(spark, [("a", 1), ("b", 2), ("c", 3)])
     assert {r.geoid for r in areas.keep_keys(df, ["a", "c", "z"]).collect()} == {"a", "c"}
-    long = ["a", "c"] + [f"k{i}" for i in range(areas.INLINE_LIST + 5)]
+    long = ["a", "c"] + [f"k{i}" for i in range(1500)]
     assert {r.geoid for r in areas.keep_keys(df, long).collect()} == {"a", "c"}
     assert {r.geoid for r in areas.keep_keys(df, frame(spark, [("b", 0), ("b", 0)])).collect()} == {"b"}
     flagged = areas.flag_selected(df, frame(spark, [("b", 0), ("b", 0)]))

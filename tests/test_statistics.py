@@ -26,3 +26,20 @@ def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_median(df, "v").collect()[0][0] is None
     assert exact_median(df.where("v > 0"), "v").collect()[0][0] is None
+
+
+def test_a_bracket_that_misses_is_widened(spark):
+    from catchment.operators.statistics import median_row
+
+    df = spark.range(1001).selectExpr("cast(id AS double) AS v")
+    assert median_row(df, "v", [0.0, 3.0, 4.0, 1000.0], 1001).first()[0] == 500.0
+    assert median_row(df, "v", [0.0, 990.0, 991.0, 1000.0], 1001).first()[0] == 500.0
+
+
+def test_two_passes(spark, sf_dir):
+    from catchment.plans import inputs
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = inputs.counts(spark, sf_dir).rdd.map(lambda r: (seen.add(1), (float(r.Median_HH_Income),))[1]).toDF("v double")
+    median = exact_median(rows, "v").first()[0]
+    assert median is not None and seen.value <= 2 * inputs.counts(spark, sf_dir).count()
