@@ -21,6 +21,8 @@ from catchment.session import ensure_checkpoint_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: The separators of words: space and U+0009 to U+000D.
 WHITE = np.zeros(256, bool)
@@ -37,9 +39,13 @@ ROLL = 0x9E3779B97F4A7C15 | 1
 def chosen(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     """Only the named columns, cast: ``doc_id=("id", "bigint")`` takes column id.
 
-    Also lets Python workers of the same machine or image import this package; elsewhere
-    it is shipped with ``--py-files``.
+    Also lets Python workers of the same machine or image import this package (elsewhere it is
+    shipped with ``--py-files``), and sets Arrow batches of the session to ``BATCH_ROWS`` rows at
+    most, as a row is a whole text.
     """
+    settings = df.sparkSession.conf
+    if not 0 < int(settings.get(_BATCH)) <= BATCH_ROWS:
+        settings.set(_BATCH, BATCH_ROWS)
     environment = df.sparkSession.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

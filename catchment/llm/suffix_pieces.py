@@ -34,7 +34,7 @@ from catchment.llm.common import Block, Spans, blocks, chosen, runs, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-INDEX_BYTES = 1 << 19  # of different words in one suffix array
+INDEX_BYTES = 1 << 18  # of different words in one suffix array
 GROUP = 6  # blocks whose new words are indexed together
 MOST_WORDS = 250_000  # remembered by a task
 CHUNK = 7  # letters of 9 bits in one sort key
@@ -240,10 +240,11 @@ def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.
     index = SuffixArray(words, trees.keys[0].shape[1])
     low, high = index.ranges(trees.keys)
     count = high - low
-    piece = np.repeat(trees.ids, count)
-    begin = index.order[spread(low, count)]
-    word, begin = index.word[begin], index.at[begin]
-    size = trees.length[piece]
+    # There are several edges per letter, so they are kept in four bytes.
+    piece = np.repeat(trees.ids.astype(np.int32), count)
+    begin = index.order[spread(low, count)].astype(np.int32)
+    word, begin = index.word[begin].astype(np.int32), index.at[begin].astype(np.int32)
+    size = trees.length[piece].astype(np.int32)
 
     # A letter that is no piece is an edge of its own, to be written as bytes.
     first = (index.text & 0xC0) != 0x80
@@ -255,10 +256,10 @@ def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.
     unknown = len(trees.rank)
     word_of = np.zeros(len(index.text), np.int64)
     word_of[index.at] = index.word
-    begin = np.concatenate([begin, letter[strange]])
-    piece = np.concatenate([piece, np.full(int(strange.sum()), unknown)])
-    word = np.concatenate([word, word_of[letter[strange]]])
-    end = begin + np.concatenate([size, width[strange]])
+    begin = np.concatenate([begin, letter[strange].astype(np.int32)])
+    piece = np.concatenate([piece, np.full(int(strange.sum()), unknown, np.int32)])
+    word = np.concatenate([word, word_of[letter[strange]].astype(np.int32)])
+    end = begin + np.concatenate([size, width[strange].astype(np.int32)])
 
     offset = end - index.start[word]
     # Small numbers sort by radix.
