@@ -29,8 +29,11 @@ ENDS_ITSELF = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}
                "option": ({"option"}, {"select"})}
 IN_PARAGRAPH_SCOPE = {"table", "td", "th", "button", "body", "html", "caption"}
 
+# No alternative reads past the next tag or a long quoted value, so broken markup costs no more than good one.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>|</?[a-zA-Z][^>]*+>", re.S
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*+)>"
+    r"|<[!?][^<>]*+>|<(?P<end_>/)?(?P<tag_>[a-zA-Z][^\s/<>]*+)(?P<attrs_>[^<>]*+)>",
+    re.S,
 )
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _HINT = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -140,12 +143,13 @@ class _Pages:
                 break
             text(page[at:m.start()])
             at = m.end()
-            tag = m["tag"]
+            # The second form has quotes that do not pair up or that are very long.
+            tag, is_end, attrs = (m["tag"], m["end"], m["attrs"]) if m["tag"] else (m["tag_"], m["end_"], m["attrs_"])
             if tag is None:
                 continue
             tag = tag.lower()
             inline = tag in INLINE
-            if m["end"]:
+            if is_end:
                 if opened[tag] > 0:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag == tag:
@@ -173,14 +177,13 @@ class _Pages:
                     if k:
                         close(k)
                 flush()
-            if tag in VOID or m["attrs"].endswith("/") and tag not in INLINE and tag not in ("p", "div", "li", "td", "article", "section"):
+            if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in ("p", "div", "li", "td", "article", "section"):
                 continue
             if tag in RAW:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else size
                 continue
             top = stack[-1]
-            attrs = m["attrs"]
             label = _LABEL.search(attrs) if "data-label" in attrs else None
             stack.append(_Frame(
                 tag, inline, top.features if inline and tag != "label" else self.below(top.features, tag, "" if attrs.isspace() else _LABEL.sub("", attrs)),

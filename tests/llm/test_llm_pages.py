@@ -32,9 +32,19 @@ def test_blocks_of_broken_markup():
     assert texts("") == [] and texts("<div") == ["<div"] and texts("<script>never closed") == []
     assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
     assert texts("x" * 100_000) == ["x" * 100_000]
+    assert texts('<p class="' + "y" * 5000 + '">a<p title="b>c</p>') == ["a", "c"]
     assert texts("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for piece in ("<a ", "<a title='", "<!", "<p", "</", "<b>", "<!-- ", '<a x="', "<div>", "<li>"):
+        start = time.perf_counter()
+        parser().blocks(piece * 20_000)
+        assert time.perf_counter() - start < 20, piece
+
+
 def test_held_out_pages():
     read, wrong, total = parser(), 0, 0
     for page in labelled_pages(150, 4711):
