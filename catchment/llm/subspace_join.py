@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from catchment.llm.common import chosen, settled
 from catchment.llm.components import components, union_find
@@ -198,7 +199,8 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     without an id, whose component is null.  Repeated rows are linked with each other and count
     each.  Other columns are not looked at.
     """
-    rows = chosen(vectors, vec_id=(id_col, "bigint"), embedding=(vector_col, "array<float>"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType == ArrayType(FloatType()) else "array<double>"
+    rows = chosen(vectors, vec_id=(id_col, "bigint"), embedding=(vector_col, kind))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & some, F.lit(False))

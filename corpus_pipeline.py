@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm import language, mixing, secret_index, suffix_pieces, superminhash
+from catchment.llm.common import settled, with_ids
 from catchment.session import fresh_path
 
 
@@ -28,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are in no group and stay.  Rows that repeat an id stay or go together.
     """
     found = superminhash.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return with_ids(docs, settled(found.where("NOT kept").select("doc_id").distinct()), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_every_close_pair_meets_the_budget_of_a_block():
     cosine = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
     met = (space.parts(space.rotated(x) - space.rotated(y)) <= space.budget).any(1)
     assert met[cosine >= 0.95].all() and (cosine >= 0.95).sum() > 100
+
+
+def test_double_components_keep_their_precision(spark):
+    rows = []
+    for i, cosine in ((1, 0.95 - 1e-12), (3, 0.95 + 1e-12)):
+        rows += [(i, [float(i), 0.0]), (i + 1, [cosine * i, (1 - cosine**2) ** 0.5 * i])]
+    for i, linked in ((1, 0), (3, 1)):
+        two = spark.createDataFrame([r for r in rows if r[0] in (i, i + 1)], "vec_id bigint, embedding array<double>")
+        assert {r["n_links"] for r in s.link_embeddings(two).collect()} == {linked}
