@@ -7,6 +7,7 @@ per word.  A block holds whole texts of about ``BLOCK_BYTES`` together.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,8 +112,17 @@ class Block:
         return self.data[self.at[i]:self.at[i + 1]].tobytes().decode("utf-8", "replace")
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cuts a string column into blocks; a null text counts as empty."""
+    release()
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

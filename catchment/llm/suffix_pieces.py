@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from catchment.llm.common import Block, Spans, blocks, chosen, runs, span_hashes
+from catchment.llm.common import Block, Spans, blocks, chosen, release, runs, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -444,6 +444,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield pa.RecordBatch.from_arrays([
                         doc_ids[block.rows], pa.ListArray.from_arrays(pa.array(edge), pa.array(ids)), pa.array(count), pa.array(same),
                     ], names=["doc_id", "ids", "n_ids", "round_trip"])
+        del encoder
+        release()
 
     return docs.mapInArrow(run, ENCODED)
 
