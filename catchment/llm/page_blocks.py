@@ -29,12 +29,11 @@ ENDS_ITSELF = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}
                "option": ({"option"}, {"select"})}
 IN_PARAGRAPH_SCOPE = {"table", "td", "th", "button", "body", "html", "caption"}
 
-# No alternative reads past the next tag or a long quoted value, so broken markup costs no more than good one.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*+)>"
-    r"|<[!?][^<>]*+>|<(?P<end_>/)?(?P<tag_>[a-zA-Z][^\s/<>]*+)(?P<attrs_>[^<>]*+)>",
-    re.S,
-)
+# No alternative reads past the next tag, so broken markup costs no more than good one.  What follows the name of a
+# tag is read by _Attributes.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/<>]*+)|<[!?][^<>]*+>", re.S)
+_UNQUOTED = re.compile(r"[^<>\"']*+")
+_UP_TO_TAG = re.compile(r"[^<>]*+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _HINT = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -67,10 +66,42 @@ _ROOT = _Frame("", False, frozenset(), False, False, "")
 _LABEL = re.compile(r'data-label="(\w+)"')
 
 
+class _Attributes:
+    """Finds the ends of the tags of one page, in linear time whatever the length of quoted values."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unpaired: set[str] = set()  # quotes that occur no more
+        self.failed: set[int] = set()  # places of opening quotes from which no tag end is reached
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose name ends at ``at``, or -1.
+
+        If the quotes do not pair up, they are ordinary characters.
+        """
+        page, place, opened = self.page, at, []
+        while True:
+            place = _UNQUOTED.match(page, place).end()
+            mark = page[place:place + 1]
+            if mark == ">":
+                return place
+            if mark in ("", "<") or mark in self.unpaired or place in self.failed:
+                break
+            opened.append(place)
+            place = page.find(mark, place + 1) + 1
+            if not place:
+                self.unpaired.add(mark)
+                break
+        self.failed.update(opened)
+        place = _UP_TO_TAG.match(page, at).end()
+        return place if page[place:place + 1] == ">" else -1
+
+
 class _Pages:
     """Turns one page at a time into blocks; what it knows of ancestors is kept between pages."""
 
     MOST_KNOWN = 20000
+    LONG = 2000  # attributes beyond that are not kept between tags
 
     def __init__(self):
         self.known: dict[tuple, frozenset] = {}
@@ -89,7 +120,8 @@ class _Pages:
             found = parent.union(map(feature, names))
             if len(self.known) >= self.MOST_KNOWN:
                 self.known.clear()
-            self.known[key] = found
+            if len(attrs) <= self.LONG:
+                self.known[key] = found
         return found
 
     def blocks(self, page: str) -> list[tuple[LeafBlock, str]]:
@@ -136,15 +168,21 @@ class _Pages:
                     in_links += len(piece)
 
         at, size = 0, len(page)
+        look = 0
+        ends = _Attributes(page)
         while at < size:
-            m = _TOKEN.search(page, at)
+            m = _TOKEN.search(page, look)
             if m is None:
                 text(page[at:])
                 break
+            tag, is_end = m["tag"], m["end"]
+            stop = ends.end(m.end()) if tag else m.end()
+            if stop < 0:  # no tag
+                look = m.end()
+                continue
             text(page[at:m.start()])
-            at = m.end()
-            # The second form has quotes that do not pair up or that are very long.
-            tag, is_end, attrs = (m["tag"], m["end"], m["attrs"]) if m["tag"] else (m["tag_"], m["end_"], m["attrs_"])
+            attrs = page[m.end():stop]
+            at = look = stop + 1 if tag else stop
             if tag is None:
                 continue
             tag = tag.lower()
@@ -181,7 +219,7 @@ class _Pages:
                 continue
             if tag in RAW:
                 end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else size
+                at = look = end.end() if end else size
                 continue
             top = stack[-1]
             label = _LABEL.search(attrs) if "data-label" in attrs else None

@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 
 from catchment.llm import page_crf as crf
-from catchment.llm.page_blocks import parser
+from catchment.llm.page_blocks import feature, parser
 from catchment.llm.page_samples import labelled_pages
 
 TRAINED = {}
@@ -36,6 +36,26 @@ def test_blocks_of_broken_markup():
     assert texts("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_quoted_values_of_any_length():
+    """What stands in a quoted value is no markup, above the length of 2000 as below."""
+    read = parser()
+    for n in (10, 1990, 2010, 300_000):
+        for value in ('"' + "x" * n + ' > y"', "'" + "x" * n + " <p>in</p> > y'", "'{" + '"a": "<b>", ' * (n // 12) + "}'"):
+            found = read.blocks(f"<p>before</p><div data-state={value} class=sidebar>inside</div><p>after")
+            assert [b.text for b, _ in found] == ["before", "inside", "after"], n
+            assert feature("hint:sidebar") in found[1][0].features
+    assert texts('<p title="' + "z" * 3000 + ">open") == ["open"]
+
+
+def test_pairs_of_quotes_take_linear_time():
+    import time
+
+    for piece in ("<a \"<b '\" '", "<a '\"' \"<a '\"", "<a \"' <b '\" ", "\"<a '\"'", "<a x='\"'\"<\""):
+        start = time.perf_counter()
+        parser().blocks(piece * 20_000)
+        assert time.perf_counter() - start < 20, piece
+
+
 def test_hostile_markup_takes_linear_time():
     import time
 
