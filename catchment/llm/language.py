@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchment.llm.common import Block, blocks, chosen
+from catchment.llm.common import Block, blocks, chosen, settled
 
 BUCKETS = 1 << 16
 WIDTHS = (2, 3, 4)
@@ -32,6 +32,7 @@ EPOCHS = 6
 RATE = 0.4
 PER_LANGUAGE = 800  # sampled texts of each language
 MOST_SAMPLED = 8000  # and of all languages
+LEAST_ROWS = 5  # but so many of each language, however many there are
 REJECT_SHARE = 0.001
 MOST_LEAST = 0.4  # below an even choice of two: a text of two known languages is known
 SLICE_BYTES = 48
@@ -105,9 +106,12 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageMode
     random = np.random.default_rng(seed)
     label = np.searchsorted(names, languages)
     order = random.permutation(len(texts))
-    aside = order[: len(texts) // 5]
+    aside, learned = order[: len(texts) // 5], order[len(texts) // 5:]
+    # The rows of a language that would all stand aside are learned from.
+    only = ~np.isin(label[aside], label[learned])
+    aside, learned = aside[~only], np.concatenate([learned, aside[only]])
     bags: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for i in order[len(texts) // 5:]:
+    for i in learned:
         data = np.frombuffer(texts[i].encode(), np.uint8)
         low = int(random.integers(0, max(1, len(data) - SLICE_BYTES + 1)))
         bags += [(*_bag(data), label[i]), (*_bag(data[low:low + SLICE_BYTES]), label[i])]
@@ -180,19 +184,24 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_SAMPLED) -> DataFrame:
-    """Labelled rows outside the held-out part, chosen by a hash of their id."""
-    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, most // per_language))
-    share = F.create_map(*[F.lit(x) for row in counts.collect() for x in (row["lang"], per_language / row["count"])]) if not counts.isEmpty() else None
-    if share is None:
-        return labelled.limit(0)
+    """Labelled rows with a text outside the held-out part, those of each language with the least hash of their id.
+
+    All languages are there; with many the share of each is smaller, but not below LEAST_ROWS.
+    """
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(~held_out())
+    counts = settled(labelled.groupBy("lang").agg(F.count("*").alias("_rows")))
+    share = min(per_language, max(LEAST_ROWS, most // max(1, counts.count())))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(draw < F.element_at(share, F.col("lang"))).limit(most)
+    # So many more are drawn that fewer than the share are out of the question; then they are counted off.
+    enough = (share + 10 * share ** 0.5 + 20) / F.col("_rows")
+    drawn = labelled.join(F.broadcast(counts), "lang").withColumn("_draw", draw).where(F.col("_draw") < enough)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", "text"))
+    return drawn.withColumn("_place", place).where(F.col("_place") <= share).select(docs.columns)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_SAMPLED) -> LanguageModel | None:
-    """Trains on at most ``most`` whole texts, about ``per_language`` of each language."""
-    rows = sample_rows(docs, per_language, most).where("text IS NOT NULL").select("doc_id", "lang", "text").toPandas()
+    """Trains on at most ``most`` whole texts, ``per_language`` of each language or an even share, but LEAST_ROWS of each."""
+    rows = sample_rows(docs, per_language, most).select("doc_id", "lang", "text").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "text"])
     return train(rows["text"].tolist(), rows["lang"].tolist())
 

@@ -32,6 +32,27 @@ def test_the_sample_is_bounded(spark, sf_dir):
     assert language.sample_rows(docs, per_language=10, most=25).count() <= 25
 
 
+def test_every_language_is_learned(spark):
+    """More languages than shares of the full size, and one of very few rows."""
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k) * 3}{chr(97 + i * j % 7)}" for j in range(20)), f"l{k:02}") for k in range(24) for i in range(40)]
+    rows += [(i, "7zz8 9zz7 " * 20, "rare") for i in range(9000, 9003)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language.sample_rows(docs, per_language=30, most=250)
+    assert sample.count() <= 250 and sample.select("lang").distinct().count() == 25
+    assert language.fit(docs, per_language=30, most=250).languages == sorted({r[2] for r in rows})
+    got = language.identify_languages(docs, per_language=30, most=250).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.95 * len(got)
+
+
+def test_no_language_stands_aside_as_a_whole(monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "_calibrate", lambda texts, label, aside, *_: seen.append(aside.tolist()) or (1.0, 0.0))
+    for seed in range(8):
+        language.train([f"text {k}" for k in range(10)], [f"l{k // 2}" for k in range(8)] + ["one", "two"], seed)
+    assert all(8 not in aside and 9 not in aside for aside in seen)
+
+
 def test_hard_rows(spark):
     docs = hard_documents(spark)
     rows = language.identify_languages(docs).collect()
