@@ -116,7 +116,7 @@ class _Pages:
                 if kind.lower() in ("hidden", "aria-hidden"):
                     names += ["hidden"] if value.lower() != "false" else []
                 else:
-                    names += [f"hint:{w.lower()}" for w in _HINT_WORD.findall(value)[:12]]
+                    names += {f"hint:{w.lower()}" for w in _HINT_WORD.findall(value)}
             found = parent.union(map(feature, names))
             if len(self.known) >= self.MOST_KNOWN:
                 self.known.clear()

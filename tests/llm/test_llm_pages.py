@@ -47,6 +47,11 @@ def test_quoted_values_of_any_length():
     assert texts('<p title="' + "z" * 3000 + ">open") == ["open"]
 
 
+def test_every_word_of_a_class_counts():
+    few, many = (parser().blocks(f'<div class="{c}">text</div>')[0][0].features for c in ("a" * 5, " ".join("mx px col row".split() * 5) + " side-sidebar"))
+    assert feature("hint:sidebar") in many and feature("hint:sidebar") not in few
+
+
 def test_pairs_of_quotes_take_linear_time():
     import time
 
