@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import compact_windows, language, mixing, packing, page_crf, quality_trees, secret_index, subspace_join, suffix_pieces, superminhash
+from catchment.llm import compact_windows, language, mixing, packing, page_crf, quality_trees, resampling, secret_index, subspace_join, suffix_pieces, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,11 @@ def op8_packing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op9_compact_windows(spark: SparkSession, d: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, d, "documents"))
+
+
+@query
+def op11_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+ORACLES["op11_resampling"] = resampling.resampling_sql()
