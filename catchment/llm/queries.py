@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import compact_windows, language, mixing, packing, page_crf, periodic_runs, quality_trees, resampling, secret_index, subspace_join, suffix_pieces, superminhash
+from catchment.llm import arc_warc, compact_windows, language, mixing, packing, page_crf, periodic_runs, quality_trees, resampling, secret_index, subspace_join, suffix_pieces, superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,11 @@ ORACLES["op11_resampling"] = resampling.resampling_sql()
 @query
 def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, d, "documents"), written=True)
+
+
+@query
+def op13_arc_warc(spark: SparkSession, d: str) -> DataFrame:
+    return arc_warc.archive_pages(table(spark, d, "pages"))
+
+
+ORACLES["op13_arc_warc"] = arc_warc.archive_sql()
