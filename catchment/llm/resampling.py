@@ -32,9 +32,10 @@ LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
 #: Words whose features are interned together.
-SLICE_WORDS = 1 << 16
+SLICE_WORDS = 1 << 14
 #: Bytes from which a feature is hashed and compared on its own.
 ALONE = 4096
+STEPS = 128  # the same for crc32, which goes byte by byte
 
 #: Bytes of words once A-Z are lowered: digits, a-z and all of U+0080 and above.
 WORD_BYTE = np.zeros(256, bool)
@@ -43,6 +44,10 @@ WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 # Primes of xxhash64 (fixed values).
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+# Table of crc32 (reversed polynomial 0xEDB88320, a fixed value), one step per bit.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
 _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STATES = [np.uint64(v % (1 << 64)) for v in (int(P1) + int(P2), int(P2), 0, -int(P1))]
 
@@ -107,6 +112,23 @@ class Grams:
             h[i] = xxhash.xxh64_intdigest(self.raw(i))
         return h
 
+    def crc32(self, which: np.ndarray) -> np.ndarray:
+        """crc32 of the features numbered ``which``, byte by byte through all of them, longest first."""
+        size = self.size[which]
+        order = np.argsort(-size)
+        at, size = self.start[which[order]], size[order]
+        crc = np.full(len(which), 0xFFFFFFFF, np.uint32)
+        alone = int(np.searchsorted(-size, -STEPS, "right"))
+        ends = np.searchsorted(-size, -np.arange(STEPS), "left")  # how many are longer than so many bytes
+        for step in range(int(size[alone]) if alone < len(size) else 0):
+            on = slice(alone, ends[step])
+            crc[on] = _CRC[(crc[on] ^ self.text[at[on] + step]) & 255] ^ (crc[on] >> 8)
+        crc ^= 0xFFFFFFFF
+        crc[:alone] = [zlib.crc32(self.raw(i)) for i in which[order[:alone]]]
+        found = np.empty_like(crc)
+        found[order] = crc
+        return found
+
     def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the features numbered ``a`` and ``b`` are equal, pair by pair."""
         same = self.size[a] == self.size[b]
@@ -136,9 +158,9 @@ class GramTable:
         n = len(grams.start)
         mask = (1 << max(4, (2 * n).bit_length())) - 1
         hashes = grams.xxhash64() if hashes is None else hashes
-        self.owner = np.full(mask + 1, -1, np.int64)
-        self.slot = (hashes & np.uint64(mask)).astype(np.int64)
-        todo = np.arange(n)
+        self.owner = np.full(mask + 1, -1, np.int32)
+        self.slot = (hashes & np.uint64(mask)).astype(np.int32)
+        todo = np.arange(n, dtype=np.int32)
         while len(todo):
             at = self.slot[todo]
             free = np.flatnonzero(self.owner[at] < 0)
@@ -153,10 +175,8 @@ class GramTable:
             todo = todo[on]
             self.slot[todo] = (at[on] + 1) & mask
         self.used = np.flatnonzero(self.owner >= 0)
-        self.bucket = np.zeros(mask + 1, np.int64)
-        text, own = memoryview(grams.text), self.owner[self.used]
-        first, last = grams.start[own].tolist(), (grams.start[own] + grams.size[own]).tolist()
-        self.bucket[self.used] = [zlib.crc32(text[a:b]) % n_buckets for a, b in zip(first, last)]
+        self.bucket = np.zeros(mask + 1, np.int32)
+        self.bucket[self.used] = grams.crc32(self.owner[self.used]) % n_buckets
         self.count = np.bincount(self.slot, minlength=mask + 1)
 
     def by_bucket(self, n_buckets: int = BUCKETS) -> np.ndarray:
