@@ -324,7 +324,7 @@ def _image_batches(images: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
 def _write(images: DataFrame, path: str, end: str) -> None:
     # The cast keeps bytes as they are, whether or not they are text.
     texts = images.select(F.col("image").cast("string").alias("image"))
-    texts.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    texts.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def convert_arc(spark: SparkSession, source: str, path: str, least: int = LEAST_PAYLOAD, tag_header: str = TAG, file_bytes: int = FILE_BYTES) -> DataFrame:
