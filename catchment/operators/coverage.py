@@ -12,10 +12,16 @@ frontier; points are grouped by the exact set of frontier sites that reach them,
 which gives a small table whatever the number of points.  From it the next picks
 follow on the driver, as long as they beat the best site outside the frontier.
 
+Gains only fall while sites open, so an old score is an upper bound.  Scores are
+brought up to date only when no pick of the frontier beats the bounds of the sites
+outside it; until then one job per round rescores the leaders alone.
+
 Where locations are dense, points are summarised in nested cells by bounding box.
-A cell wholly inside a disc counts as a whole and one wholly outside is dropped;
-only cells cut by the rim are opened, so the work follows the rim of the disc and
-not its area.  All decisions are exact: near the rim the haversine test decides.
+Only cells with many points are divided, so one crowded square mile is cut finely
+while the country around it stays in whole blocks.  A cell wholly inside a disc
+counts as a whole and one wholly outside is dropped; only cells cut by the rim are
+opened, so the work follows the rim of the disc and not its area.  All decisions
+are exact: near the rim the haversine test decides.
 """
 
 from __future__ import annotations
@@ -44,14 +50,18 @@ from catchment.functions.geodesy import (
     within_sql,
 )
 from catchment.operators.areas import DEFAULT_SITE_TYPES, keep_keys, keep_types
-from catchment.operators.grid import MAX_LEVEL, Grid, cell_key, coarser
+from catchment.operators.grid import LEVEL_BITS, MAX_LEVEL, Grid, cell_key
 from catchment.operators.radius_join import placed
 from catchment.operators.skew import MOST_PAIRS, key_parts, split_join
 from catchment.session import ensure_checkpoint_dir
 from catchment.sources.cache import FrameCache
 
-# Points a cell may hold before it is divided further.
+# Points a block or cell may hold before it is divided further.
 LEAF_POINTS = 2048
+# Cells that a cell is divided into.
+CHILDREN = 1 << 2 * LEVEL_BITS
+# Divided cells up to this number are broadcast, after a count.
+MOST_CELLS = 200_000
 # Sites per frontier: eight words of 63 bits.  Discs cut the sphere into at most
 # n * n - n + 2 regions, so a frontier yields at most 253 514 distinct sets.
 WORD_BITS, WORDS = 63, 8
@@ -60,11 +70,16 @@ FRONTIER_SITES = WORD_BITS * WORDS
 MOST_RANGES = 16
 # Rounds after which the corrections are folded into a checkpointed score table.
 CONSOLIDATE_ROUNDS = 8
-# Sites that may be chosen: tables of them are broadcast.
+# Tables of chosen sites up to this number are broadcast, longer ones are joined by shuffle.
 MOST_SITES = 10_000
+# Leaders fetched at once, in frontiers: what the next rounds may draw on before scores are brought up to date.
+PAGES = 4
+# Pairs of centers compared at once on the driver.
+PAIRS_AT_ONCE = 1 << 22
 # Sets subtracted from the gains at once, which bounds the memory of a pick.
 SETS_AT_ONCE = 8192
 _CELL = ["block", "cell_row", "cell_col"]
+_LEAF = ["block", "leaf", "leaf_row", "leaf_col"]
 _SITE = ["s_lat", "s_lon", "first_here"]
 _SPOT = [*_SITE, "s_x", "s_y", "s_z"]
 
@@ -73,13 +88,15 @@ _SPOT = [*_SITE, "s_x", "s_y", "s_z"]
 class Selection:
     """Chosen sites in order of choice; ``centers`` has one (lat, lon) per site.
 
-    ``rounds`` and ``checkpoints`` tell how the search went.
+    ``rounds``, ``updates`` and ``checkpoints`` tell how the search went: how often leaders competed on the
+    driver, how often all scores were brought up to date, and how often they were written.
     """
 
     sites: DataFrame
     centers: list[tuple[float, float]]
     radius_miles: float
     rounds: int = 0
+    updates: int = 0
     checkpoints: int = 0
 
 
@@ -137,45 +154,85 @@ def site_reach_blocks(
 
 
 class _Shape(NamedTuple):
-    """Level of refinement, the pair bound if anything exceeds it, and whether populations can be negative."""
+    """Levels of cells below the blocks, the pair bound if anything exceeds it, and whether populations can be negative."""
 
-    level: int
+    depth: int
     split: int | None
     signed: bool
 
 
-def _shape(points: DataFrame, reach: DataFrame, leaf_points: int, most_pairs: int) -> _Shape:
-    """Counts the cells of all levels, and the pairs of each block, in one job of a few rows.
+def _divided(
+    cache: FrameCache, located: DataFrame, reach: DataFrame, leaf_points: int, most_pairs: int
+) -> tuple[DataFrame, _Shape]:
+    """Points with the cell of the tree each lies in, ``leaf, leaf_row, leaf_col``, and the shape of the tree.
 
-    A cell that is still over ``leaf_points`` at the last level is cut into parts by the
-    pair bound instead.
+    A block, or a cell of level ``leaf``, is divided if it holds more than ``leaf_points``.  Level by
+    level only the points of divided cells are counted again, so one aggregation over blocks is all where
+    nothing is crowded.  Parts by the pair bound are needed only where very many sites meet a block, or a
+    cell is still full at the last level.
     """
-    finest = points.groupBy(*map(F.expr, cell_key(MAX_LEVEL))).agg(F.count("*").alias("n"), F.min("people").alias("least"))
-    none = F.lit(None).cast(finest.schema["least"].dataType).alias("least")
-    figures = []
-    for level in range(MAX_LEVEL + 1):
-        cells = finest.groupBy(*map(F.expr, coarser(level))).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-        figures.append(cells.agg(F.lit(level).alias("level"), F.max("n").cast("double").alias("n"), F.min("least").alias("least")))
-    blocks = (
-        points.groupBy("block").agg(F.count("*").alias("points"))
-        .join(reach.groupBy("block").agg(F.count("*").alias("sites")), "block")
-    )
-    pairs = F.max(F.col("points") * F.col("sites").cast("double"))
-    figures.append(blocks.agg(F.lit(-1).alias("level"), pairs.alias("n"), none))
-    rows = {r.level: r for r in reduce(DataFrame.unionAll, figures).collect()}
-    fits = [level for level in range(MAX_LEVEL + 1) if (rows[level].n or 0) <= leaf_points]
-    level = fits[0] if fits else MAX_LEVEL
-    return _Shape(level, most_pairs if (rows[-1].n or 0) > most_pairs else None, (rows[0].least or 0) < 0)
-
-
-def _cells(points: DataFrame, level: int) -> DataFrame:
-    """Summary of each occupied cell: centre and half diagonal of its bounding box, people."""
-    corners = [f(f"d_{a}").alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "xyz"]
-    boxes = points.groupBy(*map(F.expr, cell_key(level))).agg(*corners, F.sum("people").alias("people"))
-    return boxes.selectExpr(
+    blocks = points_per(located, ["block"], F.min("people").alias("least"))
+    sites = reach.groupBy("block").agg(F.count("*").alias("sites"))
+    figures = blocks.join(sites, "block", "left").agg(
+        F.count_if(F.col("n") > leaf_points).alias("full"),
+        F.coalesce(F.max("sites"), F.lit(0)).alias("sites"),
+        F.coalesce(F.max(F.least("n", F.lit(max(leaf_points, CHILDREN))) * F.col("sites").cast("double")), F.lit(0.0)).alias("pairs"),
+        F.coalesce(F.min("least"), F.lit(0)).alias("least"),
+    ).first()
+    many, signed = figures.pairs > most_pairs, figures.least < 0
+    if not figures.full:
+        return located, _Shape(0, most_pairs if many else None, signed)
+    points = located.selectExpr("*", "0 AS leaf")
+    full, n_full, depth = blocks.where(F.col("n") > leaf_points), figures.full, 0
+    while n_full:
+        key = [name.split(" AS ")[-1] for name in cell_key(depth)]
+        mark = full.select(*key, F.lit(1).alias("_full"))
+        mark = F.broadcast(mark) if n_full <= MOST_CELLS else mark
+        here = points.selectExpr("*", *cell_key(depth)[1:]).join(mark, key, "left")
+        points = here.withColumn("leaf", F.col("leaf") + F.coalesce("_full", F.lit(0))).drop("_full", *key[1:])
+        depth += 1
+        counted = points_per(points.where(F.col("leaf") == depth).selectExpr(*cell_key(depth)), _CELL)
+        if depth == MAX_LEVEL:
+            many = many or counted.agg(F.max("n")).first()[0] * float(figures.sites) > most_pairs
+            break
+        full = cache.get(f"full {depth}", lambda: counted.where(F.col("n") > leaf_points))
+        n_full = full.count()
+    shift = f"{LEVEL_BITS} * ({MAX_LEVEL} - leaf)"
+    leaves = [f"if(leaf = 0, 0, shiftright(sub_{name}, {shift})) AS leaf_{name}" for name in ("row", "col")]
+    return points.selectExpr("*", *leaves), _Shape(depth, most_pairs if many else None, signed)
+
+
+def points_per(points: DataFrame, keys: list[str], *figures: Column) -> DataFrame:
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), *figures)
+
+
+def _cells(points: DataFrame, depth: int) -> dict[int, DataFrame]:
+    """Summaries of the occupied cells of each level: corners of the bounding box and people.
+
+    Points are grouped once, by the leaf that holds them; a level consists of its leaves and of what the
+    cells below it add up to.
+    """
+    def boxes(df: DataFrame, keys: list[str], of: dict[str, str]) -> DataFrame:
+        corners = [f(of[f.__name__] + a).alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "xyz"]
+        return df.groupBy(*keys).agg(*corners, F.sum("people").alias("people"))
+
+    leaves = boxes(points.where("leaf > 0"), _LEAF, {"min": "d_", "max": "d_"}).checkpoint()
+    levels: dict[int, DataFrame] = {}
+    for level in range(depth, 0, -1):
+        own = leaves.where(F.col("leaf") == level).drop("leaf").withColumnsRenamed({"leaf_row": "cell_row", "leaf_col": "cell_col"})
+        if level < depth:
+            above = levels[level + 1].withColumns({c: F.shiftright(c, LEVEL_BITS) for c in _CELL[1:]})
+            own = own.unionByName(boxes(above, _CELL, {"min": "min_", "max": "max_"}))
+        levels[level] = own
+    return levels
+
+
+def _balls(cells: DataFrame) -> DataFrame:
+    """Cells as centre and half diagonal of their boxes, with the cell around each."""
+    return cells.selectExpr(
         *_CELL,
-        "shiftright(cell_row, 3) AS parent_row",
-        "shiftright(cell_col, 3) AS parent_col",
+        f"shiftright(cell_row, {LEVEL_BITS}) AS parent_row",
+        f"shiftright(cell_col, {LEVEL_BITS}) AS parent_col",
         *[f"(min_{a} + max_{a}) / 2 AS c_{a}" for a in "xyz"],
         f"sqrt({squared_chord_sql(['max_x', 'max_y', 'max_z'], ['min_x', 'min_y', 'min_z'])}) / 2 AS spread",
         "people",
@@ -190,58 +247,59 @@ def _bounded_join(
     return split_join(sites, targets, keys, ["s_lat", "s_lon"], targets_by, parts)
 
 
-def served(
-    points: DataFrame, reach: DataFrame, radius_miles: float, level: int = 0, split: int | None = None
-) -> DataFrame:
+def served(points: DataFrame, reach: DataFrame, radius_miles: float, shape: _Shape) -> DataFrame:
     """Rows ``s_lat, s_lon, first_here, people`` whose sum per site is the population in reach.
 
-    A row stands for one point or, at higher levels, for a whole cell.  With ``split`` no
-    task tests more than that many pairs of one key, at any level.
+    A row stands for one point or for a whole cell.  Blocks and cells that are not divided meet
+    the sites that reach them at once, whatever their level; divided ones are opened where the rim
+    cuts them.  What sites meet on the way is checkpointed, as both the rows and the next level come
+    from it and plans would grow with every level.  With a pair bound no task tests more than that many
+    pairs of one key.
     """
     sure, maybe = (math.sqrt(max(v, 0.0)) for v in chord_limits(radius_miles))
     if sure == 0.0:
         sure = -1.0
     within = within_sql(side("s_"), side("d_"), radius_miles)
     exact = ["d_lat", "d_lon", "d_x", "d_y", "d_z", "people"]
-    if level == 0:
-        met = _bounded_join(reach, points.select("block", *exact), ["block"], ["d_lat", "d_lon"], split)
+    if shape.depth == 0:
+        met = _bounded_join(reach, points.select("block", *exact), ["block"], ["d_lat", "d_lon"], shape.split)
         return met.where(within).select(*_SITE, "people")
-    parts = []
+    ensure_checkpoint_dir(points.sparkSession)
+    parts, rims = [], [reach.selectExpr(*_SPOT, "block", "0 AS leaf", "0 AS leaf_row", "0 AS leaf_col")]
     rim = reach
-    for depth in range(1, level + 1):
-        cells, in_block = _cells(points, depth), ["cell_row", "cell_col"]
-        if depth == 1:
-            met = _bounded_join(rim, cells.drop("parent_row", "parent_col"), ["block"], in_block, split)
+    levels = _cells(points, shape.depth)
+    for level in range(1, shape.depth + 1):
+        cells, in_block = _balls(levels[level]), ["cell_row", "cell_col"]
+        if level == 1:
+            met = _bounded_join(rim, cells.drop("parent_row", "parent_col"), ["block"], in_block, shape.split)
         else:
             parents = rim.withColumnsRenamed({"cell_row": "parent_row", "cell_col": "parent_col"})
-            met = _bounded_join(parents, cells, ["block", "parent_row", "parent_col"], in_block, split)
+            met = _bounded_join(parents, cells, ["block", "parent_row", "parent_col"], in_block, shape.split)
         gap = squared_chord_sql(["s_x", "s_y", "s_z"], ["c_x", "c_y", "c_z"])
         met = met.selectExpr(*_SPOT, *_CELL, "people", "spread", f"sqrt({gap}) AS gap")
-        met = met.where(f"gap - spread <= {sql_number(maybe)}")
-        whole = f"gap + spread <= {sql_number(sure)}"
-        parts.append(met.where(whole).select(*_SITE, "people"))
-        rim = met.where(f"NOT {whole}").select(*_SPOT, *_CELL)
-    leaves = points.selectExpr(*cell_key(level), *exact)
-    parts.append(_bounded_join(rim, leaves, _CELL, ["d_lat", "d_lon"], split).where(within).select(*_SITE, "people"))
-    return reduce(DataFrame.unionAll, parts)
+        met = met.where(f"gap - spread <= {sql_number(maybe)}").selectExpr(
+            *_SPOT, *_CELL, "people", f"gap + spread <= {sql_number(sure)} AS whole")
+        met = met.checkpoint()
+        parts.append(met.where("whole").select(*_SITE, "people"))
+        rim = met.where("NOT whole").select(*_SPOT, *_CELL)
+        rims.append(rim.selectExpr(*_SPOT, "block", f"{level} AS leaf", "cell_row AS leaf_row", "cell_col AS leaf_col"))
+    opened = _bounded_join(reduce(DataFrame.unionAll, rims), points.select(*_LEAF, *exact), _LEAF, ["d_lat", "d_lon"], shape.split)
+    return reduce(DataFrame.unionAll, [*parts, opened.where(within).select(*_SITE, "people")])
 
 
 def _center_blocks(spark: SparkSession, grid: Grid, centers: Sequence[tuple[float, float]], **extra: list) -> DataFrame:
-    """The given centers as ``c_`` columns, repeated per ``block`` in reach.
-
-    The centers come from the driver, so their number and the size of every
-    broadcast of this table are bounded by the request or the frontier.
-    """
+    """The given centers as ``c_`` columns, repeated per ``block`` in reach; broadcast if they are few."""
     values = [(*c, *unit_vector(*c)) for c in centers]
     columns = dict(zip([*side("c_")[1:], *side("c_")[0]], map(list, zip(*values))))
-    return grid.reach(spark.createDataFrame(pa.table(columns | extra)), "c_lat", "c_lon")
+    blocks = grid.reach(spark.createDataFrame(pa.table(columns | extra)), "c_lat", "c_lon")
+    return F.broadcast(blocks) if len(centers) <= MOST_SITES else blocks
 
 
 def _by_coverage(points: DataFrame, grid: Grid, centers: list, covered: bool) -> DataFrame:
     """Points within the radius of one of the centers, or within that of none."""
     if not centers:
         return points.where(F.lit(not covered))
-    near = F.broadcast(_center_blocks(points.sparkSession, grid, centers).withColumnRenamed("block", "c_block"))
+    near = _center_blocks(points.sparkSession, grid, centers).withColumnRenamed("block", "c_block")
     match = (F.col("block") == F.col("c_block")) & F.expr(within_sql(side("c_"), side("d_"), grid.radius_miles))
     return points.join(near, match, "left_semi" if covered else "left_anti")
 
@@ -256,8 +314,11 @@ def _touching(centers: list, others: list, radius_miles: float) -> list:
     if not centers or not others:
         return []
     a, b = (np.array([unit_vector(*c) for c in part]) for part in (centers, others))
-    gaps = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-    return [c for c, near in zip(centers, (gaps <= _touch_limit(radius_miles)).any(axis=1)) if near]
+    found, step = [], max(1, PAIRS_AT_ONCE // len(others))
+    for low in range(0, len(centers), step):
+        gaps = ((a[low:low + step, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+        found += [centers[low + i] for i in np.flatnonzero((gaps <= _touch_limit(radius_miles)).any(axis=1))]
+    return found
 
 
 def _band_filter(grid: Grid, centers: list) -> str:
@@ -276,8 +337,7 @@ def _newly_covered(points: DataFrame, grid: Grid, new: list, earlier: list) -> D
 
 def _sites_near(reach: DataFrame, grid: Grid, centers: list) -> DataFrame:
     """Site blocks that hold points the centers may cover."""
-    blocks = _center_blocks(reach.sparkSession, grid, centers).select("block")
-    return reach.join(F.broadcast(blocks), "block", "left_semi")
+    return reach.join(_center_blocks(reach.sparkSession, grid, centers).select("block"), "block", "left_semi")
 
 
 def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list) -> pa.Table:
@@ -295,7 +355,7 @@ def _frontier_sets(points: DataFrame, grid: Grid, frontier: list, chosen: list)
     near = points.where(_band_filter(grid, centers))
     uncovered = _by_coverage(near, grid, _touching(chosen, centers, grid.radius_miles), False)
     return (
-        uncovered.join(F.broadcast(_center_blocks(points.sparkSession, grid, centers, **bits)), "block")
+        uncovered.join(_center_blocks(points.sparkSession, grid, centers, **bits), "block")
         .where(within_sql(side("c_"), side("d_"), grid.radius_miles))
         .groupBy("d_lat", "d_lon")
         .agg(*[F.bit_or(w).alias(w) for w in words], F.max("people").alias("people"))
@@ -327,11 +387,35 @@ def _amounts(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
     return people, scale
 
 
-def _next_picks(frontier: list, sets: pa.Table, beyond, room: int) -> list:
-    """Greedy picks inside the frontier while they come before ``beyond``, the best site outside it.
+@dataclass(frozen=True)
+class SearchOptions:
+    """Sizes that decide how the work is cut, never what comes out.
 
-    The first pick needs no comparison: it leads the ranking of all sites.  Sites outside only
-    lose, so a tie with ``beyond`` is won by the one that is first in order.
+    ``leaf_points``: points of a cell before it is divided.  ``most_pairs``: pairs of one key
+    that a task may test.  ``frontier_sites``: sites that compete on the driver, at most
+    FRONTIER_SITES.
+    """
+
+    leaf_points: int = LEAF_POINTS
+    most_pairs: int = MOST_PAIRS
+    frontier_sites: int = FRONTIER_SITES
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.frontier_sites <= FRONTIER_SITES:
+            raise ValueError(f"frontier_sites must be 1 to {FRONTIER_SITES}, got {self.frontier_sites}")
+
+
+def _turn(r) -> tuple:
+    """Order in which sites are chosen: most people first, then as the caller orders them."""
+    return (-r.people, r.first_here, r.s_lat, r.s_lon)
+
+
+def _next_picks(frontier: list, sets: pa.Table, beyond, room: int, sure: bool) -> tuple[list, list]:
+    """Greedy picks inside the frontier while they come before ``beyond``, the best bound outside it.
+
+    Sites outside only lose, so a tie with ``beyond`` is won by the one that is first in order.
+    The first pick needs no comparison if it is ``sure``, as the frontier leads an exact ranking of all
+    sites.  Also returns the frontier with what each site would still add.
     """
     people, scale = _amounts(sets["people"])
     words = np.column_stack([sets[f"m{w}"].to_numpy() for w in range(WORDS)])
@@ -339,48 +423,67 @@ def _next_picks(frontier: list, sets: pa.Table, beyond, room: int) -> list:
     gains = np.array([people[reached[:, i]].sum() for i in range(len(frontier))], dtype=people.dtype)
     order = [(r.first_here, r.s_lat, r.s_lon) for r in frontier]
     cut = 0 if beyond is None else int(beyond.people * scale)
+
+    def amount(gain):
+        return int(gain) if scale == 1 else Decimal(int(gain)) / scale
+
     picks: list = []
     while len(picks) < room:
         best = gains.max()
         if best <= 0:
             break
         at = min(np.flatnonzero(gains == best), key=lambda i: order[i])
-        if picks and beyond is not None and (best < cut or best == cut and order[at] > (beyond.first_here, beyond.s_lat, beyond.s_lon)):
+        compared = beyond is not None and not (sure and not picks)
+        if compared and (best < cut or best == cut and order[at] > (beyond.first_here, beyond.s_lat, beyond.s_lon)):
             break
-        gain = int(best) if scale == 1 else Decimal(int(best)) / scale
-        picks.append(_Pick(*_centers([frontier[at]])[0], frontier[at].first_here, gain))
+        picks.append(_Pick(*_centers([frontier[at]])[0], frontier[at].first_here, amount(best)))
         taken = np.flatnonzero(reached[:, at] & (people != 0))
         for low in range(0, len(taken), SETS_AT_ONCE):
             part = taken[low:low + SETS_AT_ONCE]
             gains = gains - people[part] @ reached[part].astype(people.dtype)
         people[taken] = 0
-    return picks
+    return picks, [_Pick(r.s_lat, r.s_lon, r.first_here, amount(g)) for r, g in zip(frontier, gains)]
 
 
 class _Search:
-    """Scores of all sites, kept up to date while sites open."""
+    """Upper bounds of what every site adds, and the exact figures wherever they decide.
+
+    ``base`` less ``losses`` are the scores after the first ``scored`` choices.  ``leaders`` are the best of
+    them, corrected since by what the frontiers have shown; ``beyond`` is the best of all others.
+    """
 
     def __init__(
         self, cache: FrameCache, areas: DataFrame, sites: DataFrame, radius_miles: float, order_by: str, population: str,
-        lat: str, lon: str, leaf_points: int, most_pairs: int,
+        lat: str, lon: str, options: SearchOptions,
     ) -> None:
-        self.cache, self.grid, self.radius_miles = cache, Grid(radius_miles), radius_miles
+        self.cache, self.grid, self.radius_miles, self.options = cache, Grid(radius_miles), radius_miles, options
         grid = self.grid
-        self.points = cache.get(
-            "points", lambda: demand_points(areas, grid, population, lat, lon).sortWithinPartitions("block")
-        )
+        located = cache.get("located", lambda: demand_points(areas, grid, population, lat, lon).sortWithinPartitions("block"))
         self.reach = cache.get("reach", lambda: site_reach_blocks(sites, grid, order_by, lat, lon))
-        self.level, self.split, self.signed = _shape(self.points, self.reach, leaf_points, most_pairs)
-        self.base = cache.get("base", lambda: _per_site(served(self.points, self.reach, radius_miles, self.level, self.split)))
+        points, self.shape = _divided(cache, located, self.reach, options.leaf_points, options.most_pairs)
+        self.keep = ["points" if self.shape.depth else "located", "reach"]
+        self.points = cache.get("points", lambda: points) if self.shape.depth else located
+        self.base = cache.get("base", lambda: _per_site(served(self.points, self.reach, radius_miles, self.shape)))
         self.losses: list[DataFrame] = []
         self.chosen: list = []
-        self.rounds = self.checkpoints = 0
+        self.leaders: list = []
+        self.beyond = None
+        self.scored = -1
+        self.rounds = self.updates = self.checkpoints = 0
 
     def scores(self) -> DataFrame:
         """People each site would add now: the base less what sites near the chosen ones have lost.
 
         Losses touch few sites, so they are summed on their own and the base stays where it is.
         """
+        if self.scored < len(self.chosen) and self.chosen:
+            earlier, new = (_centers(part) for part in (self.chosen[:max(0, self.scored)], self.chosen[max(0, self.scored):]))
+            name = f"loss {len(self.chosen)}"
+            fresh = _newly_covered(self.points, self.grid, new, earlier)
+            near = _sites_near(self.reach, self.grid, new)
+            lost = _per_site(served(fresh, near, self.radius_miles, self.shape))
+            self.losses.append(self.cache.get(name, lambda: lost))
+        self.scored = len(self.chosen)
         if not self.losses:
             return self.base
         lost = _per_site(reduce(DataFrame.unionAll, self.losses)).select(
@@ -390,52 +493,44 @@ class _Search:
             *_SITE, (F.col("people") - F.coalesce("lost", F.lit(0))).alias("people")
         )
 
-    def next_batch(self, room: int, frontier_sites: int) -> list:
-        """The next picks, at least one if any site adds people."""
-        leading = (
-            self.scores().where("people > 0")
-            .orderBy(F.desc("people"), "first_here", "s_lat", "s_lon")
-            .limit(1 if self.signed else frontier_sites + 1)
-            .collect()
-        )
-        self.rounds += 1
-        if self.signed or room == 1 or len(leading) < 2:
-            return [_Pick(r.s_lat, r.s_lon, r.first_here, r.people) for r in leading[:1]]
-        beyond = leading[frontier_sites] if len(leading) > frontier_sites else None
-        frontier = leading[:frontier_sites]
-        sets = _frontier_sets(self.points, self.grid, frontier, _centers(self.chosen))
-        return _next_picks(frontier, sets, beyond, room)
-
-    def open(self, batch: list) -> None:
-        new, earlier = _centers(batch), _centers(self.chosen)
-        self.chosen += batch
-        fresh = _newly_covered(self.points, self.grid, new, earlier)
-        near = _sites_near(self.reach, self.grid, new)
-        lost = _per_site(served(fresh, near, self.radius_miles, self.level, self.split))
-        self.losses.append(self.cache.get(f"loss {len(self.chosen)}", lambda: lost))
+    def update(self) -> None:
+        """Brings all scores up to date and fetches the leaders."""
+        scores, most = self.scores(), PAGES * self.options.frontier_sites
         if len(self.losses) == CONSOLIDATE_ROUNDS:
             ensure_checkpoint_dir(self.reach.sparkSession)
-            self.base, self.losses = self.scores().checkpoint(), []
+            scores = self.base = scores.checkpoint()
+            self.losses = []
             self.checkpoints += 1
-            self.cache.drop_all_but("points", "reach")
-
-
-@dataclass(frozen=True)
-class SearchOptions:
-    """Sizes that decide how the work is cut, never what comes out.
-
-    ``leaf_points``: points of a cell before it is divided.  ``most_pairs``: pairs of one key
-    that a task may test.  ``frontier_sites``: sites that compete on the driver, at most
-    FRONTIER_SITES.
-    """
-
-    leaf_points: int = LEAF_POINTS
-    most_pairs: int = MOST_PAIRS
-    frontier_sites: int = FRONTIER_SITES
+            self.cache.drop_all_but(*self.keep)
+        leading = (
+            scores.where("people > 0").orderBy(F.desc("people"), "first_here", "s_lat", "s_lon").limit(most + 1).collect()
+        )
+        self.leaders, self.beyond = leading[:most], leading[most] if len(leading) > most else None
+        self.updates += 1
+        self.cache.drop_all_but(*self.keep, "base", *[n for n in self.cache.names() if n.startswith("loss")])
 
-    def __post_init__(self) -> None:
-        if not 1 <= self.frontier_sites <= FRONTIER_SITES:
-            raise ValueError(f"frontier_sites must be 1 to {FRONTIER_SITES}, got {self.frontier_sites}")
+    def next_batch(self, room: int) -> list:
+        """The next picks, at least one if any site adds people."""
+        while True:
+            exact = self.scored == len(self.chosen)
+            behind = self.beyond is not None and (not self.leaders or _turn(self.beyond) < _turn(self.leaders[0]))
+            if not exact and (behind or self.shape.signed or self.scored < 0):
+                self.update()
+                continue
+            if not self.leaders:
+                return []
+            self.rounds += 1
+            frontier, rest = self.leaders[:self.options.frontier_sites], self.leaders[self.options.frontier_sites:]
+            beyond = min([*rest[:1], *filter(None, [self.beyond])], key=_turn, default=None)
+            if exact and (self.shape.signed or room == 1 or beyond is None and len(frontier) == 1):
+                return [_Pick(r.s_lat, r.s_lon, r.first_here, r.people) for r in frontier[:1]]
+            sets = _frontier_sets(self.points, self.grid, frontier, _centers(self.chosen))
+            picks, left = _next_picks(frontier, sets, beyond, room, exact)
+            self.leaders = sorted([r for r in left if r.people > 0] + rest, key=_turn)
+            if picks:
+                return picks
+            if self.leaders:
+                self.update()
 
 
 def greedy_cover(
@@ -453,29 +548,21 @@ def greedy_cover(
 
     Ties go to the site that comes first by ``order_by``; sites that add nobody
     are never chosen.  The driver sees only the frontier and its sets, whose
-    number does not depend on the data.  Tables of chosen sites are broadcast, so ``k`` may be
-    MOST_SITES at most.
+    number does not depend on the data, and one line per chosen site.
     """
-    if not 0 <= k <= MOST_SITES:
-        raise ValueError(f"k must be 0 to {MOST_SITES}, got {k}")
+    if k < 0:
+        raise ValueError(f"k must be zero or more, got {k}")
     Grid(radius_miles)
     chosen: list = []
-    rounds = checkpoints = 0
+    rounds = updates = checkpoints = 0
     with FrameCache() as cache:
         if k:
-            search = _Search(
-                cache, areas, sites, radius_miles, order_by, population, lat, lon, options.leaf_points, options.most_pairs
-            )
-            while len(search.chosen) < k:
-                batch = search.next_batch(k - len(search.chosen), options.frontier_sites)
-                if not batch:
-                    break
-                if len(search.chosen) + len(batch) == k:
-                    search.chosen += batch
-                else:
-                    search.open(batch)
-            chosen, rounds, checkpoints = search.chosen, search.rounds, search.checkpoints
-    return Selection(_chosen_sites(sites, chosen, order_by, lat, lon), _centers(chosen), radius_miles, rounds, checkpoints)
+            search = _Search(cache, areas, sites, radius_miles, order_by, population, lat, lon, options)
+            while len(search.chosen) < k and (batch := search.next_batch(k - len(search.chosen))):
+                search.chosen += batch
+            chosen, rounds, updates, checkpoints = search.chosen, search.rounds, search.updates, search.checkpoints
+    picked = _chosen_sites(sites, chosen, order_by, lat, lon)
+    return Selection(picked, _centers(chosen), radius_miles, rounds, updates, checkpoints)
 
 
 def remaining_gains(
@@ -490,19 +577,14 @@ def remaining_gains(
     options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
     """Each site with the people it would still add after ``k`` greedy picks, as ``gain``; 0 included."""
-    if not 0 <= k <= MOST_SITES:
-        raise ValueError(f"k must be 0 to {MOST_SITES}, got {k}")
+    if k < 0:
+        raise ValueError(f"k must be zero or more, got {k}")
     ensure_checkpoint_dir(areas.sparkSession)
     sites = sites.checkpoint()
     with FrameCache() as cache:
-        search = _Search(
-            cache, areas, sites, radius_miles, order_by, population, lat, lon, options.leaf_points, options.most_pairs
-        )
-        while len(search.chosen) < k:
-            batch = search.next_batch(k - len(search.chosen), options.frontier_sites)
-            if not batch:
-                break
-            search.open(batch)
+        search = _Search(cache, areas, sites, radius_miles, order_by, population, lat, lon, options)
+        while len(search.chosen) < k and (batch := search.next_batch(k - len(search.chosen))):
+            search.chosen += batch
         scores = search.scores().checkpoint()
     return _with_gain(sites, scores, "gain", lat, lon)
 
@@ -549,9 +631,8 @@ def _chosen_sites(sites: DataFrame, chosen: list, order_by: str, lat: str, lon:
         & (F.col(lat).cast("double") == F.col("_lat"))
         & (F.col(lon).cast("double") == F.col("_lon"))
     )
-    # At most MOST_SITES rows, so the broadcast is bounded.  Of several rows with the same order
-    # and place the one that sorts first counts.
-    found = sites.join(F.broadcast(picks), same).groupBy("rank", "gain", "cumulative_population")
+    # Of several rows with the same order and place the one that sorts first counts.
+    found = sites.join(F.broadcast(picks) if len(rows) <= MOST_SITES else picks, same).groupBy("rank", "gain", "cumulative_population")
     first = found.agg(F.min(F.struct(*sites.columns)).alias("_site"))
     return first.select("rank", "_site.*", "gain", "cumulative_population")
 
@@ -574,7 +655,8 @@ def flag_covered(
         .agg(F.collect_list(F.struct("c_lat", "c_lon", "c_x", "c_y", "c_z")).alias("_centers"))
     )
     hit = f"exists(_centers, c -> {within_sql(side('c.c_'), side('d_'), selection.radius_miles)})"
-    return located.join(F.broadcast(per_block), "_block", "left").select(
+    per_block = F.broadcast(per_block) if len(selection.centers) <= MOST_SITES else per_block
+    return located.join(per_block, "_block", "left").select(
         *areas.columns, F.coalesce(F.expr(hit), F.lit(False)).alias(out)
     )
 

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from catchment.functions.geodesy import central_angle, sql_number
 
 MAX_LEVEL = 4
-_LEVEL_BITS = 3
-_FINEST = 1 << (MAX_LEVEL * _LEVEL_BITS)
+LEVEL_BITS = 3
+_FINEST = 1 << (MAX_LEVEL * LEVEL_BITS)
 _ROW_STRIDE = 1 << 32
 # Widens every angle a little, so rounding can never drop a pair.
 _PAD = 1.0001
@@ -108,13 +108,5 @@ def cell_key(level: int) -> list[str]:
     """Expressions naming the cell of a located point; level 0 is the whole block."""
     if level == 0:
         return ["block"]
-    shift = (MAX_LEVEL - level) * _LEVEL_BITS
+    shift = (MAX_LEVEL - level) * LEVEL_BITS
     return ["block", f"shiftright(sub_row, {shift}) AS cell_row", f"shiftright(sub_col, {shift}) AS cell_col"]
-
-
-def coarser(level: int) -> list[str]:
-    """Expressions that turn the key of a finest cell into that of the cell around it."""
-    if level == 0:
-        return ["block"]
-    shift = (MAX_LEVEL - level) * _LEVEL_BITS
-    return ["block", f"shiftright(cell_row, {shift}) AS cell_row", f"shiftright(cell_col, {shift}) AS cell_col"]

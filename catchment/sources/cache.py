@@ -23,6 +23,9 @@ class FrameCache:
             self._frames[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
         return self._frames[name]
 
+    def names(self) -> list[str]:
+        return list(self._frames)
+
     def drop(self, name: str) -> None:
         frame = self._frames.pop(name, None)
         if frame is not None:
