@@ -11,18 +11,8 @@ from pyspark.sql import functions as F
 
 from catchment.functions.geodesy import utm_forward_sql, utm_inverse_sql
 
-PARTS_TYPE = "array<array<array<array<double>>>>"
-
-
-def parse_parts(geojson: str) -> Column:
-    """Parts of a Polygon or MultiPolygon; null for any other kind and for bad text."""
-    kind = f"get_json_object({geojson}, '$.type')"
-    text = f"get_json_object({geojson}, '$.coordinates')"
-    return F.expr(
-        f"CASE {kind} "
-        f"WHEN 'Polygon' THEN from_json(concat('[', {text}, ']'), '{PARTS_TYPE}') "
-        f"WHEN 'MultiPolygon' THEN from_json({text}, '{PARTS_TYPE}') END"
-    )
+PART_TYPE = "array<array<array<double>>>"
+PARTS_TYPE = f"array<{PART_TYPE}>"
 
 
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -37,8 +27,20 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def with_parts(df: DataFrame, geojson: str, out: str = "parts") -> DataFrame:
-    """Adds the parsed geometry, read from the text only once per row."""
-    return computed_once(df, {out: parse_parts(geojson)})
+    """Adds the parts of a Polygon or MultiPolygon; null for any other kind and for bad text.
+
+    The text is parsed once, into a VARIANT, and fields are taken from that.  A coordinate that is no number
+    is null.
+    """
+    one_part = f"try_variant_get(_json, '$.coordinates', '{PART_TYPE}')"
+    parts = (
+        "CASE try_variant_get(_json, '$.type', 'string') "
+        f"WHEN 'Polygon' THEN filter(array({one_part}), p -> p IS NOT NULL) "
+        f"WHEN 'MultiPolygon' THEN try_variant_get(_json, '$.coordinates', '{PARTS_TYPE}') END"
+    )
+    parsed = computed_once(df, {"_json": F.expr(f"try_parse_json({geojson})")})
+    parsed = computed_once(parsed, {"_all": F.expr(parts)})
+    return computed_once(parsed, {out: F.expr("CASE WHEN size(_all) > 0 THEN _all END")}).drop("_json", "_all")
 
 
 def first_outer_ring(parts: str) -> Column:

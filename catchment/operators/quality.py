@@ -18,7 +18,9 @@ def completeness_report(
 ) -> DataFrame:
     """One row per column: type, rows, nulls, zeros and, for listed columns, distinct values.
 
-    All figures come from a single aggregation over the table.
+    All figures come from a single aggregation over the table.  Distinct values of several columns
+    are counted column by column, each from a scan of that column alone, as one aggregation would repeat every
+    row per column.
     """
     kinds = dict(df.dtypes)
     checked = list(columns or df.columns)
@@ -27,8 +29,8 @@ def completeness_report(
         figures.append(F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"))
         zero = F.count_if(F.col(c) == 0) if _numeric(kinds[c]) else F.lit(None).cast("bigint")
         figures.append(zero.alias(f"zeros_{i}"))
-        known = F.countDistinct(c) if c in distinct else F.lit(None).cast("bigint")
-        figures.append(known.alias(f"distinct_{i}"))
+        alone = c in distinct and len(distinct) == 1
+        figures.append((F.countDistinct(c) if alone else F.lit(None).cast("bigint")).alias(f"distinct_{i}"))
     lines = [
         F.struct(
             F.lit(name).alias("table_name"),
@@ -42,7 +44,18 @@ def completeness_report(
         )
         for i, c in enumerate(checked)
     ]
-    return df.agg(*figures).select(F.inline(F.array(*lines)))
+    report = df.agg(*figures).select(F.inline(F.array(*lines)))
+    if len(distinct) < 2:
+        return report
+    counted = reduce(DataFrame.unionAll, [distinct_count(df, c) for c in checked if c in distinct])
+    known = report.drop("distinct_count").join(counted, "column_name", "left")
+    return known.select(*report.columns)
+
+
+def distinct_count(df: DataFrame, column: str) -> DataFrame:
+    """``column_name, distinct_count``: its values but null, each counted once."""
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("one"))
+    return values.agg(F.lit(column).alias("column_name"), F.count("one").alias("distinct_count"))
 
 
 def _numeric(kind: str) -> bool:

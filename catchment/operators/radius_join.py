@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from catchment.functions.geodesy import haversine_sql, side, unit_vector_sql, usable_point, within_sql
 from catchment.operators.grid import Grid
-from catchment.operators.skew import MOST_PAIRS, key_parts, split_join
+from catchment.operators.skew import MOST_PAIRS, classes, key_parts, split_join
+from catchment.session import ensure_checkpoint_dir
 
 
 def placed(df: DataFrame, prefix: str, lat: str, lon: str, keep: Sequence[str]) -> DataFrame:
@@ -34,8 +36,9 @@ def radius_join(
 
     Sites are repeated into the blocks their disc touches, areas have exactly one
     block, so the equi-join on the block yields each pair once.  Blocks with more than
-    ``most_pairs`` candidate pairs are cut into parts on both sides before the join.  They
-    are found in a first pass that reads coordinates only.
+    ``most_pairs`` candidate pairs are found in a first pass that reads coordinates only.  There equal rows
+    become classes, which are cut into parts on both sides, tested once per pair of classes, and
+    repeated afterwards; without such blocks nothing of that is in the plan.
     """
     shared = set(area_columns) & set(site_columns)
     if shared:
@@ -43,15 +46,23 @@ def radius_join(
     grid = Grid(radius_miles)
     demand = grid.locate(placed(areas, "d_", lat, lon, area_columns), "d_lat", "d_lon").drop("sub_row", "sub_col")
     reach = grid.reach(placed(sites, "s_", lat, lon, site_columns), "s_lat", "s_lon")
-    pairs = split_join(
-        demand,
-        reach,
-        ["block"],
-        ["d_lat", "d_lon", *area_columns],
-        ["s_lat", "s_lon", *site_columns],
-        key_parts(demand, reach, ["block"], most_pairs),
-    )
-    return pairs.where(within_sql(side("s_"), side("d_"), radius_miles)).selectExpr(
+    within = within_sql(side("s_"), side("d_"), radius_miles)
+    ensure_checkpoint_dir(areas.sparkSession)
+    parts = key_parts(demand, reach, ["block"], most_pairs).checkpoint()
+    if parts.isEmpty():
+        pairs = demand.join(reach, "block").where(within)
+    else:
+        met = split_join(
+            classes(demand, parts, ["block"], "left"),
+            classes(reach, parts, ["block"], "right"),
+            ["block"],
+            ["d_lat", "d_lon", *area_columns, "_left_class"],
+            ["s_lat", "s_lon", *site_columns, "_right_class"],
+            parts,
+        )
+        repeated = F.expr("explode(sequence(1L, _left_copies * _right_copies))")
+        pairs = met.where(within).withColumn("_copy", repeated)
+    return pairs.selectExpr(
         *site_columns,
         *area_columns,
         f"{haversine_sql('s_lat', 's_lon', 'd_lat', 'd_lon')} AS distance_miles",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Pairs of rows that one task may test for a single key.
 MOST_PAIRS = 100_000_000
+# Equal rows that one row of a class stands for at most.
+MOST_COPIES = 1000
 
 
 def key_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -34,6 +36,21 @@ def key_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], most_pairs
     )
 
 
+def classes(df: DataFrame, parts: DataFrame, keys: Sequence[str], side: str, most: int = MOST_COPIES) -> DataFrame:
+    """Rows of the keys in ``parts`` as classes: one row for up to ``most`` equal ones, with their number.
+
+    Adds ``_<side>_copies`` and ``_<side>_class``, which tells classes of equal rows apart.  All other rows are
+    classes of their own and are not moved.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    hot = df.join(parts.select(*keys), list(keys), "left_semi").select(*names).groupBy(*names).agg(F.count("*").alias("_n"))
+    numbered = hot.withColumn("_class", F.expr(f"explode(sequence(0L, (_n - 1) DIV {most}))"))
+    hot = numbered.select(*names, F.expr(f"least({most}L, _n - _class * {most}L)").alias(f"_{side}_copies"), F.col("_class").alias(f"_{side}_class"))
+    rest = df.join(parts.select(*keys), list(keys), "left_anti")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return rest.select(*names, one.alias(f"_{side}_copies"), none.alias(f"_{side}_class")).unionAll(hot)
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
@@ -46,7 +63,7 @@ def split_join(
 
     The part comes from a hash of the ``by`` columns, so a retried task places each row
     where the first attempt did.  Every part of a key meets every part of the other
-    side once.  Copies of one row share a part; adaptive execution splits those.
+    side once.  Copies of one row share a part, so where there may be many, join ``classes``.
     """
     if parts is None:
         return left.join(right, list(keys))

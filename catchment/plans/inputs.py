@@ -156,6 +156,19 @@ RESPONSE_ROWS = 50
 
 def census_responses(spark: SparkSession, sf_dir: str, variables: dict[str, str]) -> DataFrame:
     """Response texts of at most RESPONSE_ROWS areas each, with some unreadable counts."""
+    return _responses(spark, sf_dir, variables, "false").select("response")
+
+
+def damaged_responses(spark: SparkSession, sf_dir: str, variables: dict[str, str]) -> DataFrame:
+    """The same with some lines short of a field, and some responses cut off, empty, missing or errors."""
+    return _responses(spark, sf_dir, variables, "POP % 23 = 0").selectExpr(
+        "CASE (2 * chunk + if(county = '510', 1, 0)) % 9 WHEN 0 THEN substring(response, 1, length(response) - 2) "
+        "WHEN 1 THEN concat(substring_index(response, ']', 1), ']]') WHEN 2 THEN NULL WHEN 3 THEN '[]' "
+        """WHEN 4 THEN '{"error":"unknown variable"}' ELSE response END AS response"""
+    )
+
+
+def _responses(spark: SparkSession, sf_dir: str, variables: dict[str, str], short: str) -> DataFrame:
     codes = {"state": "substring(geoid, 1, 2)", "county": "substring(geoid, 3, 3)",
              "tract": "substring(geoid, 6, 6)", "block group": "substring(geoid, 12, 1)"}
     header = ", ".join(f"'{n}'" for n in ["NAME", *variables, *codes])
@@ -165,8 +178,8 @@ def census_responses(spark: SparkSession, sf_dir: str, variables: dict[str, str]
     return (
         cell_counts(spark, sf_dir).withColumnRenamed("GEOID", "geoid")
         .selectExpr("substring(geoid, 3, 3) AS county", f"cast(substring(geoid, 6) AS bigint) DIV {RESPONSE_ROWS} AS chunk",
-                    f"array({line}) AS line")
+                    f"slice(array({line}), 1, if({short}, {len(variables) + 4}, {len(variables) + 5})) AS line")
         .groupBy("county", "chunk")
         .agg(F.collect_list("line").alias("lines"))
-        .selectExpr(f"to_json(concat(array(array({header})), lines)) AS response")
+        .selectExpr("county", "chunk", f"to_json(concat(array(array({header})), lines)) AS response")
     )

@@ -213,8 +213,18 @@ _decoded = ", ".join(
 oracle("src6_census_decode", f"SELECT geoid AS GEOID, {_decoded} FROM fx_counts")
 oracle("src6_tract_decode", """SELECT substring(geoid, 1, 11) AS GEOID, concat('Area ', geoid) AS NAME,
 CAST(CASE WHEN POP % 71 = 0 THEN NULL ELSE POP END AS DOUBLE) AS POP FROM fx_counts""")
+oracle("src5_load_rejects", """SELECT 'loaded' AS status, count(*) FILTER (site_id % 7 <> 0) AS row_count, count(*) FILTER (site_id % 7 = 0) AS rejected_count,
+count(*) FILTER (site_id % 7 <> 0) AS stored_rows, round(sum(lat) FILTER (site_id % 7 <> 0), 6) AS stored_lat,
+count(*) FILTER (site_id % 7 = 0) AS stored_lines FROM fx_sites""")
+oracle("src6_census_rejects", """SELECT CASE place WHEN 1 THEN 'no data row' WHEN 2 THEN 'no response' WHEN 3 THEN 'no header'
+ELSE 'no array of rows' END AS reason, count(DISTINCT number) AS rows FROM numbered WHERE place < 5 GROUP BY 1
+UNION ALL SELECT CASE WHEN POP % 23 = 0 THEN 'fields differ from header' ELSE 'decoded' END, count(*) FROM numbered WHERE place >= 5 GROUP BY 1""",
+"""numbered AS (SELECT *, number % 9 AS place FROM (SELECT *, 2 * (CAST(substring(geoid, 6) AS BIGINT) // 50)
++ CASE WHEN substring(geoid, 3, 3) = '510' THEN 1 ELSE 0 END AS number FROM fx_counts))""")
 oracle("src7_rename_coded", f"SELECT geoid, {', '.join(ACS_NAMES)} FROM fx_counts")
 oracle("snk1_table_replace", "SELECT * FROM fx_demo_city")
+oracle("snk1_bucketed_merge", """SELECT b.geoid, b.lat, b.lon, coalesce(y.pop, c.pop, 0) AS population FROM fx_areas b
+LEFT JOIN fx_demo_city c ON b.geoid = c.geoid LEFT JOIN fx_demo_county y ON b.geoid = y.geoid""")
 oracle("snk2_table_append", "SELECT * FROM fx_demo_city UNION ALL SELECT * FROM fx_demo_county")
 oracle("snk3_csv_write", f"""SELECT geoid AS GEOID, 'Block Group, St. Louis County, Missouri' AS Location, POP,
 {half_even(rate('HH_SNAP', 'Total_Households'))} AS SNAP_Rate,
@@ -304,6 +314,8 @@ SELECT geoid, POP, {half_even(rate('Low_Income_HH', 'Total_Households'))} AS Low
 oracle("j3_radius_join", "SELECT site_id, geoid, population, round(miles, 6) AS distance_miles FROM pairs",
        pairs("fx_areas", "fx_sites", 2.0))
 ORACLES["j3_radius_join_hot"] = ORACLES["j3_radius_join"]
+oracle("j3_radius_join_copies", """SELECT site_id, geoid, CASE WHEN population % 5 = 0 THEN 40 ELSE 1 END AS rows,
+round(miles, 6) AS distance_miles FROM pairs""", pairs("fx_areas", "fx_sites", 1.0))
 oracle("j4_not_selected", "SELECT site_id, name, type FROM fx_open WHERE site_id NOT IN (SELECT site_id FROM picks)", *FLAG)
 oracle("j5_covered_areas", "SELECT geoid, population FROM fx_demand WHERE geoid IN (SELECT geoid FROM covered)", *FLAG)
 _CHECK = """SELECT count(*) AS rows, count(p.geoid) AS matched{extra} FROM {left} b LEFT JOIN fx_demo_county p ON b.geoid = p.geoid"""
@@ -330,6 +342,8 @@ oracle("a8_null_counts", """SELECT 'geoid' AS column_name, count(*) FILTER (geoi
 UNION ALL SELECT 'pop', count(*) FILTER (pop IS NULL) FROM fx_demo_county""")
 oracle("a9_zero_counts", "SELECT 'pop' AS column_name, count(*) FILTER (pop = 0) AS zero_count FROM fx_demo_county")
 oracle("a10_median", "SELECT median(Median_HH_Income) AS median_income FROM fx_counts")
+oracle("a10_medians", """SELECT median(Median_HH_Income)::DOUBLE AS median_income, median(POP)::DOUBLE AS median_people,
+median(Total_Households)::DOUBLE AS median_households FROM fx_counts""")
 _LOW, _SNAP = half_even(rate("Low_Income_HH", "Total_Households")), half_even(rate("HH_SNAP", "Total_Households"))
 oracle("a11_mean_rates", f"SELECT round(avg({_LOW}), 6) AS low_income, round(avg({_SNAP}), 6) AS snap FROM fx_counts")
 oracle("a12_view_center", "SELECT round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon FROM fx_areas")
@@ -604,6 +618,14 @@ oracle("q1_completeness", " UNION ALL ".join([
     _line("fx_areas", "boundaries", "population", "bigint", 9, False, True),
     _line("fx_areas", "boundaries", "geom_geojson", "string", 9, False, False),
 ]))
+oracle("q1_distinct_columns", " UNION ALL ".join([
+    _line("fx_areas", "boundaries", "geoid", "string", 9, True, False),
+    _line("fx_areas", "boundaries", "countyfp", "string", 9, True, False),
+    _line("fx_areas", "boundaries", "tractce", "string", 9, True, False),
+    _line("fx_areas", "boundaries", "population", "bigint", 9, True, True),
+    _line("fx_areas", "boundaries", "lat", "double", 9, True, True),
+    _line("fx_areas", "boundaries", "geom_geojson", "string", 9, False, False),
+]))
 oracle("q1_samples", "SELECT geoid AS sample FROM fx_demo_county ORDER BY geoid LIMIT 3")
 _ONLY_L = "(SELECT count(*) FROM fx_areas WHERE geoid NOT IN (SELECT geoid FROM fx_demo_county))"
 _ONLY_R = "(SELECT count(*) FROM fx_demo_county WHERE geoid NOT IN (SELECT geoid FROM fx_areas))"

@@ -21,7 +21,7 @@ from catchment.operators import (
     reports,
 )
 from catchment.operators.radius_join import radius_join
-from catchment.operators.statistics import exact_median
+from catchment.operators.statistics import exact_median, exact_medians
 from catchment.plans import inputs
 from catchment.plans.service import CoverageService, map_tables
 from catchment.session import ensure_checkpoint_dir, fresh_path, remove_path
@@ -129,6 +129,30 @@ def _(spark, d):
     return kept(spark, shown, folder)
 
 
+@query("src5_load_rejects")
+def _(spark, d):
+    """A file in which every seventh latitude is no number: rows loaded, lines rejected, and what was stored of both."""
+    folder, name = fresh_path(spark, "load"), f"rejects_{uuid.uuid4().hex}"
+    lat = F.when(F.col("site_id") % 7 == 0, "north").otherwise(F.col("lat").cast("string"))
+    tables.write_csv(sites(spark, d).select("site_id", lat.alias("lat"), "lon"), f"{folder}/sites.csv")
+    report = tables.load_files(spark, {name: (f"{folder}/sites.csv", schemas.CANDIDATE_POINTS)}, folder=f"{folder}/tables")
+    stored = tables.read_table(spark, name).agg(F.count("*").alias("stored_rows"), F.sum("lat").alias("stored_lat"))
+    lines = tables.read_table(spark, f"{name}_rejected").agg(F.count_if(F.col("line").contains(",north,")).alias("stored_lines"))
+    shown = kept(spark, report.select("status", "row_count", "rejected_count").join(stored).join(lines))
+    for table in (name, f"{name}_rejected"):
+        spark.sql(f"DROP TABLE {table}")
+    return kept(spark, rounded(shown, "stored_lat"), folder)
+
+
+@query("src6_census_rejects")
+def _(spark, d):
+    """Damaged responses: what is decoded and what is rejected, by reason, are together all that was received."""
+    responses = inputs.damaged_responses(spark, d, census.ACS_VARIABLES)
+    decoded = census.decode_block_groups(responses).agg(F.lit("decoded").alias("reason"), F.count("*").alias("rows"))
+    rejected = census.response_rejects(responses, "response").groupBy("reason").agg(F.count("*").alias("rows"))
+    return decoded.unionAll(rejected)
+
+
 @query("src6_census_decode")
 def _(spark, d):
     return census.decode_block_groups(inputs.census_responses(spark, d, census.ACS_VARIABLES))
@@ -178,6 +202,21 @@ def _(spark, d):
     return _written(spark, frames, ["overwrite", "overwrite"])
 
 
+@query("snk1_bucketed_merge")
+def _(spark, d):
+    """Boundaries and both demographic tables stored in equal buckets, then merged without moving rows."""
+    suffix, folder = uuid.uuid4().hex, fresh_path(spark, "buckets")
+    frames = {"bounds": areas(spark, d).select("geoid", "lat", "lon"), "city": inputs.city_demographics(spark, d),
+              "county": inputs.county_demographics(spark, d)}
+    for name, frame in frames.items():
+        tables.write_table(frame, f"{name}_{suffix}", path=f"{folder}/{name}", buckets=("geoid", 8))
+    stored = {name: tables.read_table(spark, f"{name}_{suffix}") for name in frames}
+    rows = kept(spark, area_ops.merge_population(stored["bounds"], [stored["county"], stored["city"]]), folder)
+    for name in frames:
+        spark.sql(f"DROP TABLE {name}_{suffix}")
+    return rows
+
+
 @query("snk2_table_append")
 def _(spark, d):
     frames = [inputs.city_demographics(spark, d), inputs.county_demographics(spark, d)]
@@ -401,6 +440,15 @@ def _(spark, d):
     return rounded(radius_join(areas(spark, d), sites(spark, d), 2.0, most_pairs=500), "distance_miles")
 
 
+@query("j3_radius_join_copies")
+def _(spark, d):
+    """Some areas forty times over: classes of equal rows are tested once and repeated afterwards."""
+    copies = F.when(F.col("population") % 5 == 0, 40).otherwise(1)
+    heap = areas(spark, d).select("geoid", "lat", "lon", "population", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).drop("copy")
+    met = radius_join(heap, sites(spark, d), 1.0, most_pairs=2000)
+    return met.groupBy("site_id", "geoid").agg(F.count("*").alias("rows"), F.round(F.max("distance_miles"), 6).alias("distance_miles"))
+
+
 @query("j4_not_selected")
 def _(spark, d):
     run = flagship(spark, d)
@@ -479,6 +527,13 @@ def _(spark, d):
     return exact_median(inputs.counts(spark, d), "Median_HH_Income", "median_income")
 
 
+@query("a10_medians")
+def _(spark, d):
+    """Medians of three columns, one of them with nulls, from two passes."""
+    columns = {"median_income": "Median_HH_Income", "median_people": "POP", "median_households": "Total_Households"}
+    return exact_medians(inputs.counts(spark, d), columns)
+
+
 @query("a11_mean_rates")
 def _(spark, d):
     table = demographics.demographic_table(inputs.estimate_counts(spark, d), PLACE, "estimate")
@@ -807,6 +862,12 @@ def _(spark, d):
     return demo.unionAll(bounds)
 
 
+@query("q1_distinct_columns")
+def _(spark, d):
+    columns = ["geoid", "countyfp", "tractce", "population", "lat", "geom_geojson"]
+    return quality.completeness_report(areas(spark, d), "boundaries", columns, columns[:5])
+
+
 @query("q1_samples")
 def _(spark, d):
     return quality.sample_values(inputs.county_demographics(spark, d), "geoid")

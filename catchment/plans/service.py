@@ -7,9 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 
 from catchment.functions.geometry import (
-    computed_once,
     first_outer_ring,
-    parse_parts,
     usable_ring,
     with_parts,
     with_projected_centroid,
@@ -31,7 +29,7 @@ def prepare_areas(
     merged = merge_population(boundaries, [county, city])
     if geojson is None:
         return merged
-    parsed = computed_once(merged, {"_parts": parse_parts(geojson)})
+    parsed = with_parts(merged, geojson, "_parts")
     return parsed.withColumn("polygon", first_outer_ring("_parts")).drop("_parts").where(usable_ring("polygon"))
 
 

@@ -77,19 +77,47 @@ LONG_NAMES = {
 def response_rows(responses: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     """One row per data row, with the named fields as text columns.
 
-    Fields are found by header name, once per response; a missing field is null.
+    Fields are found by header name, once per response; a missing field is null.  What ``response_rejects``
+    tells of is left out.
     """
     positions = ", ".join(f"array_position(header, '{n}')" for n in names)
     return (
-        responses.select(F.from_json(column, "array<array<string>>").alias("lines"))
-        .where("size(lines) > 1")
-        .select("lines", F.expr("lines[0]").alias("header"))
-        .select("lines", F.expr(f"array({positions})").alias("at"))
-        .select("at", F.expr("explode(filter(lines, (line, i) -> i > 0))").alias("line"))
+        _lines(responses, column)
+        .select("lines", "header", F.expr(f"array({positions})").alias("at"))
+        .select("at", F.expr(f"explode(filter(lines, (line, i) -> i > 0 AND {_FITS}))").alias("line"))
         .select(*[F.expr(f"get(line, cast(at[{i}] AS int) - 1)").alias(n) for i, n in enumerate(names)])
     )
 
 
+_FITS = "coalesce(size(line) = size(header), false)"
+
+
+def _lines(responses: DataFrame, column: str, *keep: str) -> DataFrame:
+    lines = responses.select(*keep, F.col(column).alias("text"), F.from_json(column, "array<array<string>>").alias("lines"))
+    return lines.select("*", F.expr("get(lines, 0)").alias("header"))
+
+
+def response_rejects(responses: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """What ``response_rows`` leaves out: the columns of ``keep``, ``line``, ``reason`` and ``text``.
+
+    A response as a whole has a null ``line`` and its own text: ``no response`` for null, ``no array of rows`` for
+    anything that does not parse as one, ``no header``, or ``no data row``.  Data rows, numbered from 1, are rejected
+    if they do not have as many fields as the header.
+    """
+    whole = (
+        "CASE WHEN text IS NULL THEN 'no response' WHEN lines IS NULL THEN 'no array of rows' "
+        "WHEN coalesce(size(header), 0) = 0 THEN 'no header' WHEN size(lines) = 1 THEN 'no data row' END"
+    )
+    row = "named_struct('line', {line}, 'reason', {reason}, 'text', {text})"
+    broken = row.format(line="cast(NULL AS int)", reason="whole", text="text")
+    numbered = f"filter(transform(lines, (line, i) -> named_struct('i', i, 'line', line, 'fits', {_FITS})), x -> x.i > 0 AND NOT x.fits)"
+    misfits = f"transform({numbered}, x -> {row.format(line='x.i', reason=repr('fields differ from header'), text='to_json(x.line)')})"
+    return (
+        _lines(responses, column, *keep).selectExpr("*", f"{whole} AS whole")
+        .selectExpr(*keep, f"inline(CASE WHEN whole IS NOT NULL THEN array({broken}) ELSE {misfits} END)")
+    )
+
+
 def rename_coded(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Coded columns under their readable names, all other columns as they are."""
     return df.withColumnsRenamed(dict(names))

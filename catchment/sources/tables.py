@@ -12,6 +12,10 @@ from catchment import schemas
 from catchment.functions.geometry import to_geojson, with_centroid, with_parts
 
 
+# Column that holds a line which does not fit its schema.
+REJECTED = "_rejected"
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """A whole table by catalog name, or parquet files by path."""
     return spark.read.parquet(name) if "/" in name else spark.table(name)
@@ -39,13 +43,32 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: str, out: str = REJECTED) -> DataFrame:
+    """The same with the whole line in column ``out`` where a cell is not of its type or their number is wrong, else null there.
+
+    All columns have to be read for that; a frame pruned to some columns sees the bad cells of those only.
+    """
+    reader = spark.read.schema(f"{schema}, {out} string").option("columnNameOfCorruptRecord", out)
+    return reader.option("header", True).option("escape", '"').csv(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
-    """Saves a table; ``append`` keeps the existing rows and may repeat keys."""
+def write_table(
+    df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None, buckets: tuple[str, int] | None = None
+) -> None:
+    """Saves a table; ``append`` keeps the existing rows and may repeat keys.
+
+    With ``buckets``, a key and a number, rows are stored by that key and sorted, so that joins of tables with equal
+    buckets move no rows.
+    """
     writer = df.write.mode(mode)
+    if buckets is not None:
+        key, number = buckets
+        # One task per bucket writes one file, which the joins can then rely on to be sorted.
+        writer = df.repartition(number, key).write.mode(mode).bucketBy(number, key).sortBy(key)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
@@ -65,25 +88,31 @@ def load_files(
     """Loads CSV files into tables, passing over files that are not there.
 
     ``entries`` maps a table name to (path, schema); with ``folder`` the tables are
-    stored below it.  Returns one line per entry, with the rows that its file held.
+    stored below it.  Lines that do not fit the schema are no rows of the table; if there are any they go to
+    ``<table>_rejected``, with the cells that could be read and the whole ``line``.  Returns one line per entry, with the rows loaded and the lines rejected.
     """
     found = {}
     for table, (path, schema) in entries.items():
         try:
-            found[table] = read_csv(spark, path, schema)
+            found[table] = read_csv_checked(spark, path, schema)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
                 raise
     lines = []
     for table, (path, _) in entries.items():
         if table not in found:
-            lines.append((table, path, "skipped", None))
+            lines.append((table, path, "skipped", None, None))
             continue
-        df = found[table]
+        bad = F.col(REJECTED).isNotNull()
         counted = Observation(table)
-        write_table(df.observe(counted, F.count("*").alias("rows")), table, mode, f"{folder}/{table}" if folder else None)
-        lines.append((table, path, "loaded", counted.get["rows"]))
-    return spark.createDataFrame(lines, "table_name string, path string, status string, row_count bigint")
+        figures = F.count_if(~bad).alias("rows"), F.count_if(bad).alias("rejected")
+        place = f"{folder}/{table}" if folder else None
+        write_table(found[table].observe(counted, *figures).where(~bad).drop(REJECTED), table, mode, place)
+        if counted.get["rejected"]:
+            rejected = found[table].where(bad).withColumnRenamed(REJECTED, "line")
+            write_table(rejected, f"{table}_rejected", mode, place and f"{place}_rejected")
+        lines.append((table, path, "loaded", counted.get["rows"], counted.get["rejected"]))
+    return spark.createDataFrame(lines, "table_name string, path string, status string, row_count bigint, rejected_count bigint")
 
 
 def read_boundaries_csv(spark: SparkSession, path: str) -> DataFrame:

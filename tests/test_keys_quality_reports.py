@@ -87,3 +87,13 @@ def test_features_are_written_per_layer(spark, tmp_path):
     reports.write_features(features, str(tmp_path / "f"), by="layer")
     back = spark.read.json(str(tmp_path / "f"))
     assert sorted((r.layer, r.site_id) for r in back.collect()) == [("school", "1"), ("selected", "2")]
+
+
+def test_distinct_columns_repeat_no_rows(spark):
+    from catchment.operators.quality import completeness_report
+
+    df = spark.range(100).selectExpr("id", "id % 7 AS a", "if(id % 5 = 0, NULL, id % 11) AS b", "'x' AS c", "cast(NULL AS int) AS d")
+    report = completeness_report(df, "t", distinct=["id", "a", "b", "c", "d"])
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {r.column_name: (r.distinct_count, r.null_count) for r in report.collect()} == {
+        "id": (100, 0), "a": (7, 0), "b": (11, 20), "c": (1, 0), "d": (0, 100)}

@@ -75,3 +75,29 @@ def test_bad_arguments(spark):
         radius_join(*frames, -1.0)
     with pytest.raises(ValueError):
         radius_join(*frames, 1.0, area_columns=["lat"], site_columns=["lat"])
+
+
+def test_copies_are_classes(spark):
+    """Equal rows in crowded blocks are counted, cut into classes, tested once and repeated."""
+    from collections import Counter
+
+    from catchment.operators import skew
+
+    areas = [("heap", 38.6, -90.2, 7)] * 5000 + [("lone", 38.61, -90.2, 1), ("far", 10.0, 10.0, 1)]
+    sites = [(f"s{i:03d}", 38.6 + i * 1e-5, -90.2) for i in range(60)] + [("s000", 38.6, -90.2)] * 40 + [("away", 10.0, 10.0)]
+    frames = spark.createDataFrame(areas, AREA).repartition(3), spark.createDataFrame(sites, SITE)
+    got = radius_join(*frames, 1.0, most_pairs=20_000).groupBy("site_id", "geoid").count().collect()
+    copies = Counter(s[0] for s in sites)
+    want = {(s, g): copies[s] * n for s in copies if s != "away" for g, n in (("heap", 5000), ("lone", 1))} | {("away", "far"): 1}
+    assert {(r.site_id, r.geoid): r["count"] for r in got} == want
+    rows = spark.createDataFrame([(1, "a")] * 2500 + [(1, "b"), (2, "c"), (2, "c")], "block int, v string")
+    parts = spark.createDataFrame([(1,)], "block int")
+    met = skew.classes(rows, parts, ["block"], "left", 1000)
+    assert sorted((r.v, r._left_copies, r._left_class) for r in met.collect()) == [
+        ("a", 500, 2), ("a", 1000, 0), ("a", 1000, 1), ("b", 1, 0), ("c", 1, 0), ("c", 1, 0)]
+
+
+def test_nothing_is_cut_where_nothing_is_crowded(spark):
+    frames = spark.createDataFrame([("a", 38.6, -90.2, 1)] * 9, AREA), spark.createDataFrame([("s", 38.6, -90.2)], SITE)
+    plan = radius_join(*frames, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_copies" not in plan and "_part" not in plan

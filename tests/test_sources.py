@@ -37,11 +37,53 @@ def test_load_files_skips_what_is_not_there(spark, tmp_path):
         "loaded_sites": (str(tmp_path / "sites.csv"), schemas.CANDIDATE_POINTS),
         "no_sites": (str(tmp_path / "none.csv"), schemas.CANDIDATE_POINTS),
     }
-    report = {r.table_name: (r.status, r.row_count) for r in tables.load_files(spark, entries).collect()}
-    assert report == {"loaded_sites": ("loaded", 2), "no_sites": ("skipped", None)}
+    report = {r.table_name: (r.status, r.row_count, r.rejected_count) for r in tables.load_files(spark, entries).collect()}
+    assert report == {"loaded_sites": ("loaded", 2, 0), "no_sites": ("skipped", None, None)}
     assert spark.table("loaded_sites").count() == 2
 
 
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    (tmp_path / "mixed.csv").write_text('site_id,lat,lon\na,1,2\nb,north,4\nc,,\nd,5\ne,1,2,3\n"f,1","7",8\n')
+    entries = {"mixed_sites": (str(tmp_path / "mixed.csv"), schemas.CANDIDATE_POINTS)}
+    report = tables.load_files(spark, entries).first()
+    assert (report.row_count, report.rejected_count) == (3, 3)
+    assert sorted(tuple(r) for r in spark.table("mixed_sites").collect()) == [("a", 1.0, 2.0), ("c", None, None), ("f,1", 7.0, 8.0)]
+    assert sorted(r.line for r in spark.table("mixed_sites_rejected").collect()) == ["b,north,4", "d,5", "e,1,2,3"]
+
+
+def test_equal_buckets_are_joined_in_place(spark):
+    from catchment.operators.areas import merge_population
+
+    for name, value in (("bucket_areas", "lat"), ("bucket_city", "pop"), ("bucket_county", "pop")):
+        df = spark.range(500).selectExpr("cast(id AS string) AS geoid", f"id AS {value}")
+        tables.write_table(df, name, buckets=("geoid", 4))
+    stored = [tables.read_table(spark, n) for n in ("bucket_areas", "bucket_county", "bucket_city")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = merge_population(stored[0], stored[1:])
+        assert merged.where("population = lat").count() == 500
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+
+
+def test_rejects_account_for_everything_received(spark):
+    good = json.dumps([["state", "county", "tract", "block group", "V"], *[["29", "189", "000100", str(i), "1"] for i in range(5)]])
+    short = json.dumps([["state", "county", "tract", "block group", "V"], ["29", "189", "000100", "1", "1"], ["29"], None, ["29", "189", "000100", "1", "1", "2"]])
+    texts = [good, short, None, "", "no json", "{}", "[1, 2]", "[]", "[[]]", "[null]", '[["state"]]', good[:-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, response string")
+    assert census.decode_block_groups(df, variables={"V": "v"}).count() == 6
+    got = sorted((r.id, r.line or 0, r.reason) for r in census.response_rejects(df, "response", ["id"]).collect())
+    assert got == [
+        (1, 2, "fields differ from header"), (1, 3, "fields differ from header"), (1, 4, "fields differ from header"),
+        (2, 0, "no response"), (3, 0, "no array of rows"), (4, 0, "no array of rows"), (5, 0, "no array of rows"),
+        (6, 0, "no array of rows"), (7, 0, "no header"), (8, 0, "no header"), (9, 0, "no header"), (10, 0, "no data row"),
+        (11, 0, "no array of rows"),
+    ]
+
+
 def test_response_fields_are_found_by_name(spark):
     header = ["NAME", "B11001_001E", "B01003_001E", "block group", "tract", "county", "state"]
     body = [["x", "7", "100", "1", "020100", "189", "29"], ["y", None, "abc", "2", "020100", "189", "29"]]

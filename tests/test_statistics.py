@@ -3,7 +3,7 @@ import statistics
 
 import pytest
 
-from catchment.operators.statistics import exact_median
+from catchment.operators.statistics import exact_median, exact_medians
 
 
 @pytest.mark.parametrize("values", [
@@ -43,3 +43,15 @@ def test_two_passes(spark, sf_dir):
     rows = inputs.counts(spark, sf_dir).rdd.map(lambda r: (seen.add(1), (float(r.Median_HH_Income),))[1]).toDF("v double")
     median = exact_median(rows, "v").first()[0]
     assert median is not None and seen.value <= 2 * inputs.counts(spark, sf_dir).count()
+
+
+def test_columns_share_both_passes(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**6), rng.gauss(0, 1), None if i % 3 else float(i), None) for i in range(3001)]
+    df = spark.createDataFrame(rows, "a bigint, b double, c double, d double").repartition(3)
+    counted = df.rdd.map(lambda r: (seen.add(1), tuple(r))[1]).toDF(df.schema)
+    got = exact_medians(counted, {"x": "a", "y": "b", "z": "c", "none": "d"}).first()
+    want = [statistics.median([v for v in column if v is not None]) for column in list(zip(*rows))[:3]]
+    assert list(got) == [*want, None] and got.asDict().keys() == {"x", "y", "z", "none"}
+    assert seen.value <= 2 * len(rows)
