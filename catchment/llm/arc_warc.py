@@ -29,14 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchment.llm.common import MOST_IDS, chosen, release, settled
+from catchment.llm.common import MOST_IDS, chosen, release, settled, with_key
 from catchment.session import fresh_path, remove_path
 
 FILE_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
 PIECE = 1 << 16  # bytes of a compressed file that are handed over at a time
 LEAST_PAYLOAD = 100  # bytes from which equal payloads are revisits
-HOT_SHARE = 1000  # keys with more than this fraction of all rows are hot
 TAG = "X-Page-Id"  # HTTP header that carries the id of a page
 
 # Fields of a record line by version, and the media type and profile of records (fixed values of the formats).
@@ -244,24 +243,6 @@ def read_arc(spark: SparkSession, path: str, with_block: bool = False, tag_heade
     return _contents(spark, path).mapInArrow(run, LINE + (", block binary" if with_block else ""))
 
 
-def with_key(rows: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
-    """Rows joined with a settled table of one line per ``key``, of which ``n`` rows have it.
-
-    A key with more than a thousandth of all these rows is hot.  There can't be a thousand of them, so they are
-    broadcast; no other key fills a task.
-    """
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    hot = F.col("n") * HOT_SHARE > total
-    joined = rows.join(F.broadcast(table.where(hot).drop("n").withColumnRenamed(key, "_hot")), F.col(key) == F.col("_hot"), "left")
-    values = [c for c in table.columns if c not in (key, "n")]
-    cold = table.where(~hot).drop("n").withColumnsRenamed({c: f"_cold_{c}" for c in values}).withColumnRenamed(key, "_cold")
-    # Rows of hot keys have nothing to look for here and are spread by their null key.
-    spread = F.when(F.col("_hot").isNull(), F.col(key))
-    both = joined.withColumn("_seek", spread).join(cold, F.col("_seek") == F.col("_cold"), "left")
-    found = both.select(*rows.columns, *[F.coalesce(c, f"_cold_{c}").alias(c) for c in values], F.coalesce("_hot", "_cold").isNotNull().alias("_met"))
-    return (found.where("_met") if how == "inner" else found).drop("_met")
-
-
 def revisits(lines: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """``record_id`` of responses whose payload an earlier one has, with the id, address and date of that one.
 

@@ -73,6 +73,27 @@ def with_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", column: str
     return df.join(F.broadcast(ids) if few else ids, column, how)
 
 
+HOT_SHARE = 1000
+
+
+def with_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Rows joined with a table of one line per ``key``, of which ``n`` rows have it; how is inner or left.
+
+    A key with more than a thousandth of all these rows (``total``, summed if not given) is hot.  There can't be a thousand
+    of them, so they are broadcast, and their rows stay where they are; no other key fills a task.  ``rows`` is read twice.
+    """
+    if total is None:
+        total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = F.col("n") * HOT_SHARE > total
+    values = [c for c in table.columns if c not in (key, "n")]
+    few = table.where(hot).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    many = table.where(~hot).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in values])
+    joined = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
+    at_rest = joined.where("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
+    seeking = joined.where("_hot IS NULL").select(*rows.columns).join(many, F.col(key) == F.col("_cold"), how)
+    return at_rest.unionAll(seeking.select(*rows.columns, *[F.col(f"_cold_{c}").alias(c) for c in values]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from catchment.llm.common import settled
+from catchment.llm.common import settled, with_key
 
 LINKS = "u bigint, v bigint"
 
@@ -48,18 +48,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(top[tied])], names=["u", "v"])
 
 
-def _larger(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """The smallest neighbour ``m`` of every u, and with how many links it hangs together."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _larger(links: DataFrame, n_links: int) -> DataFrame:
     both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        both.join(least, "u").where("v > u")
+        with_key(both, _least(both), "u", total=2 * n_links).where("v > u")
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
     )
 
 
-def _smaller(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _smaller(links: DataFrame, n_links: int) -> DataFrame:
+    least = _least(links)
+    hooked = with_key(links, least, "u", total=n_links).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -67,23 +71,29 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every linked node.
 
     ``links`` has the columns u and v in any order; loops and repeats do no harm.
-    An empty table of links gives an empty result.
+    An empty table of links gives an empty result.  Nodes with more than a thousandth of all links meet
+    them by broadcast, so no task holds a hub.  Rounds grow with the logarithm of the longest chain, which
+    the union-find within tasks has shortened before.
     """
     current = settled(
         links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .mapInArrow(_forest, LINKS).distinct()
     )
-    while _unsettled(current):
-        current = settled(_smaller(_larger(current)))
+    while (state := _state(current)).unsettled:
+        hooked = settled(_larger(current, state.links))
+        current = settled(_smaller(hooked, hooked.count()))
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
 
 
-def _unsettled(links: DataFrame) -> int:
-    """Nodes that hang on several others, or on one that hangs itself: none in a set of stars."""
+def _state(links: DataFrame) -> Row:
+    """The number of links, and of nodes that hang on several others or on one that hangs itself: none in a set of stars."""
     child, parent = F.lit(1).alias("child"), F.lit(0).alias("parent")
     ends = links.select("u", child, parent).unionAll(
         links.select(F.col("v").alias("u"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
     )
     seen = ends.groupBy("u").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-    return seen.where("child > 1 OR (child = 1 AND parent = 1)").count()
+    return seen.agg(
+        F.coalesce(F.sum("child"), F.lit(0)).alias("links"),
+        F.count_if((F.col("child") > 1) | (F.col("child") == 1) & (F.col("parent") == 1)).alias("unsettled"),
+    ).first()

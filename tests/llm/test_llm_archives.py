@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from catchment.llm import arc_warc
+from catchment.llm import arc_warc, common
 from catchment.llm.arc_warc import ArcRecord, Reject, arc_records, inflated, iso_date, split_http, warc_records
 from catchment.session import fresh_path
 from hard_rows import EXTRA, N_EXTRA
@@ -174,7 +174,7 @@ def test_hard_rows(spark, monkeypatch, file_bytes, most_ids):
 
 @pytest.mark.parametrize("share", [1, 1000])
 def test_hot_payloads(spark, monkeypatch, share):
-    monkeypatch.setattr(arc_warc, "HOT_SHARE", share)  # 1: no payload is hot
+    monkeypatch.setattr(common, "HOT_SHARE", share)  # 1: no payload is hot
     rows = [(i, "u", ("hot " if i % 3 else f"rare {i // 9} ") * 40) for i in range(600)]
     got = arc_warc.archive_pages(pages(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)

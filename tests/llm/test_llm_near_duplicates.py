@@ -111,3 +111,49 @@ def test_hard_rows(spark):
     assert by_id[None][0]["component_id"] is None and by_id[None][0]["kept"]
     assert by_id[6][0]["n_shingles"] == 1 and by_id[7][0]["n_shingles"] > 100_000
     assert s.near_duplicates(no_documents(spark)).count() == 0
+
+
+def bag(spark, rows, extra="x"):
+    return spark.createDataFrame([(extra, i, t, "en") for i, t in rows], "node string, doc_id bigint, text string, first string").repartition(3)
+
+
+def stays(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+A, B, C, D = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+A2 = A.replace("a59", "other")  # 55 of 57 shingles in common
+
+
+def test_ids_that_are_repeated(spark):
+    rows = [(1, A), (1, A), (5, A), (5, B), (7, C), (7, C)]
+    assert stays(s.first_of_groups(bag(spark, rows))) == [(1, A), (5, B), (7, C)]
+    labels = sorted((r.doc_id, r.component_id, r.kept) for r in s.near_duplicates(bag(spark, rows)).collect())
+    assert labels == [(1, 1, True), (1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True)]
+
+
+def test_texts_under_one_id_lend_each_other_nothing(spark):
+    rows = [(3, D), (4, B), (4, A), (9, A2), (8, D), (2, B + " tail"), (6, "")]
+    labels = {(r.doc_id, r.n_shingles): r.component_id for r in s.near_duplicates(bag(spark, rows)).collect()}
+    by_text = sorted((r.doc_id, r.component_id) for r in s.near_duplicates(bag(spark, rows)).collect())
+    assert by_text == [(2, 2), (3, 3), (4, 2), (4, 4), (6, 6), (8, 3), (9, 4)] and len(labels) == 6
+    assert stays(s.first_of_groups(bag(spark, rows))) == sorted([(3, D), (4, A), (2, B + " tail"), (6, "")], key=str)
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, A), (None, A2), (None, B), (None, B), (3, B), (None, C.upper()), (None, None), (None, " "), (None, None), (5, None), (5, None)]
+    assert stays(s.first_of_groups(bag(spark, rows)))[0] == (3, B)
+    kept = stays(s.first_of_groups(bag(spark, rows)))
+    assert len(kept) == 1 + 1 + 1 + 5 and sum(t in (A, A2) for _, t in kept) == 1 and (None, C.upper()) in kept
+    labels = [(r.n_shingles, r.component_id, r.kept) for r in s.near_duplicates(bag(spark, rows)).where("doc_id IS NULL").collect()]
+    assert sorted(labels, key=str) == sorted([(56, None, True)] * 3 + [(56, 3, False)] * 2 + [(0, None, True)] * 3, key=str)
+
+
+def test_unique_ids_keep_columns_and_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = s.first_of_groups(docs)
+    assert kept.schema == docs.schema
+    wanted = {r.doc_id for r in s.near_duplicates(docs).where("kept").collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
+    hard = hard_documents(spark)
+    assert s.first_of_groups(hard).columns == hard.columns and s.first_of_groups(no_documents(spark)).count() == 0

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,3 +94,31 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_a_hub_is_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from catchment.llm import components as c
+    from catchment.llm.common import with_key
+
+    star = spark.range(1, 200_001, 1, 8).selectExpr("id AS u", "0L AS v")
+    both = star.unionAll(star.selectExpr("v AS u", "u AS v"))
+    met = with_key(both, c._least(both), "u", total=400_000)
+    sizes = [r["count"] for r in met.where("u = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 25_000
+    assert met.where("u = 0 AND m = 1 OR u > 0 AND m = 0").count() == 400_000
+    got = c.components(star.unionAll(spark.range(1, 3000).selectExpr("id + 1000000 AS u", "id + 1000001 AS v")))
+    assert got.groupBy("component").count().where("component = 0").first()["count"] == 200_001
+    assert got.where("component = 1000001").count() == 3000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_and_other_keys(spark, how):
+    from catchment.llm.common import with_key
+
+    rows = spark.range(6000).selectExpr("CASE WHEN id < 3000 THEN -1 WHEN id % 7 = 0 THEN NULL ELSE id END AS k", "id")
+    table = spark.range(4000).selectExpr("id AS k", "1L AS n", "id * 2 AS x").unionAll(spark.sql("SELECT -1L, 3000L, NULL"))
+    got = sorted((r.id, r.x) for r in with_key(rows, table, "k", how).collect() if r.x is not None)
+    assert got == [(i, 2 * i) for i in range(3000, 4000) if i % 7]
+    assert with_key(rows, table, "k", how).count() == (6000 if how == "left" else 3000 + len(got))
