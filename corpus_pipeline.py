@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``; ``run`` writes each result to the shared folder and reads it back.
-Rows without an id are kept by every filter, as nothing can be held against them.
+Rows without an id are judged by their texts alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm import language, mixing, secret_index, suffix_pieces, superminhash
-from catchment.llm.common import settled, with_ids
 from catchment.session import fresh_path
 
 
@@ -24,12 +23,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id.
+    """One row of each group stays, the one with the smallest id, whether ids are repeated, missing or neither.
 
-    Texts without words are in no group and stay.  Rows that repeat an id stay or go together.
+    Texts without words are in no group and stay.
     """
-    found = superminhash.near_duplicates(docs)
-    return with_ids(docs, settled(found.where("NOT kept").select("doc_id").distinct()), "left_anti")
+    return superminhash.first_of_groups(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
