@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchment.session import ensure_checkpoint_dir
@@ -94,6 +94,27 @@ def with_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", to
     return at_rest.unionAll(seeking.select(*rows.columns, *[F.col(f"_cold_{c}").alias(c) for c in values]))
 
 
+def in_order(rows: DataFrame, order: list[Column], *amounts: str) -> tuple[DataFrame, dict[str, int]]:
+    """``rows`` with their ``place`` (1, 2, 3 ...) in a total order, and per amount the sum ``before_`` them; also all sums.
+
+    Rows are sorted in ranges, which are written once; the figures of earlier ranges come from one line per range
+    on the driver.  No task holds more than a range.
+    """
+    sorted_rows = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    placed = sorted_rows.withColumn("_range", F.shiftright("_at", 33))
+    sums = [F.count("*").alias("place"), *[F.coalesce(F.sum(a), F.lit(0)).cast("bigint").alias(a) for a in amounts]]
+    names, totals, lines = ["place", *amounts], dict.fromkeys(["place", *amounts], 0), []
+    for r in sorted(placed.groupBy("_range").agg(*sums).collect(), key=lambda r: r["_range"]):
+        lines.append((r["_range"], *totals.values()))
+        totals = {name: totals[name] + r[name] for name in names}
+    before = rows.sparkSession.createDataFrame(lines, "_range bigint, " + ", ".join(f"_{n} bigint" for n in names))
+    earlier = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(before), "_range").select(
+        *rows.columns, (F.col("_place") + F.row_number().over(Window.partitionBy("_range").orderBy("_at"))).alias("place"),
+        *[(F.col(f"_{a}") + F.coalesce(F.sum(a).over(earlier), F.lit(0))).cast("bigint").alias(f"before_{a}") for a in amounts],
+    ), totals
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1

@@ -3,8 +3,8 @@
 A level rises over all sources at once, each gaining words in proportion to its weight,
 until it holds as many repetitions as allowed; what it can't take goes to the
 others by weight.  Sources sorted by size over weight saturate in that order, so
-running sums over the small table of sources give the level that repeated clamping and
-resharing ends at, exactly in integers.
+running sums over the table of sources give the level that repeated clamping and
+resharing ends at, exactly in integers.  Sources are sorted in ranges, so their number may be large.
 
 The target of a source is met with whole repetitions of all its documents and one
 more of some: documents in a seeded order take one repetition each until the
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchment.llm.common import chosen, settled
+from catchment.llm.common import chosen, in_order, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
@@ -38,21 +38,22 @@ def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOS
     ``totals`` has one row per source, with its size.  Weights go round the sources by code
     point, null last.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(int(w)).cast("bigint") for w in weights]), (rank + 1).cast("int"))
-    full = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = full.rowsBetween(Window.unboundedPreceding, -1)
-    later = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = totals.withColumn("weight", weight).withColumns({
+    by_name, _ = in_order(totals, [F.asc_nulls_last("source")])
+    turn = (F.col("place") - 1) % len(weights)
+    weight = F.element_at(F.array(*[F.lit(int(w)).cast("bigint") for w in weights]), (turn + 1).cast("int"))
+    named = by_name.withColumn("weight", weight).drop("place")
+    full, sums = in_order(named, [F.col("source_size") / F.col("weight"), F.asc_nulls_last("source")], "source_size", "weight")
+    level = full.withColumns({
         "cap": F.col("source_size") * most,
-        "rest": F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * most).over(earlier), F.lit(0)),
-        "open_weight": F.sum("weight").over(later),
-        "place": F.row_number().over(full),
-    }).withColumn("clamped", F.col("weight") * F.col("rest") > F.col("cap") * F.col("open_weight"))
-    first_open = F.min(F.when(~F.col("clamped"), F.struct("place", "rest", "open_weight"))).over(everything)
-    share = F.col("weight") * first_open["rest"] / first_open["open_weight"]
+        "rest": F.lit(sums["source_size"]) - F.col("before_source_size") * most,
+        "open_weight": F.lit(sums["weight"]) - F.col("before_weight"),
+    })
+    # As decimals, since sizes times the weights of very many sources pass 64 bits.
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("weight", "rest", "cap", "open_weight")}
+    level = level.withColumn("clamped", wide["weight"] * wide["rest"] > wide["cap"] * wide["open_weight"])
+    first_open = level.where(~F.col("clamped")).agg(F.min(F.struct("place", "rest", "open_weight")).alias("at")).first().at
+    rest, open_weight = (first_open.rest, first_open.open_weight) if first_open else (0, 1)
+    share = F.col("weight") * F.lit(rest) / F.lit(open_weight)
     target = F.when(F.col("clamped"), F.col("cap")).otherwise(share).cast("double")
     return (
         level.withColumn("target", F.coalesce(target, F.lit(0.0)))

@@ -18,6 +18,49 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
 
 
+def plain_logits(text, table, bias):
+    """One subword after the other: fold the bytes, hash each run of them, add up its numbers."""
+    fold = [b | 0x20 if chr(b).isascii() and chr(b).isalpha() else 0x20 if b < 128 else b for b in text.encode()]
+    total, n = [0.0] * len(bias), 0
+    for width in (2, 3, 4):
+        for i in range(len(fold) - width + 1):
+            own = fold[i:i + width]
+            if own == [0x20] * width:
+                continue
+            code = sum(b << 8 * k for k, b in enumerate(own))
+            bucket = (code * 0x9E3779B97F4A7C15 % (1 << 64) >> 48) % (language.BUCKETS - 1) + 1
+            total = [t + float(line[bucket]) for t, line in zip(total, table)]
+            n += 1
+    return [t / max(n, 1) + b for t, b in zip(total, bias)]
+
+
+def test_scores_against_plain_sums(spark, sf_dir):
+    import numpy as np
+    import pyarrow as pa
+
+    from catchment.llm.common import blocks
+
+    random = np.random.default_rng(5)
+    table = random.normal(size=(3, language.BUCKETS)).astype(np.float32)
+    table[:, 0] = 0
+    bias = random.normal(size=3)
+    docs = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    texts = [None, "", "a", "ab", "  ", "Ünï çødé 日本", "A-b 9 C", "x" * 700, *[t[:3000] for t in docs if t]]
+    for most in (1, 50, 1 << 20):  # texts alone and together in a block
+        got = np.concatenate([language.block_logits(b, table, bias) for b in blocks(pa.array(texts), most)])
+        assert np.allclose(got, [plain_logits(t or "", table, bias) for t in texts], atol=1e-5)
+
+
+def test_long_texts_reach_the_driver_in_part(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_CHARS", 100)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, languages: seen.extend(texts))
+    long = [" ".join(f"w{i}x{k}" for k in range(500)) for i in range(30)]
+    language.fit(spark.createDataFrame([(i, t, "en") for i, t in enumerate([*long, "short one"])], "doc_id bigint, text string, lang string"))
+    assert {len(t) for t in seen} <= {100, 9} and all(any(t in whole for whole in [*long, "short one"]) for t in seen)
+    assert len({t[:20] for t in seen}) > 5
+
+
 def test_held_out_labels_are_never_read(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     from pyspark.sql import functions as F

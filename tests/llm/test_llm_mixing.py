@@ -41,6 +41,28 @@ def test_null_is_the_last_source(spark):
     assert {r["source"]: r["weight"] for r in rows} == {"B": 5, "b": 2, "é": 1, None: 5}
 
 
+def test_very_many_sources(spark):
+    """200,000 sources of which some take all they may; sums of sizes times weights pass 64 bits."""
+    n, big = 200_000, 4_000_000_000_000
+    totals = spark.range(n).selectExpr(
+        "lpad(cast(id AS string), 7, '0') AS source", f"CASE WHEN id % 1000 = 0 THEN {big} ELSE 1 + id % 50 END AS source_size")
+    got = mixing.targets(totals)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    rows = {r["source"]: r["target"] for r in got.collect()}
+    sizes = [big if i % 1000 == 0 else 1 + i % 50 for i in range(n)]
+    weights = [(5, 2, 1)[i % 3] for i in range(n)]
+    order = sorted(range(n), key=lambda i: sizes[i] / weights[i])
+    rest, weight = sum(sizes), sum(weights)
+    for i in order:
+        if weights[i] * rest <= 3 * sizes[i] * weight:
+            break
+        rest, weight = rest - 3 * sizes[i], weight - weights[i]
+    for i in range(n):
+        want = min(3 * sizes[i], float(Fraction(weights[i] * rest, weight)))
+        assert rows[f"{i:07d}"] == pytest.approx(want)
+
+
 def test_taken_words(spark, sf_dir):
     rows = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
     again = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)).collect()
