@@ -1,7 +1,7 @@
 """A corpus prepared for training: STAGES in order, each on all its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
-``documents``; ``run`` writes each result to the shared folder and reads it back.
+``documents``; ``run`` writes each result to the shared folder, reads it back and removes the one before.
 Rows without an id are judged by their texts alone.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm import language, mixing, secret_index, suffix_pieces, superminhash
-from catchment.session import fresh_path
+from catchment.session import fresh_path, remove_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads the rows of the stage before any more
+            remove_path(spark, before)
+        before = path
     return docs
