@@ -35,8 +35,8 @@ from catchment.llm.common import Block, Spans, blocks, chosen, release, runs, sp
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 INDEX_BYTES = 1 << 18  # of different words in one suffix array
-GROUP = 6  # blocks whose new words are indexed together
-MOST_WORDS = 250_000  # remembered by a task
+GROUP = 4  # blocks whose new words are indexed together
+MOST_WORDS = 150_000  # remembered by a task
 CHUNK = 7  # letters of 9 bits in one sort key
 NONE, START = -2, -1
 
@@ -231,8 +231,10 @@ class SuffixArray:
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of the ranges [start, start + size), one after the other."""
-    end = np.cumsum(size)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+    end = np.cumsum(size, dtype=size.dtype)
+    place = np.repeat(start - (end - size), size)
+    place += np.arange(end[-1] if len(end) else 0, dtype=place.dtype)
+    return place
 
 
 def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.
     count = high - low
     # There are several edges per letter, so they are kept in four bytes.
     piece = np.repeat(trees.ids.astype(np.int32), count)
-    begin = index.order[spread(low, count)].astype(np.int32)
+    begin = index.order[spread(low.astype(np.int32), count.astype(np.int32))].astype(np.int32)
     word, begin = index.word[begin].astype(np.int32), index.at[begin].astype(np.int32)
     size = trees.length[piece].astype(np.int32)
 
@@ -261,7 +263,8 @@ def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.
     word = np.concatenate([word, word_of[letter[strange]].astype(np.int32)])
     end = begin + np.concatenate([size, width[strange].astype(np.int32)])
 
-    offset = end - index.start[word]
+    offset = (end - index.start[word]).astype(np.int32)
+    del word, size, low, high, count
     # Small numbers sort by radix.
     order = np.argsort(offset.astype(np.uint16) if offset.max() < 1 << 16 else offset, kind="stable")
     begin, piece, end, offset = begin[order], piece[order], end[order], offset[order]
