@@ -80,18 +80,23 @@ def with_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", to
     """Rows joined with a table of one line per ``key``, of which ``n`` rows have it; how is inner or left.
 
     A key with more than a thousandth of all these rows (``total``, summed if not given) is hot.  There can't be a thousand
-    of them, so they are broadcast, and their rows stay where they are; no other key fills a task.  ``rows`` is read twice.
+    of them, so they are broadcast; no other key fills a task.  A key is a number or a text.
     """
     if total is None:
         total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     hot = F.col("n") * HOT_SHARE > total
     values = [c for c in table.columns if c not in (key, "n")]
     few = table.where(hot).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
-    many = table.where(~hot).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in values])
-    joined = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
-    at_rest = joined.where("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
-    seeking = joined.where("_hot IS NULL").select(*rows.columns).join(many, F.col(key) == F.col("_cold"), how)
-    return at_rest.unionAll(seeking.select(*rows.columns, *[F.col(f"_cold_{c}").alias(c) for c in values]))
+    many = table.where(~hot).select(F.col(key).alias("_cold"), F.lit(False).alias("_found"), *[F.col(c).alias(f"_cold_{c}") for c in values])
+    # Rows of hot keys have nothing more to look for; they are spread by a hash of the row, and the mark keeps them apart.
+    joined = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left").withColumns({
+        "_found_hot": F.col("_hot").isNotNull(),
+        "_seek": F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)),
+    })
+    both = joined.join(many, (F.col("_seek") == F.col("_cold")) & (F.col("_found_hot") == F.col("_found")), "left")
+    if how == "inner":
+        both = both.where("_found_hot OR _cold IS NOT NULL")
+    return both.select(*rows.columns, *[F.when(F.col("_found_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values])
 
 
 def in_order(rows: DataFrame, order: list[Column], *amounts: str) -> tuple[DataFrame, dict[str, int]]:
