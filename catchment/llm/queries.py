@@ -26,6 +26,9 @@ def op4_superminhash(spark: SparkSession, d: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, d, "documents"))
 
 
+ORACLES["op4_superminhash"] = superminhash.near_duplicates_sql()
+
+
 @query
 def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))

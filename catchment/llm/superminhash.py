@@ -283,6 +283,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def near_duplicates_sql(percent: int = PERCENT) -> str:
+    """The same, for unique ids, as one query over ``documents``: whole sets compared, links followed to their end."""
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), placed AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts
+), runs AS (
+  SELECT doc_id, string_agg(word, ' ') OVER up_to_five AS x, n, place FROM placed
+  WINDOW up_to_five AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), one_each AS (SELECT doc_id, x FROM runs WHERE place = 1 OR place <= n - 4 GROUP BY ALL
+), sized AS (
+  SELECT t.doc_id, coalesce(s.n, 0) AS n, s.s FROM texts t
+  LEFT JOIN (SELECT doc_id, count(*) AS n, list(x ORDER BY x) AS s FROM one_each GROUP BY doc_id) s USING (doc_id)
+), classes AS (SELECT s AS k, min(doc_id) AS rep, any_value(n) AS n FROM sized WHERE n > 0 GROUP BY 1),
+member AS (SELECT z.doc_id, z.n, c.rep FROM sized z LEFT JOIN classes c ON z.n > 0 AND z.s = c.k
+), one AS (SELECT rep, n, unnest(k) AS x FROM classes
+), common AS (
+  SELECT a.rep AS u, b.rep AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM one a JOIN one b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2
+), links AS (SELECT u, v FROM common WHERE 100 * c >= {percent} * (n + m - c)
+), edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (SELECT rep AS u, rep AS v FROM classes UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u
+), least AS (SELECT u, min(v) AS component FROM reach GROUP BY u)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(l.component, m.doc_id) AS component_id,
+       m.doc_id = coalesce(l.component, m.doc_id) AS kept
+FROM member m LEFT JOIN least l ON m.rep = l.u
+"""
+
+
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their group of near duplicates.
 
