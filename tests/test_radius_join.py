@@ -101,3 +101,69 @@ def test_nothing_is_cut_where_nothing_is_crowded(spark):
     frames = spark.createDataFrame([("a", 38.6, -90.2, 1)] * 9, AREA), spark.createDataFrame([("s", 38.6, -90.2)], SITE)
     plan = radius_join(*frames, 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "_copies" not in plan and "_part" not in plan
+
+
+def test_a_join_of_many_pairs_is_dealt_to_tasks(spark, monkeypatch):
+    """Small tables with many pairs come out of several tasks, though one partition holds them."""
+    from pyspark.sql import functions as F
+
+    from catchment.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 200)
+    rng = random.Random(8)
+    areas, sites = [(*a, 1) for a in cloud(rng, 400, BOXES["city"], "a")], cloud(rng, 100, BOXES["city"], "s")
+    frames = spark.createDataFrame(areas, AREA).coalesce(1), spark.createDataFrame(sites, SITE).coalesce(1)
+    rows = radius_join(*frames, 2.0).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.site_id, r.geoid) for r in rows) == brute.pairs(areas, sites, 2.0)
+    assert len({r.task for r in rows}) > 1
+
+
+def test_parts_repeat_a_bounded_number_of_rows(spark):
+    from catchment.operators import skew
+
+    for n in (300, 3000):
+        left, right = spark.range(n).selectExpr("1 AS k", "id AS a"), spark.range(n).selectExpr("1 AS k", "id AS b")
+        cut = skew.key_parts(left, right, ["k"], 500, skew.MOST_REPEATS).first()
+        assert 1 < cut["_left_parts"] and cut["_left_parts"] + cut["_right_parts"] <= 4 * skew.MOST_REPEATS
+    few = spark.range(3).selectExpr("1 AS k", "id AS b")
+    cut = skew.key_parts(left, few, ["k"], 500, skew.MOST_REPEATS).first()
+    assert cut["_left_parts"] * 500 >= 3000 * 3 and cut["_right_parts"] == 1
+
+
+def test_crowded_blocks_repeat_a_bounded_number_of_rows(spark):
+    rng = random.Random(9)
+    dense = (38.62, 38.63, -90.21, -90.20)
+    areas, sites = [(*a, 1) for a in cloud(rng, 900, dense, "a")], cloud(rng, 300, dense, "s")
+    met = radius_join(spark.createDataFrame(areas, AREA), spark.createDataFrame(sites, SITE), 0.3, most_pairs=20,
+                      together=("geoid", "site_id"))
+    rows = met.collect()
+    assert sorted((r.site_id, r.geoid) for r in rows) == brute.pairs(areas, sites, 0.3)
+    assert max(r["_left_part"] for r in rows) < 100 and max(r["_right_part"] for r in rows) < 100
+
+
+@pytest.mark.parametrize("most_pairs", [50, 10**8])
+def test_pairs_together_are_grouped_without_moving(spark, monkeypatch, most_pairs):
+    """Ids that repeat, at one place, at several or without a name, are one group each, in one task."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from catchment.operators import skew
+    from catchment.operators.radius_join import TOGETHER
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 100)
+    rng = random.Random(10)
+    spots = cloud(rng, 150, BOXES["city"], "a")
+    areas = [(*a, 1) for a in spots + spots[:20]] + [(f"a{rng.randrange(30):04d}", *a[1:], 2) for a in cloud(rng, 60, BOXES["city"], "x")]
+    areas += [(None, *a[1:], 3) for a in cloud(rng, 40, BOXES["city"], "n")]
+    sites = cloud(rng, 60, BOXES["city"], "s")
+    sites += sites[:5] + [(f"s{i:04d}", *s[1:]) for i, s in enumerate(cloud(rng, 10, BOXES["city"], "t"))]
+    frames = spark.createDataFrame(areas, AREA), spark.createDataFrame(sites, SITE)
+    got = radius_join(*frames, 4.0, most_pairs=most_pairs, together=("geoid", "site_id"))
+    counted = got.groupBy("site_id", "geoid", *TOGETHER).agg(F.count("*").alias("rows"))
+    want = Counter((s[0], a[0]) for a in areas for s in sites if brute.miles(s[1], s[2], a[1], a[2]) <= 4.0)
+    rows = counted.collect()
+    assert len({(r.site_id, r.geoid) for r in rows}) == len(rows)
+    assert {(r.site_id, r.geoid): r["rows"] for r in rows} == dict(want)
+    text = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" not in text[:text.index("SortMergeJoin")]
