@@ -52,7 +52,7 @@ from catchment.functions.geodesy import (
 from catchment.operators.areas import DEFAULT_SITE_TYPES, keep_keys, keep_types
 from catchment.operators.grid import LEVEL_BITS, MAX_LEVEL, Grid, cell_key
 from catchment.operators.radius_join import placed
-from catchment.operators.skew import MOST_PAIRS, key_parts, split_join
+from catchment.operators.skew import MOST_PAIRS, MOST_REPEATS, key_parts, split_join
 from catchment.session import ensure_checkpoint_dir
 from catchment.sources.cache import FrameCache
 
@@ -243,7 +243,7 @@ def _bounded_join(
     sites: DataFrame, targets: DataFrame, keys: list[str], targets_by: list[str], split: int | None
 ) -> DataFrame:
     """Sites with points or cells of the same key, cut into parts where that is more than ``split`` pairs."""
-    parts = None if split is None else key_parts(sites, targets, keys, split)
+    parts = None if split is None else key_parts(sites, targets, keys, split, MOST_REPEATS)
     return split_join(sites, targets, keys, ["s_lat", "s_lon"], targets_by, parts)
 
 
@@ -253,8 +253,8 @@ def served(points: DataFrame, reach: DataFrame, radius_miles: float, shape: _Sha
     A row stands for one point or for a whole cell.  Blocks and cells that are not divided meet
     the sites that reach them at once, whatever their level; divided ones are opened where the rim
     cuts them.  What sites meet on the way is checkpointed, as both the rows and the next level come
-    from it and plans would grow with every level.  With a pair bound no task tests more than that many
-    pairs of one key.
+    from it and plans would grow with every level.  With a pair bound keys beyond it are cut into parts, as many as
+    bounded repeats allow.
     """
     sure, maybe = (math.sqrt(max(v, 0.0)) for v in chord_limits(radius_miles))
     if sure == 0.0:
