@@ -253,7 +253,9 @@ def encode_words(trees: PieceTrees, words: list[bytes]) -> tuple[np.ndarray, np.
     letter = index.at[first[index.at]]
     width = np.select([index.text[letter] < 0x80, index.text[letter] < 0xE0, index.text[letter] < 0xF0], [1, 2, 3], 4)
     is_piece = np.zeros(len(index.text), np.int64)
-    np.maximum.at(is_piece, begin, size * (trees.rank[piece] < 0))
+    # Pieces that nothing merges into are single letters, so at most one begins at a place.
+    single = np.flatnonzero(trees.rank[piece] < 0)
+    is_piece[begin[single]] = size[single]
     strange = is_piece[letter] < width
     unknown = len(trees.rank)
     word_of = np.zeros(len(index.text), np.int64)
