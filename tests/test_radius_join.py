@@ -167,3 +167,26 @@ def test_pairs_together_are_grouped_without_moving(spark, monkeypatch, most_pair
     assert {(r.site_id, r.geoid): r["rows"] for r in rows} == dict(want)
     text = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert "Exchange" not in text[:text.index("SortMergeJoin")]
+
+
+def exchanges(df):
+    """Moves of rows in the plan, from the join down."""
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [line for line in text.splitlines() if " Exchange " in line]
+
+
+@pytest.mark.parametrize("most_pairs", [20, 10**8])
+def test_rows_are_moved_once_and_without_what_follows(spark, monkeypatch, most_pairs):
+    """Crowded keys are told from the others, and rows repeated for parts, without moving rows for it."""
+    from catchment.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 100)
+    rng = random.Random(11)
+    areas, sites = [(*a, 1) for a in cloud(rng, 500, BOXES["city"], "a")], cloud(rng, 120, BOXES["city"], "s")
+    got = radius_join(spark.createDataFrame(areas, AREA), spark.createDataFrame(sites, SITE), 3.0, most_pairs=most_pairs)
+    assert sorted((r.site_id, r.geoid) for r in got.collect()) == brute.pairs(areas, sites, 3.0)
+    assert len(exchanges(got)) == 2
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    below = text[text.index(" Exchange "):].splitlines()[1]
+    assert "d_x" not in below and "d_x" in text
+    assert most_pairs > 20 or text.index("_right_part") < text.index(" Exchange ")
