@@ -190,3 +190,31 @@ def test_rows_are_moved_once_and_without_what_follows(spark, monkeypatch, most_p
     below = text[text.index(" Exchange "):].splitlines()[1]
     assert "d_x" not in below and "d_x" in text
     assert most_pairs > 20 or text.index("_right_part") < text.index(" Exchange ")
+
+
+def test_cells_of_parts(spark, monkeypatch):
+    """Parts are dealt in cells, with copies merged or not, and each pair comes once."""
+    from collections import Counter
+
+    from catchment.operators import radius_join as r, skew
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 150)
+    monkeypatch.setattr(r, "MOST_PAIRS", 300)
+    rng = random.Random(12)
+    dense = (38.62, 38.64, -90.22, -90.20)
+    for copies in (1, 5):
+        areas, sites = [(*a, 1) for a in cloud(rng, 260, dense, "a")] * copies, cloud(rng, 90, dense, "s")
+        got = radius_join(spark.createDataFrame(areas, AREA), spark.createDataFrame(sites, SITE), 0.5, most_pairs=30)
+        want = Counter(brute.pairs(areas, sites, 0.5))
+        assert Counter((x.site_id, x.geoid) for x in got.collect()) == want
+        assert ("_left_copies" in got._jdf.queryExecution().optimizedPlan().toString()) == (copies > 1)
+
+
+def test_cells_are_no_more_than_parts(spark):
+    from catchment.operators import skew
+
+    counted = spark.createDataFrame([(1, 3000, 2000), (2, 40, 30), (3, 100_000, 2)], "k int, _left bigint, _right bigint")
+    parts = skew.with_cells(skew.cut_keys(counted, ["k"], 500, 4), counted, ["k"], 100_000, 4)
+    rows = {r.k: (r._left_parts, r._right_parts, r._left_cells, r._right_cells) for r in parts.collect()}
+    assert set(rows) == {1, 2, 3} and rows[2][2:] == (1, 1) and rows[1][2] > 1
+    assert all(c <= p for r in rows.values() for p, c in zip(r[:2], r[2:]))
